@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import simhash
+from palimpsest.llm import mixing, secrets, simhash, substring_dedup, topk, warc
 from palimpsest.llm.common import read
 
 
@@ -12,8 +12,39 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages"))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_substring": op3_substring,
+    "op5_secrets": op5_secrets,
+    "op6_mixing": op6_mixing,
+    "op8_warc": op8_warc,
+    "op10_topk": op10_topk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring": substring_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
+    "op8_warc": warc.ORACLE,
+    "op10_topk": topk.ORACLE,
+}
