@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS, SKETCH_ROWS, MOST_CELLS, SHARD = 13, 2, 1 << 29, 1 << 22
-#: Words that a task hashes at once.
-PART = 1_500_000
+#: Words that a task hashes at once; windows of the corpus for each shard of the exact grouping.
+PART, PER_SHARD = 1_500_000, 1 << 21
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -170,66 +170,120 @@ class Sketch:
         return some
 
 
-ROW = ["h1", "h2", "doc_id", "mark", "start", "n"]
+def columns_packed(*columns: np.ndarray) -> bytes:
+    """Arrays of equal length as compressed byte planes."""
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return zstandard.compress(len(columns[0]).to_bytes(8, "little") + b"".join(planes), 1)
 
 
-def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c) for c in columns], ROW)
+def columns_unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for kind in kinds:
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    return out
 
 
-def runs(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive positions with equal key: index of the first, start, length."""
-    cut = np.flatnonzero((key[1:] != key[:-1]) | (pos[1:] != pos[:-1] + 1)) + 1
+def runs(pos: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive positions with equal keys: index of the first, start, length."""
+    cut = np.flatnonzero(np.logical_or.reduce([pos[1:] != pos[:-1] + 1, *(k[1:] != k[:-1] for k in keys)])) + 1
     first = np.concatenate(([0], cut)) if len(pos) else np.zeros(0, np.int64)
     return first, pos[first], np.diff(np.append(first, len(pos)))
 
 
-def candidates(docs: DataFrame, sent: Broadcast, words: int) -> DataFrame:
-    """Windows estimated repeated (n = 0), and runs of n windows that this task has seen in a smaller document."""
+def candidates(docs: DataFrame, sent: Broadcast, words: int, shards: int) -> DataFrame:
+    """shard (by the window's hash), documents of the part, windows estimated repeated, and runs of windows that
+    the part itself has in a smaller document, all packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch(sent.value)
         for part in parts(batches, words):
             some = sketch.repeated(part.h1)
-            h1, h2, row, pos = part.h1[some].view(np.int64), part.h2(some), part.row[some], part.pos[some]
+            h1, h2, row, pos = part.h1[some], part.h2(some), part.row[some], part.pos[some]
             order = np.lexsort((pos, row, part.ids[row], h2, h1))
             h1, h2, row, pos = h1[order], h2[order], row[order], pos[order]
             new = np.ones(len(h1), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
             first = part.ids[row][np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h1) else part.ids[row]
             own = part.ids[row] == first
-            yield batch_of(h1[own], h2[own], part.ids[row[own]], part.marks[row[own]], pos[own], np.zeros(own.sum(), np.int64))
-            row, pos = row[~own], pos[~own]
-            order = np.lexsort((pos, row))
-            row, pos = row[order], pos[order]
-            at, start, n = runs(row, pos)
-            row = row[at]
-            yield batch_of(mixed(part.ids[row].view(np.uint64)).view(np.int64), np.full(len(row), -1), part.ids[row], part.marks[row], start, n)
-
-    return docs.mapInArrow(work, ", ".join(f"{c} long" for c in ROW))
+            lost, at = row[~own], pos[~own]
+            order = np.lexsort((at, lost))
+            known, start, n = runs(at[order], lost[order])
+            lost = lost[order][known]
+            h1, h2, row, pos = h1[own], h2[own], row[own], pos[own]
+            cuts = np.searchsorted(h1, np.arange(shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)).tolist() + [len(h1)]
+            owner = lost % shards  # any shard will do
+            blobs, where = [], []
+            for k in range(shards):
+                a, b, mine = cuts[k], cuts[k + 1], owner == k
+                if a < b or mine.any():
+                    docs_here = np.unique(np.concatenate([row[a:b], lost[mine]]))
+                    where.append(k)
+                    blobs.append(
+                        (
+                            columns_packed(part.ids[docs_here], part.marks[docs_here]),
+                            columns_packed(np.diff(h1[a:b], prepend=np.uint64(0)), h2[a:b].astype("<u4"), np.searchsorted(docs_here, row[a:b]).astype("<u4"), pos[a:b].astype("<u4")),
+                            columns_packed(np.searchsorted(docs_here, lost[mine]).astype("<u4"), start[mine].astype("<u4"), n[mine].astype("<u4")),
+                        )
+                    )
+            yield pa.record_batch([pa.array(where, pa.int64()), *(pa.array(c, pa.binary()) for c in (zip(*blobs, strict=True) if blobs else ([], [], [])))], ["shard", "docs", "windows", "known"])
+
+    return docs.mapInArrow(work, "shard long, docs binary, windows binary, known binary")
 
 
 def removed_runs(found: DataFrame) -> DataFrame:
-    """doc_id, mark, start, n: windows to remove. The smallest doc_id of a group comes first, so groups stream."""
+    """doc_id, mark, start, n: runs of windows to remove. A shard is grouped in one piece."""
+
+    def settle(blobs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        lost: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for docs, windows, known in blobs:
+            ids, marks = columns_unpacked(docs, "<i8", "<i8")
+            gaps, h2, row, pos = columns_unpacked(windows, "<u8", "<u4", "<u4", "<u4")
+            for held, column in zip(columns, (np.cumsum(gaps, dtype=np.uint64), h2, ids[row], marks[row], pos.astype(np.int64)), strict=True):
+                held.append(column)
+            row, start, n = columns_unpacked(known, "<u4", "<u4", "<u4")
+            for held, column in zip(lost, (ids[row], marks[row], start.astype(np.int64), n.astype(np.int64)), strict=True):
+                held.append(column)
+        h1, h2, doc_id, mark, pos = (np.concatenate(c) for c in columns)
+        order = np.lexsort((doc_id, h2, h1))
+        h1, h2, doc_id = h1[order], h2[order], doc_id[order]
+        new = np.ones(len(h1), bool)
+        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        gone = doc_id > doc_id[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h1) else new
+        doc_id, mark, pos = doc_id[gone], mark[order][gone], pos[order][gone]
+        order = np.lexsort((pos, mark, doc_id))
+        doc_id, mark, pos = doc_id[order], mark[order], pos[order]
+        first, start, n = runs(pos, doc_id, mark)
+        out = [doc_id[first], mark[first], start, n]
+        return pa.record_batch([pa.array(np.concatenate([a, *b])) for a, b in zip(out, lost, strict=True)], ["doc_id", "mark", "start", "n"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (0, -2, 0)
+        now, held = None, []
         for batch in batches:
-            h1, h2, doc_id, mark, start, n = (c.to_numpy() for c in batch.columns)
-            if not len(h1):
-                continue
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            carried = (h1[0], h2[0]) == last[:2]
-            first = doc_id[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            if carried:
-                first[: np.flatnonzero(new)[1] if new.sum() > 1 else len(h1)] = last[2]
-            last = (h1[-1], h2[-1], first[-1])
-            gone = (n > 0) | (doc_id > first)
-            yield pa.record_batch([pa.array(c[gone]) for c in (doc_id, mark, start, np.maximum(n, 1))], ["doc_id", "mark", "start", "n"])
+            for shard, *blobs in zip(*batch.columns, strict=True):
+                if shard.as_py() != now and held:
+                    yield settle(held)
+                    held = []
+                now = shard.as_py()
+                held.append(tuple(b.as_py() for b in blobs))
+        if held:
+            yield settle(held)
+
+    return found.repartition("shard").sortWithinPartitions("shard").mapInArrow(work, "doc_id long, mark long, start long, n long")
+
+
+def compressed(texts: DataFrame) -> DataFrame:
+    """The text column as bytes, compressed for the one shuffle that carries it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False).compress
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([squeeze(t.as_py().encode()) for t in batch.column(2)], pa.binary())], ["doc_id", "mark", "text"])
 
-    dealt = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id")
-    return dealt.mapInArrow(work, "doc_id long, mark long, start long, n long")
+    return texts.mapInArrow(work, "doc_id long, mark long, text binary")
 
 
 def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -239,15 +293,15 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     windows = (known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     width = min(MOST_CELLS, 1 << max(16, int(3 * windows).bit_length()))
     sent = repeated_cells(known, width, words)
-    gone = removed_runs(candidates(known, sent, words))
+    gone = removed_runs(candidates(known, sent, words, 1 << max(4, int(windows // PER_SHARD).bit_length())))
     lists = gone.groupBy(F.col("doc_id").alias("its_id"), F.col("mark").alias("its_mark")).agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    joined = texts.join(lists, (F.col("doc_id") == F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left")
+    joined = compressed(texts).join(lists, (F.col("doc_id") == F.col("its_id")) & (F.col("mark") == F.col("its_mark")), "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, starts, ns in zip(*batch.columns[1:], strict=True):
-                found = text.as_py().encode().split()
+                found = zstandard.decompress(text.as_py()).split()
                 cover = np.zeros(len(found) + 1, np.int64)
                 if starts.is_valid:
                     start, n = (np.array(x.as_py(), np.int64) for x in (starts, ns))
