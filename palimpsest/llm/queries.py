@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import mixing, secrets, simhash, substring_dedup, topk, warc
+from palimpsest.llm import decontamination, license_scan, mixing, secrets, simhash, substring_dedup, topk, toxicity, warc
 from palimpsest.llm.common import read
 
 
@@ -12,10 +12,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -24,6 +32,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
@@ -35,9 +47,12 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_substring": op3_substring,
+    "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op10_topk": op10_topk,
 }
