@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontamination, license_scan, mixing, secrets, simhash, substring_dedup, topk, toxicity, warc
+from palimpsest.llm import decontamination, hpylm, license_scan, mixing, secrets, simhash, substring_dedup, topk, toxicity, warc
 from palimpsest.llm.common import read
 
 
@@ -40,6 +40,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages"))
 
 
+def op9_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(read(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_hpylm": op9_hpylm,
     "op10_topk": op10_topk,
 }
 
