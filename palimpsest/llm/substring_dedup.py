@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 WORDS, SKETCH_ROWS, MOST_CELLS, SHARD = 13, 2, 1 << 29, 1 << 22
 #: Words that a task hashes at once; windows of the corpus for each shard of the exact grouping.
-PART, PER_SHARD = 1_500_000, 1 << 21
+PART, PER_SHARD = 1_000_000, 1 << 21
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -172,7 +172,7 @@ class Sketch:
 
 def columns_packed(*columns: np.ndarray) -> bytes:
     """Arrays of equal length as compressed byte planes."""
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
     return zstandard.compress(len(columns[0]).to_bytes(8, "little") + b"".join(planes), 1)
 
 
