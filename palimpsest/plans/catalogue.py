@@ -197,8 +197,8 @@ def verdict(read):
 
 
 @query(
-    f"""WITH m AS (SELECT DISTINCT user_id AS doc, event_id % 16 AS at FROM events WHERE event_id % 3 = 0), c AS (SELECT [{quoted(matches.WEAK_CLASSES)}] AS names)
-SELECT doc, count(*) AS n, string_agg(names[at + 1], '|' ORDER BY at) AS classes FROM m, c GROUP BY doc HAVING count(*) >= 3"""
+    f"""WITH m AS (SELECT DISTINCT user_id AS doc, event_id % 16 AS idx FROM events WHERE event_id % 3 = 0), c AS (SELECT [{quoted(matches.WEAK_CLASSES)}] AS names)
+SELECT doc, count(*) AS n, string_agg(names[idx + 1], '|' ORDER BY idx) AS classes FROM m, c GROUP BY doc HAVING count(*) >= 3"""
 )
 def weak_evidence(read):
     names = F.array(*map(F.lit, matches.WEAK_CLASSES))
