@@ -239,7 +239,8 @@ def forests(prints: np.ndarray, starts: np.ndarray, ends: np.ndarray, radius: in
 
 
 def bucket_edges(buckets: DataFrame, keys: list[str], lanes: int, radius: int) -> DataFrame:
-    """``buckets(*keys, id, fp0, ...)`` to edges (u, v) between ids. A task gets whole buckets, in order."""
+    """``buckets(*keys, id, fp0, ...)`` to edges (u, v) between ids. A task gets whole buckets, in order of id, so
+    that v is the smallest id of its tree and tables that find the same group find the same edges."""
     width = len(keys)
 
     def settle(rows: np.ndarray) -> pa.RecordBatch:
@@ -280,7 +281,7 @@ def bucket_edges(buckets: DataFrame, keys: list[str], lanes: int, radius: int) -
             yield settle(np.concatenate(held))
 
     rows = buckets.select(*keys, "id", *lane_names(lanes))
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, "u long, v long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(work, "u long, v long").distinct()
 
 
 def links(prints: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
