@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 WORDS, SKETCH_ROWS, MOST_CELLS, SHARD = 13, 2, 1 << 29, 1 << 22
 #: Words that a task hashes at once; windows of the corpus for each shard of the exact grouping.
-PART, PER_SHARD = 1_000_000, 1 << 21
+PART, PER_SHARD = 500_000, 1 << 21
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
