@@ -128,12 +128,12 @@ def decoded(name: str, make, blobs, sql_text: str, as_hex: bool = True):
     QUERIES[name], ORACLES[name] = QUERIES.pop("f"), ORACLES.pop("f")
 
 
-HEADS = "SELECT doc_id, sha256(substr(text, 1, 60)) AS sha256 FROM documents WHERE strlen(substr(text, 1, 60)) >= {0}"
-head = lambda text: F.encode(F.substring(text, 1, 60), "UTF-8")
-decoded("decode_base64", lambda t: F.concat(F.lit("x: "), F.regexp_replace(F.base64(head(t)), r"[\r\n]", "")), encodings.base64_blobs, HEADS.format(18) + " AND NOT regexp_matches(rtrim(to_base64(encode(substr(text, 1, 60))), '='), '^[0-9A-Fa-f]+$') AND strlen(rtrim(to_base64(encode(substr(text, 1, 60))), '=')) >= 24")
-decoded("decode_hex", lambda t: F.concat(F.lit("x: "), F.hex(head(t))), encodings.hex_blobs, HEADS.format(16))
-decoded("decode_escapes", lambda t: F.regexp_replace(F.hex(head(t)), "(..)", r"\\x$1"), encodings.escape_blobs, HEADS.format(8))
-decoded("decode_netbios", lambda t: F.translate(F.hex(head(t)), "0123456789ABCDEF", "ABCDEFGHIJKLMNOP"), encodings.netbios_blobs, HEADS.format(16))
+WHOLE = "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE strlen(text) >= {0}"
+whole = lambda text: F.encode(text, "UTF-8")
+decoded("decode_base64", lambda t: F.concat(F.lit("x: "), F.regexp_replace(F.base64(whole(t)), r"[\r\n]", "")), encodings.base64_blobs, WHOLE.format(18) + " AND NOT regexp_matches(rtrim(to_base64(encode(text)), '='), '^[0-9A-Fa-f]+$') AND strlen(rtrim(to_base64(encode(text)), '=')) >= 24")
+decoded("decode_hex", lambda t: F.concat(F.lit("x: "), F.hex(whole(t))), encodings.hex_blobs, WHOLE.format(16))
+decoded("decode_escapes", lambda t: F.regexp_replace(F.hex(whole(t)), "(..)", r"\\x$1"), encodings.escape_blobs, WHOLE.format(8))
+decoded("decode_netbios", lambda t: F.translate(F.hex(whole(t)), "0123456789ABCDEF", "ABCDEFGHIJKLMNOP"), encodings.netbios_blobs, WHOLE.format(16))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, 3 AS layers FROM documents WHERE strlen(text) >= 24")
@@ -159,9 +159,9 @@ def file_metadata(read):
     return named.select("page_id", files.base_name(F.col("name")).alias("base"), e.alias("ext"), files.file_type(e).alias("file_type"), files.mismatch(e, F.lit("ole2")).alias("mismatch"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(role || '_' || regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g'), '[ _.()\\[\\]-]'), lambda x: length(x) BETWEEN 3 AND 32)[1:6], ',') AS tokens FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(role || '_' || regexp_replace(text, '[^A-Za-z ]', '', 'g'), '[ _.()\\[\\]-]'), lambda x: length(x) BETWEEN 3 AND 32)[1:6], ',') AS tokens FROM conversations")
 def name_tokens(read):
-    name = F.concat("role", F.lit("_"), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""), F.lit(".zip"))
+    name = F.concat("role", F.lit("_"), F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit(".zip"))
     return read("conversations").select("conv_id", "turn", F.array_join(files.name_tokens(name), ",").alias("tokens"))
 
 
@@ -197,12 +197,12 @@ def verdict(read):
 
 
 @query(
-    f"""WITH m AS (SELECT DISTINCT user_id AS doc, event_id % 16 AS idx FROM events WHERE event_id % 3 = 0), c AS (SELECT [{quoted(matches.WEAK_CLASSES)}] AS names)
+    f"""WITH m AS (SELECT DISTINCT user_id AS doc, event_id % 16 AS idx FROM events), c AS (SELECT [{quoted(matches.WEAK_CLASSES)}] AS names)
 SELECT doc, count(*) AS n, string_agg(names[idx + 1], '|' ORDER BY idx) AS classes FROM m, c GROUP BY doc HAVING count(*) >= 3"""
 )
 def weak_evidence(read):
     names = F.array(*map(F.lit, matches.WEAK_CLASSES))
-    markers = read("events").where("event_id % 3 = 0").select(F.col("user_id").alias("doc"), F.concat(F.element_at(names, (F.col("event_id") % 16 + 1).cast("int")), F.lit("x")).alias("marker"))
+    markers = read("events").select(F.col("user_id").alias("doc"), F.concat(F.element_at(names, (F.col("event_id") % 16 + 1).cast("int")), F.lit("x")).alias("marker"))
     return matches.weak_evidence(markers)
 
 
@@ -249,12 +249,12 @@ def ruleset_fingerprint(read):
 
 
 @query(
-    """WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 2000), '')) AS ch FROM documents) GROUP BY ALL),
+    """WITH c AS (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) GROUP BY ALL),
 t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
 SELECT doc_id, round(-sum(n / total::DOUBLE * log2(n / total::DOUBLE)), 6) AS entropy FROM c JOIN t USING (doc_id) GROUP BY doc_id"""
 )
 def character_entropy(read):
-    counts = read("documents").select("doc_id", F.explode(F.split(F.substring("text", 1, 2000), "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    counts = read("documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
     sums = counts.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return sums.select("doc_id", F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias("entropy"))
 
