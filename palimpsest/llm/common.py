@@ -53,19 +53,29 @@ def discard(df: DataFrame) -> None:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node in ``edges(u, v)``: columns node, label.
 
-    Each round takes the smallest label among a node's neighbours, then jumps to the label's own label, so
-    chains shrink geometrically. Labels are kept in the shared folder; only a count reaches the driver.
+    Each round maps every node to the first among itself and its neighbours and contracts the edges to what they
+    map to; loops and repeats go, so that edges shrink with every round. First is the smallest node in round 0,
+    where trees linked to their smallest node vanish at once, and the smallest hash, another in each round, after
+    that, so that no numbering of long chains makes for many rounds. The maps are composed from the last to the
+    first. Maps and edges are kept in the shared folder; only counts reach the driver.
     """
-    both = keep(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v"), F.col("u"))).distinct(), "edges")
-    labels = keep(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, F.col("node") == F.col("u")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        far = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
-        jumped = keep(stepped.join(far, F.col("label") == F.col("at")).select("node", "old", F.least("label", "far").alias("label")), "labels")
-        changed = jumped.where("old <> label").limit(1).count()
-        discard(labels)
-        labels = jumped.select("node", "label")
-        if not changed:
-            discard(both)
-            return labels
+    live = keep(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not maps or live.limit(1).count():
+        first = (lambda c: F.col(c)) if not maps else (lambda c, n=len(maps): F.xxhash64(c, F.lit(n)))
+        ends = live.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("e")).select("e.*")
+        nearest = ends.groupBy("node").agg(F.min(F.struct(first("other").alias("rank"), F.col("other").alias("parent"))).alias("near"))
+        own = F.struct(first("node").alias("rank"), F.col("node").alias("parent"))
+        maps.append(keep(nearest.select("node", F.least("near", own)["parent"].alias("parent")), "map"))
+        left, right = (maps[-1].select(F.col("node").alias(c), F.col("parent").alias(f"to_{c}")) for c in ("u", "v"))
+        moved = live.join(left, "u").join(right, "v").where("to_u <> to_v")
+        contracted = keep(moved.select(F.least("to_u", "to_v").alias("u"), F.greatest("to_u", "to_v").alias("v")).distinct(), "edges")
+        discard(live)
+        live = contracted
+    discard(live)
+    roots = maps.pop()
+    for lower in reversed(maps):
+        roots = lower.join(roots.select(F.col("node").alias("parent"), F.col("parent").alias("above")), "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"))
+    roots = keep(roots, "roots")
+    smallest = roots.groupBy("parent").agg(F.min("node").alias("label"))
+    return roots.join(smallest, "parent").select("node", "label")
