@@ -15,6 +15,7 @@ every score is the share of toxic labels. A null doc_id counts as not held out.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 
 MOST_TOXIC, MOST_ORDINARY, FOLDS, HELD_OUT = 2000, 4000, 4, 2
 WINDOW, DICTIONARY, SIGNIFICANT, RATIO, THRESHOLD = 8, 32768, 6.0, 8, 0.3
+MIXERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 SEPARATORS = bytes.maketrans(bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)), b" " * 15 + b" " * 7 + b" " * 6 + b" " * 5)
 
 
@@ -76,10 +78,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))))))
 
 
+def contexts(docs: list[list[bytes]]) -> Counter:
+    """How many different pairs of neighbours each word has, so that copies of a passage count once."""
+    seen = {(x, y, z) for words in docs for x, y, z in zip([b"", *words], words, [*words[1:], b""], strict=False)}
+    return Counter(y for _, y, _ in seen)
+
+
 def over_represented(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words whose document frequencies differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, best first."""
-    here, there = (Counter(w for words in docs for w in set(words)) for docs in (toxic, ordinary))
-    n, m = len(toxic), len(ordinary)
+    """Words whose shares of all contexts differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, best first."""
+    here, there = contexts(toxic), contexts(ordinary)
+    n, m = max(here.total(), 1), max(there.total(), 1)
     found = []
     for word, a in here.items():
         b = there[word]
@@ -90,6 +98,19 @@ def over_represented(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> l
     return [word for _, word in sorted(found)]
 
 
+def without_copies(docs: list[list[bytes]]) -> list[int]:
+    """Positions of documents that share none of four minima of hashed word triples with an earlier one."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, words in enumerate(docs):
+        hashes = np.array([zlib.crc32(b" ".join(words[k : k + 3])) for k in range(max(1, len(words) - 2))], np.uint64)
+        marks = {(k, int((hashes * np.uint64(odd) & np.uint64(0xFFFFFFFF)).min())) for k, odd in enumerate(MIXERS)}
+        if not marks & seen:
+            kept.append(i)
+        seen |= marks
+    return kept
+
+
 def ordinary_dictionary(docs: list[list[bytes]]) -> bytes:
     samples = [s[k : k + 512] for words in docs for s in (b" " + b" ".join(words) + b" ",) for k in range(0, len(s), 512)]
     samples = samples[:: max(1, len(samples) // 20000)]
@@ -112,8 +133,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """Two documents of three train the dictionaries, the third the curve; then the dictionaries see all."""
+def fit(texts: list[str], toxic: list[int], odds: float | None = None) -> Model:
+    """Two documents of three train the dictionaries, the third the curve; then the dictionaries see all.
+
+    Near copies within the sample are left out first. ``odds`` of toxic labels among all labelled rows, where
+    given, replace those of the sample, in which toxic documents are more frequent.
+    """
+    unlike = without_copies([words_of(t) for t in texts])
+    texts, toxic = [texts[i] for i in unlike], [toxic[i] for i in unlike]
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1e-6) / (len(y) + 1)
@@ -131,17 +158,21 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     model = Model(*dictionaries(first), [0.0] * 7)
     made = model.compressors()
     model.curve = logistic(np.array([model.features(texts[i], made) for i in rest]), y[rest])
+    if odds:
+        model.curve[0] += math.log(odds) - math.log((y[rest].sum() + 0.5) / (len(rest) - y[rest].sum() + 0.5))
     return Model(*dictionaries(list(range(len(y)))), model.curve)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], float]:
+    """Texts and labels of the sample, and the odds of a toxic label among all that may be read."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("ordinary")).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MOST_ORDINARY))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(*order).toArrow()
-    return got["text"].to_pylist(), got["toxic"].to_pylist()
+    return got["text"].to_pylist(), got["toxic"].to_pylist(), (counts["toxic"] + 0.5) / (counts["ordinary"] + 0.5)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
