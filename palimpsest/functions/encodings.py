@@ -10,9 +10,9 @@ BASE64_RUN, HEX_RUN, ESCAPES, DECIMALS, NETBIOS_RUN, BASE32_RUN = 24, 32, 8, 12,
 BASE64 = rf"[A-Za-z0-9+/]{{{BASE64_RUN},}}={{0,2}}"
 HEX = rf"(?:[0-9A-Fa-f]{{2}}){{{HEX_RUN // 2},}}"
 X_ESCAPES = rf"(?:\\x[0-9A-Fa-f]{{2}}){{{ESCAPES},}}"
-AMP_ESCAPES = rf"(?:&[Hh][0-9A-Fa-f]{{2}}[,\s]*){{{ESCAPES},}}"
+AMP_ESCAPES = rf"(?:&[Hh][0-9A-Fa-f]{{2}}){{{ESCAPES},}}"
 U_ESCAPES = rf"(?:[\\%]u[0-9A-Fa-f]{{4}}){{{ESCAPES},}}"
-DECIMAL = rf"[0-9]{{1,3}}(?:[;,][0-9]{{1,3}}){{{DECIMALS - 1},}}"
+DECIMAL = rf"[0-9][0-9;,]{{{2 * DECIMALS - 2},}}"
 NETBIOS = rf"[A-P]{{{NETBIOS_RUN},}}"
 MAYBE = r"[A-Za-z0-9+/]{20,}|[0-9,;]{23,}|(?i)\\x|\\u|%u|&h|chr|replace\(|array\(|strreverse|environ"
 
@@ -53,6 +53,52 @@ def netbios_blobs(text: Column) -> Column:
 
 
 def decimal_texts(text: Column) -> Column:
-    """Lists of byte values with one kind of separator."""
-    lists = F.transform(F.filter(found(text, DECIMAL), lambda r: ~(F.contains(r, F.lit(",")) & F.contains(r, F.lit(";")))), lambda r: F.transform(F.split(r, "[;,]"), lambda x: x.cast("int")))
-    return F.transform(F.filter(lists, lambda l: F.forall(l, lambda x: x <= 255)), lambda l: F.array_join(F.transform(l, F.char), ""))
+    """Lists of at least twelve byte values with one kind of separator. Groups that repeat and vary in length
+    would exhaust the stack of Java's matcher on long lists, so lists are found as runs and checked by item."""
+    runs = F.transform(found(F.regexp_replace(text, "[;,]{2,}", " "), DECIMAL), lambda r: F.rtrim(r, F.lit(";,")))
+    one_kind = F.filter(runs, lambda r: ~(F.contains(r, F.lit(",")) & F.contains(r, F.lit(";"))))
+    lists = F.transform(one_kind, lambda r: F.transform(F.split(r, "[;,]"), lambda x: F.when(F.length(x) <= 3, x.cast("int"))))
+    whole = F.filter(lists, lambda l: (F.size(l) >= DECIMALS) & F.forall(l, lambda x: F.coalesce(x <= 255, F.lit(False))))
+    return F.transform(whole, lambda l: F.array_join(F.transform(l, F.char), ""))
+
+
+def amp_blobs(text: Column) -> Column:
+    """Runs of ``&HXX`` with or without commas and blanks between them."""
+    joined = F.regexp_replace(text, r"[,\s]++(?=&[Hh])", "")
+    return F.transform(found(joined, AMP_ESCAPES), lambda r: F.unhex(F.regexp_replace(r, "&[Hh]", "")))
+
+
+def unicode_texts(text: Column) -> Column:
+    r"""Runs of ``\uXXXX`` or ``%uXXXX`` as text; halves of pairs are joined."""
+    return F.transform(found(text, U_ESCAPES), lambda r: F.decode(F.unhex(F.regexp_replace(r, r"[\\%]u", "")), "UTF-16BE"))
+
+
+def reversed_literals(text: Column) -> Column:
+    """Arguments of StrReverse, turned round."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r'(?i)strreverse\(\s*"([^"]*+)"\s*\)'), 1), F.reverse)
+
+
+def replaced_literals(text: Column) -> Column:
+    """``Replace("text", "old", "new")`` with all three given as literals, carried out."""
+    call = r'(?i)\breplace\(\s*"([^"]*+)"\s*,\s*"([^"]*+)"\s*,\s*"([^"]*+)"'
+    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(call), i).alias(f"p{i}") for i in (1, 2, 3)])
+    return F.transform(parts, lambda p: F.when(p["p2"] == "", p["p1"]).otherwise(F.replace(p["p1"], p["p2"], p["p3"])))
+
+
+def xored_arrays(text: Column) -> Column:
+    """``Array(1,2,...) Xor key``: low bytes of the items combined with the key, as hex."""
+    call = r"(?i)\barray\(([0-9,\s]++)\)\s*xor\s+([0-9]{1,3})"
+    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(call), 1).alias("items"), F.regexp_extract_all(text, F.lit(call), 2).alias("key"))
+    byte = lambda x, key: F.lpad(F.hex(F.trim(x).cast("long").bitwiseXOR(key.cast("long")).bitwiseAND(F.lit(255))), 2, "0")
+    return F.transform(parts, lambda p: F.array_join(F.transform(F.split(p["items"], ","), lambda x: byte(x, p["key"])), ""))
+
+
+def environ_markers(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(r'(?i)\benviron\$?\(\s*"([^"]+)"\s*\)'), 1), lambda n: F.concat(F.lit("VBA-ENVIRON %"), n, F.lit("%")))
+
+
+def transcoded(body: Column) -> Column:
+    """Bytes with a UTF-16 mark as text, null for others."""
+    mark = F.hex(F.substring(body, 1, 2))
+    rest = F.substring(body, 3, (1 << 31) - 1)
+    return F.when(mark == "FFFE", F.decode(rest, "UTF-16LE")).when(mark == "FEFF", F.decode(rest, "UTF-16BE"))

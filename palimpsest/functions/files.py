@@ -61,3 +61,42 @@ def name_tokens(name: Column, most: int = 6) -> Column:
     """Parts of a name that may be passwords: 3 to 32 characters, the first six."""
     stem = F.regexp_replace(base_name(name), r"(?<=.)\.[^.]*$", "")
     return F.slice(F.filter(F.split(stem, r"[ _\-.()\[\]]"), lambda t: (F.length(t) >= 3) & (F.length(t) <= 32)), 1, most)
+
+
+#: Fixed value: statements of a password, the password in group 1.
+PASSWORD = r"""(?i)(?<![0-9A-Za-z_])(?:password|passwort|wachtwoord|senha|contrase|pass|pwd|pw|code)(?:[\t\n\f\r ]+is[\t\n\f\r ]+|[\t\n\f\r :=]+)([^\t\n\f\r ,;"'<>]{1,64})"""
+
+
+def stated_passwords(text: Column, most: int = 32, longest: int = 64) -> Column:
+    """Different passwords stated in the first 64 Ki characters, in order of their first statement."""
+    found = F.regexp_extract_all(F.substring(text, 1, 1 << 16), F.lit(PASSWORD), 1)
+    return F.slice(F.array_distinct(F.filter(found, lambda c: F.octet_length(c) <= longest)), 1, most)
+
+
+def header_candidates(header: Column, most: int = 32, longest: int = 64) -> Column:
+    """Lines of a base64 header: without control characters and outer blanks, different, not too long."""
+    lines = F.split(F.decode(F.try_to_binary(header, F.lit("base64")), "UTF-8"), "\n")
+    clean = F.transform(lines, lambda c: F.trim(F.regexp_replace(c, r"[\x00-\x1f\x7f]", "")))
+    return F.slice(F.array_distinct(F.filter(clean, lambda c: (c != "") & (F.octet_length(c) <= longest))), 1, most)
+
+
+def candidates_in_order(*lists: Column, most: int = 64) -> Column:
+    """Candidates of several lists: trimmed, different, the first ``most``."""
+    joined = F.transform(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]), lambda c: F.trim(c))
+    return F.slice(F.array_distinct(F.filter(joined, lambda c: c != "")), 1, most)
+
+
+def filetime(ticks: Column) -> Column:
+    """Tenths of microseconds since 1601 as a timestamp; null for 0."""
+    return F.when(ticks != 0, F.timestamp_micros(F.floor(ticks / 10) - F.lit(11_644_473_600_000_000)))
+
+
+def cache_key(fingerprint: Column, name: Column, ext: Column, kind: Column, level: Column, body: Column) -> Column:
+    """What a verdict is cached under: the rules, what rules may read of the file, and the body's digest."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.concat(fingerprint, F.lit(":"), F.concat_ws("\0", blank(name), blank(ext), blank(kind), blank(level)), F.lit(":"), F.sha2(body, 256))
+
+
+def header_value(text: Column, longest: int) -> Column:
+    """Fit for a mail header: no control characters, not too long."""
+    return F.substring(F.regexp_replace(text, r"[\x00-\x1f\x7f]", ""), 1, longest)

@@ -38,3 +38,33 @@ def tier_weight(name: Column) -> Column:
 def family(meta: Column) -> Column:
     """The first key that isn't blank."""
     return F.coalesce(*[F.nullif(F.trim(F.try_element_at(meta, F.lit(k))), F.lit("")) for k in FAMILY_KEYS])
+
+
+#: Prefixes of the names of feed rules, and the weights of their groups.
+FEED_PREFIXES = (("URLHAUS_", "url_feed"), ("MALWAREBAZAAR_", "hash_feed"), ("THREATFOX_", "ioc"))
+FEED_WEIGHTS = {"url_feed": 8.0, "hash_feed": 10.0, "ioc": 7.0, "log_only": 0.0}
+
+
+def route(rule: Column, canary: Column, allowed: Column, tier_name: Column) -> Column:
+    """The group a match scores in: canaries and allowed rules are logged only, feeds have their own, else the tier."""
+    out = F.when(F.coalesce(canary, F.lit(False)) | F.coalesce(allowed, F.lit(False)), "log_only")
+    for prefix, group in FEED_PREFIXES:
+        out = out.when(F.startswith(rule, F.lit(prefix)), group)
+    return out.otherwise(tier_name)
+
+
+def group_weight(group: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in (TIER_WEIGHTS | FEED_WEIGHTS).items() for x in pair]), group)
+
+
+def actionable(meta: Column) -> Column:
+    flag = lambda k: F.coalesce(F.try_element_at(meta, F.lit(k)) == "1", F.lit(False))
+    return ~(flag("canary") | flag("allow"))
+
+
+def tagged(meta: Column, allowed: Column, canary: bool) -> Column:
+    """meta with allow=1 where allowed, canary=1 in canary mode."""
+    none = F.create_map().cast("map<string,string>")
+    add = F.when(allowed, F.create_map(F.lit("allow"), F.lit("1"))).otherwise(none)
+    kept = F.map_filter(F.coalesce(meta, none), lambda k, _: ~k.isin("allow", "canary") | (k == "canary") & F.lit(not canary) | (k == "allow") & ~allowed)
+    return F.map_concat(kept, add, F.create_map(F.lit("canary"), F.lit("1")) if canary else none)

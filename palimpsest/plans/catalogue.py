@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import effort, encodings, files, scoring, urls
-from palimpsest.operators import feeds, matches, rules
+from palimpsest.operators import containers, feeds, matches, rules
+from palimpsest.sources import sinks
 from palimpsest.streaming import cache, rates
 
 FLAGSHIP = "rule_matches"
@@ -298,3 +299,98 @@ def formula_injection(read):
     cell = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("=cmd|'/c x'!A"), F.col("event_id").cast("string"))).otherwise(F.col("props"))
     bare = F.regexp_replace(cell, '"[^"]*"', "")
     return read("events").select("event_id", (F.ltrim(cell).rlike("^[=+@-]") & bare.rlike(r"^..+\|.*!")).alias("injected"))
+
+
+decoded("decode_ampersand", lambda t: F.regexp_replace(F.hex(whole(t)), "(..)", "&H$1, "), encodings.amp_blobs, WHOLE.format(8))
+decoded("decode_unicode", lambda t: F.regexp_replace(F.hex(F.encode(t, "UTF-16BE")), "(....)", r"\\u$1"), lambda t: F.transform(encodings.unicode_texts(t), lambda x: F.encode(x, "UTF-8")), "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE length(text) >= 8")
+decoded("decode_reversed", lambda t: F.concat(F.lit('x = StrReverse("'), F.reverse(F.replace(t, F.lit('"'), F.lit("'"))), F.lit('")')), lambda t: F.transform(encodings.reversed_literals(t), lambda x: F.encode(x, "UTF-8")), """SELECT doc_id, sha256(replace(text, '"', '''')) AS sha256 FROM documents""")
+decoded("decode_replaced", lambda t: F.concat(F.lit('Replace("'), F.replace(F.replace(t, F.lit('"'), F.lit("'")), F.lit("e"), F.lit("#~")), F.lit('", "#~", "e")')), lambda t: F.transform(encodings.replaced_literals(t), lambda x: F.encode(x, "UTF-8")), """SELECT doc_id, sha256(replace(replace(text, '"', ''''), '#~', 'e')) AS sha256 FROM documents""")
+
+
+@query("SELECT event_id, lpad(upper(to_hex(xor(event_id % 256, event_id % 200))), 2, '0') || lpad(upper(to_hex(xor(7, event_id % 200))), 2, '0') AS bytes FROM events")
+def decode_xored(read):
+    key = F.col("event_id") % 200
+    call = F.concat(F.lit("Array("), (F.col("event_id") % 256).cast("string"), F.lit(", 7) Xor "), key.cast("string"))
+    return read("events").select("event_id", F.explode(encodings.xored_arrays(call)).alias("bytes"))
+
+
+def packed(read, make) -> DataFrame:
+    """Texts packed by ``make`` (bytes to bytes) and unpacked again."""
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([make((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "body"])
+
+    made = read("documents").select("doc_id", "text").mapInArrow(work, "doc_id long, body binary")
+    return sinks.listing(containers.extracted(made, "doc_id")).select(F.col("key").alias("doc_id"), "pos", "path", "kind", "layer", "sha256")
+
+
+def zipped(body: bytes) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/text.txt", b"x" + body)
+    return out.getvalue()
+
+
+@query("SELECT doc_id, pos, ['content', 'content!a/text.txt'][pos + 1] AS path, ['gzip', 'zip'][pos + 1] AS kind, pos + 1 AS layer FROM documents, (SELECT unnest([0, 1])::INTEGER AS pos) p")
+def container_layers(read):
+    """A zip archive in a gzip file: both layers are listed."""
+    import gzip
+
+    return packed(read, lambda b: gzip.compress(zipped(b), mtime=0)).drop("sha256")
+
+
+@query("SELECT doc_id, 0 AS pos, 'a/text.txt' AS path, 'zip' AS kind, 1 AS layer, sha256('x' || text) AS sha256 FROM documents")
+def container_zip(read):
+    return packed(read, zipped)
+
+
+@query("SELECT doc_id, 0 AS pos, 'stream0' AS path, 'pdf' AS kind, 1 AS layer, sha256('x' || text) AS sha256 FROM documents")
+def container_pdf(read):
+    import zlib
+
+    return packed(read, lambda b: b"%PDF-1.4\n1 0 obj\n<< /Filter [/ASCIIHexDecode /FlateDecode] >>\nstream\n" + zlib.compress(b"x" + b).hex().encode() + b">\nendstream\nendobj\n")
+
+
+@query("SELECT doc_id, 0 AS pos, 'object0' AS path, 'rtf' AS kind, 1 AS layer, sha256('x' || text) AS sha256 FROM documents")
+def container_rtf(read):
+    return packed(read, lambda b: rb"{\rtf1{\object{\*\objdata " + (b"x" + b).hex().encode() + b"}}}")
+
+
+@query("SELECT conv_id, turn, role || turn AS passwords FROM conversations")
+def stated_passwords(read):
+    text = F.concat(F.lit("Password: "), "role", F.col("turn").cast("string"), F.lit(", and "), F.regexp_replace("text", "(?i)pass|pwd|pw|code|senha|contrase|wachtwoord", ""))
+    return read("conversations").select("conv_id", "turn", F.array_join(files.stated_passwords(text), ",").alias("passwords"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 10 ELSE floor(1 + least(greatest(value / 50 / 8.0, 0), 1) * 9 + 0.5) END::INTEGER AS level, CASE WHEN event_id % 11 < 1 THEN event_id % 7 ELSE event_id % 11 + sign(event_id % 7 - event_id % 11) END::INTEGER AS stepped FROM events")
+def sender_effort(read):
+    forced = F.when(F.col("event_type") == "error", F.array(F.lit("R_SPF_FAIL"))).otherwise(F.array(F.lit("NONE")))
+    step = effort.stepped((F.col("event_id") % 11).cast("int"), (F.col("event_id") % 7).cast("int"))
+    return read("events").select("event_id", effort.sender_level(F.col("value") / 50, forced).alias("level"), step.alias("stepped"))
+
+
+@query(
+    """WITH r AS (SELECT event_id, ['URLHAUS_X', 'MALWAREBAZAAR_X', 'THREATFOX_X', 'trojan_x'][event_id % 4 + 1] AS rule, event_id % 10 = 0 AS canary FROM events)
+SELECT event_id, CASE WHEN canary THEN 'log_only' ELSE ['url_feed', 'hash_feed', 'ioc', 'malware'][event_id % 4 + 1] END AS grp, CASE WHEN canary THEN 0.0 ELSE [8.0, 10.0, 7.0, 8.0][event_id % 4 + 1] END::DOUBLE AS weight FROM r"""
+)
+def symbol_routing(read):
+    rule = F.element_at(F.array(*map(F.lit, ("URLHAUS_X", "MALWAREBAZAAR_X", "THREATFOX_X", "trojan_x"))), (F.col("event_id") % 4 + 1).cast("int"))
+    name = scoring.tier(rule, F.lit(""), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.lit(50))
+    group = scoring.route(rule, F.col("event_id") % 10 == 0, F.lit(False), name)
+    return read("events").select("event_id", group.alias("grp")).select("event_id", "grp", scoring.group_weight(F.col("grp")).alias("weight"))
+
+
+@query(f"SELECT doc, '[' || string_agg('{{\"rule\":\"' || rule || '\",\"namespace\":\"' || namespace || '\"}}', ',' ORDER BY pos) || ']' AS response FROM {MATCHES} GROUP BY doc")
+def json_responses(read):
+    found = events_as_matches(read)
+    return sinks.json_responses(found, found)
+
+
+@query("SELECT metric, value FROM (SELECT count(*)::DOUBLE AS scans, sum(value > 100)::DOUBLE AS large FROM events) UNPIVOT (value FOR metric IN (scans, large))")
+def metrics_text(read):
+    return sinks.metrics(read("events").agg(F.count("*").alias("scans"), F.count_if(F.col("value") > 100).alias("large")))
