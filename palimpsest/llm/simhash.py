@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +33,8 @@ REFINE_ABOVE = 1 << 25
 ALL_PAIRS, TASK = 4096, 32768
 #: Pairs of a fingerprint and a word of 64 fingerprints that are counted together.
 CHUNK = 1 << 18
+#: Shingles and sets in a piece of a group of candidates; members that are broadcast.
+PIECE_SHINGLES, PIECE_SETS, BROADCAST_ROWS = 1 << 20, 8192, 200_000
 
 
 def shingle_hashes(text: bytes, words: int) -> list[int]:
@@ -53,15 +53,22 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 def fingerprint(text: bytes, words: int = 4, lanes: int = 1) -> np.ndarray:
     """64 bits a lane: a bit is set if it is set in over half of the hashes. Lanes beyond the first mix the hash."""
-    hashes = shingle_hashes(text, words)
+    return majority(np.array(shingle_hashes(text, words), np.uint64), lanes)
+
+
+def majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
     votes = np.zeros(BITS * lanes, np.int64)
     for at in range(0, len(hashes), 1 << 14):
-        part = np.array(hashes[at : at + (1 << 14)], np.uint64)
+        part = hashes[at : at + (1 << 14)]
         mixed = np.stack([part, *(mix(part + np.uint64(k) * GOLDEN) for k in range(1, lanes))], axis=1)
         votes += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8 * lanes), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(votes * 2 > len(hashes), bitorder="little").view("<u8")
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -102,11 +109,11 @@ def exact_tables(count: int, radius: int) -> list[list[int]]:
 
 
 def sampled_tables(count: int, lanes: int, share: float) -> list[list[int]]:
-    """Masks of k random bits; pairs that differ in ``share`` of their bits agree on one in 98 cases of 100."""
+    """Masks of k random bits; pairs that differ in ``share`` of their bits agree on one in 99.7 cases of 100."""
     k = max(8, math.ceil(math.log2(max(count, 2))) - 7)
     draw = np.random.default_rng(5)
     tables = []
-    for _ in range(math.ceil(4 / (1 - share) ** k)):
+    for _ in range(math.ceil(6 / (1 - share) ** k)):
         bits = draw.choice(BITS * lanes, k, replace=False).tolist()
         tables.append([sum(1 << b % BITS for b in bits if b // BITS == lane) for lane in range(lanes)])
     return tables
@@ -302,21 +309,13 @@ def links(prints: DataFrame, tables: list[list[int]], radius: int) -> DataFrame:
     return bucket_edges(cool.union(halves), ["block", "key", "i", "j"], lanes, radius)
 
 
-def components(docs: DataFrame, words: int = 4, lanes: int = 1, radius: int = 4, share: float | None = None) -> DataFrame:
-    """doc_id, the fingerprint's lanes and component_id, the smallest doc_id reachable over links.
-
-    Without ``share`` (one lane only) every link is found. With it, tables of sampled bits find those that
-    differ in that share of their bits in 98 cases of 100, and closer ones more often.
-    """
-    names = lane_names(lanes)
-    prints = keep(fingerprints(docs, words, lanes), "fingerprints")
-    distinct = keep(prints.where("doc_id IS NOT NULL").groupBy(*names).agg(F.min("doc_id").alias("id")), "distinct")
-    count = distinct.count()
-    tables = exact_tables(count, radius) if share is None else sampled_tables(count, lanes, share)
-    found = connected_components(links(distinct, tables, radius))
-    total = distinct.join(found, F.col("id") == F.col("node"), "left").select(*[F.col(n).alias(f"its_{n}") for n in names], F.coalesce("label", "id").alias("component_id"))
-    same = reduce(and_, [F.col(n) == F.col(f"its_{n}") for n in names])
-    return prints.join(total, same, "left").select("doc_id", *names, "component_id")
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, the fingerprint fp0 and component_id, the smallest doc_id reachable over links."""
+    prints = keep(fingerprints(docs), "fingerprints")
+    distinct = keep(prints.where("doc_id IS NOT NULL").groupBy("fp0").agg(F.min("doc_id").alias("id")), "distinct")
+    found = connected_components(links(distinct, exact_tables(distinct.count(), 4), 4))
+    total = distinct.join(found, F.col("id") == F.col("node"), "left").select(F.col("fp0").alias("its_fp0"), F.coalesce("label", "id").alias("component_id"))
+    return prints.join(total, F.col("fp0") == F.col("its_fp0"), "left").select("doc_id", "fp0", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -324,15 +323,130 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def set_prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """doc_id, mark, the id of the text's set of shingles (a hash of it), its size and its fingerprint."""
+    names = lane_names(lanes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, ids, sizes = np.zeros((batch.num_rows, lanes), np.uint64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64)
+            for i, text in enumerate(batch.column(2)):
+                found = shingle_set((text.as_py() or "").encode(), words)
+                prints[i], ids[i], sizes[i] = majority(found, lanes), xxhash.xxh64_intdigest(found.tobytes(), 43), len(found)
+            yield pa.record_batch([*batch.columns[:2], pa.array(ids.view(np.int64)), pa.array(sizes), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in prints.T)], ["doc_id", "mark", "id", "n", *names])
+
+    schema = "doc_id long, mark long, id long, n long, " + ", ".join(f"{n} long" for n in names)
+    return docs.select("doc_id", "mark", "text").mapInArrow(work, schema)
+
+
+def similar_forest(ids: list[int], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges (id, id of its root) of a spanning forest of all pairs of sets whose Jaccard similarity is reached."""
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    if not sizes[-1]:
+        yield from ((ids[i], ids[order[0]]) for i in order[1:])
+        return
+    known, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    marked = np.zeros(len(known), bool)
+    left, left_sizes, left_flat, starts = np.arange(len(order)), sizes, flat, np.concatenate(([0], np.cumsum(sizes)))
+
+    def without(gone: np.ndarray) -> None:
+        nonlocal left, left_sizes, left_flat, starts
+        left_flat = left_flat[np.repeat(~gone, left_sizes)]
+        left, left_sizes = left[~gone], left_sizes[~gone]
+        starts = np.concatenate(([0], np.cumsum(left_sizes)))
+
+    while len(left):
+        root = int(left[0])
+        queue = [root]
+        without(np.arange(len(left)) == 0)
+        while queue and len(left):
+            at = queue.pop()
+            size = int(sizes[at])
+            a, b = np.searchsorted(left_sizes, (math.floor(similarity * size), math.ceil(size / similarity) + 1))
+            if a == b:
+                continue
+            marked[own[at]] = True
+            sums = np.concatenate(([0], np.cumsum(marked[left_flat[starts[a] : starts[b]]])))
+            marked[own[at]] = False
+            both = np.diff(sums[starts[a : b + 1] - starts[a]])
+            near = np.zeros(len(left), bool)
+            near[a:b] = both * (1 + similarity) >= similarity * (size + left_sizes[a:b]) - 1e-9
+            if near.any():
+                new = left[near].tolist()
+                queue += new
+                yield from ((ids[order[k]], ids[order[root]]) for k in new)
+                without(near)
+
+
+def verified_edges(sets: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """``sets(*keys, id, shingles)`` to edges (u, v) of the pairs within a group that are similar enough."""
+    width = len(keys)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def done() -> pa.RecordBatch:
+            edges = np.array(list(similar_forest(list(held), list(held.values()), similarity)), np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["u", "v"])
+
+        for batch in batches:
+            for *key, id_, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now and held:
+                    yield done()
+                    held = {}
+                now = key
+                held[id_] = np.frombuffer(shingles, "<u8")
+        if held:
+            yield done()
+
+    assert sets.columns[:width] == keys
+    return sets.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(work, "u long, v long")
+
+
+def similar_sets(docs: DataFrame, distinct: DataFrame, words: int, candidates: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect the ids of ``distinct(id, n, its_doc, its_mark)`` whose sets are similar enough and
+    which ``candidates(node, label)`` gives the same label. Labels with more shingles than one task can hold are cut
+    into pieces, and every pair of pieces gets a task."""
+    members = keep(distinct.join(candidates, F.col("id") == F.col("node")).select("id", "n", "its_doc", "its_mark", "label"), "members")
+    parts = F.greatest(F.ceil(F.sum("n") / PIECE_SHINGLES), F.ceil(F.count("*") / PIECE_SETS)).alias("parts")
+    cut = keep(members.groupBy("label").agg(parts).where("parts > 1").select(F.col("label").alias("cut_label"), "parts"), "cut")
+    found = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    texts = docs.select("doc_id", "mark", "text").join(found, (F.col("doc_id") == F.col("its_doc")) & (F.col("mark") == F.col("its_mark")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set((t.as_py() or "").encode(), words).tobytes() for t in batch.column(2)]
+            yield pa.record_batch([*batch.columns[:2], pa.array(sets, pa.binary())], ["label", "id", "shingles"])
+
+    sets = texts.select("label", "id", "text").mapInArrow(work, "label long, id long, shingles binary")
+    none = F.lit(0).cast("long")
+    if not cut.limit(1).count():
+        return verified_edges(sets, ["label"], similarity)
+    dealt = sets.join(F.broadcast(cut), F.col("label") == F.col("cut_label"), "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), "parts")).withColumn("other", F.explode(F.sequence(none, F.col("parts") - 1)))
+    return verified_edges(dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "shingles"), ["label", "i", "j"], similarity)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without all but the smallest doc_id of each group of near copies.
 
-    The similarity is that of the sets of shingles, judged from 256-bit fingerprints: sets of similarity s share
-    2s/(1+s) of their shingles, and fingerprints differ in acos(2s/(1+s))/pi of their bits on average. The radius
-    lies a fifth above that, so that few pairs of that similarity are missed. Rows without a doc_id stay.
+    Two documents link if the Jaccard similarity of their sets of shingles is at least ``similarity``; no other pair
+    does. Candidates come from 256-bit fingerprints that every shingle of the set votes on once: sets of similarity
+    s share 2s/(1+s) of their shingles, and fingerprints differ in acos(2s/(1+s))/pi of their bits on average.
+    Candidates may differ in four standard deviations more; all pairs of a group of candidates are then compared
+    by their sets. Rows without a doc_id stay.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    found = components(docs, words, lanes=4, radius=round(1.2 * share * 4 * BITS), share=share)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id"))
-    staying = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    radius = round((share + 4 * math.sqrt(share * (1 - share) / (4 * BITS))) * 4 * BITS)
+    marked = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    prints = set_prints(marked.where("doc_id IS NOT NULL"), words, 4)
+    first = F.min(F.struct("doc_id", "mark"))
+    distinct = keep(prints.groupBy("id", "n", *lane_names(4)).agg(first.alias("first")).select("id", "n", *lane_names(4), F.col("first.doc_id").alias("its_doc"), F.col("first.mark").alias("its_mark")), "distinct")
+    candidates = connected_components(links(distinct, sampled_tables(distinct.count(), 4, share), radius))
+    found = connected_components(similar_sets(marked, distinct, words, candidates, similarity))
+    label = F.coalesce("label", "id")
+    kept = distinct.join(found, F.col("id") == F.col("node"), "left").groupBy(label.alias("component")).agg(F.min("its_doc").alias("kept_id"))
+    staying = docs.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return staying.unionByName(docs.where("doc_id IS NULL"))
