@@ -3,10 +3,12 @@
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, so that a
 question whose figures or people were changed keeps its template. Windows of ``WORDS`` template tokens are hashed;
 a Bloom filter of fixed size, made from the benchmark, lets through the document windows that can match, and a
-hash join finds those that do. Matches on one diagonal (document position minus item position) count only if
-their slots are consistent: each value of the item always stands where the document has one and the same value.
-A document is contaminated by an item if consistent matches cover ``ENOUGH`` windows (as many as a run of 13 tokens
-has) or ``SHARE`` of the item. At least half of a window must be literal. Items of five to seven tokens are one
+hash join finds those that do. Of the matches on one diagonal (document position minus item position) those count
+that are consistent: each value of the item stands where the document has the value that it has in most of that
+value's places on the diagonal; windows with another value, or with one that has no such majority, are left out.
+Windows whose slots are the same as the item's, or that have none, are verbatim and count whatever the others say.
+A document is contaminated by an item if consistent or verbatim windows, each kind for itself, cover ``ENOUGH``
+windows (as many as a run of 13 tokens has) or ``SHARE`` of the item. At least half of a window must be literal. Items of five to seven tokens are one
 window; shorter ones match nothing.
 
 Null texts are empty. Rows without doc_id or item_id take no part (and are kept when documents are filtered).
@@ -16,6 +18,7 @@ Repeated rows count once. Other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +76,24 @@ def slots_in(slots: dict[int, str], at: int, words: int) -> list[str]:
     return [slots[i] for i in range(at, at + words) if i in slots] if slots else []
 
 
+def settled(found: list[tuple[int, list[int], list[str], list[str]]]) -> tuple[list[int], list[int], bool]:
+    """Of a diagonal's windows (item position, places of the slots, the item's values, the document's): the positions
+    of consistent ones, of verbatim ones, and whether all are verbatim."""
+    pairs = {place: (was, now) for _, places, item, doc in found for place, was, now in zip(places, item, doc, strict=True)}
+    votes: dict[str, Counter] = {}
+    for was, now in pairs.values():
+        votes.setdefault(was, Counter())[now] += 1
+    value = {}
+    for was, counts in votes.items():
+        (now, n), *rest = counts.most_common(2)
+        value[was] = now if not rest or n > rest[0][1] else None
+    consistent = [at for at, _, item, doc in found if all(value[was] == now for was, now in zip(item, doc, strict=True))]
+    verbatim = [at for at, _, item, doc in found if item == doc]
+    return consistent, verbatim, len(verbatim) == len(found)
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, pos, words, total (windows of the item), h, slots."""
+    """item_id, pos, words, total (windows of the item), h, slots, their places."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,13 +104,13 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 if words < SHORTEST:
                     continue
                 hashes = windows(tokens, slots, words).view(np.int64).tolist()
-                rows += [(item_id.as_py(), at, words, len(hashes), h, slots_in(slots, at, words)) for at, h in enumerate(hashes) if h]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.string())]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "item_pos", "words", "total", "h", "item_slots"])
+                rows += [(item_id.as_py(), at, words, len(hashes), h, slots_in(slots, at, words), [i for i in range(at, at + words) if i in slots]) for at, h in enumerate(hashes) if h]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.string()), pa.list_(pa.int64())]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["item_id", "item_pos", "words", "total", "h", "item_slots", "slot_places"])
 
     known = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id IS NOT NULL").distinct()
-    return known.mapInArrow(work, "item_id long, item_pos long, words long, total long, h long, item_slots array<string>")
+    return known.mapInArrow(work, "item_id long, item_pos long, words long, total long, h long, item_slots array<string>, slot_places array<long>")
 
 
 def bloom_of(items: DataFrame) -> np.ndarray:
@@ -135,19 +154,27 @@ def document_windows(docs: DataFrame, bloom: np.ndarray, sizes: list[int]) -> Da
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched (windows of the item that consistent matches cover), total, exact."""
+    """doc_id, item_id, matched (windows of the item that consistent or verbatim matches cover), total, exact."""
     items = keep(item_windows(benchmark), "items")
     sizes = sorted(r[0] for r in items.select("words").distinct().collect())  # at most four
     found = document_windows(docs, bloom_of(items), sizes)
     side = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
     joined = found.join(side, (F.col("doc_h") == F.col("h")) & (F.col("doc_words") == F.col("words")))
-    pairs = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("was"), b.alias("now")))
     diagonals = joined.groupBy("doc_id", "item_id", "total", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")).agg(
-        F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.collect_set(F.struct("item_pos", "slot_places", "item_slots", "doc_slots")).alias("found")
     )
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"]))) == F.size("pairs")
-    exact = F.forall("pairs", lambda p: p["was"] == p["now"])
-    covered = diagonals.where(consistent).groupBy("doc_id", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("matched"), F.min(exact).alias("exact"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [settled([tuple(w.values()) for w in found]) for found in batch.column(3).to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            kinds = [pa.list_(pa.int64())] * 2 + [pa.bool_()]
+            yield pa.record_batch([*batch.columns[:3], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "item_id", "total", "consistent", "verbatim", "exact"])
+
+    counted = diagonals.select("doc_id", "item_id", "total", "found").mapInArrow(work, "doc_id long, item_id long, total long, consistent array<long>, verbatim array<long>, exact boolean")
+    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    some = counted.where((F.size("consistent") > 0) | (F.size("verbatim") > 0))
+    covered = some.groupBy("doc_id", "item_id", "total").agg(F.greatest(places("consistent"), places("verbatim")).alias("matched"), F.min("exact").alias("exact"))
     return covered.where((F.col("matched") >= ENOUGH) | (F.col("matched") >= SHARE * F.col("total")))
 
 
