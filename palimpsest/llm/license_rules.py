@@ -1,6 +1,6 @@
 """Signature rules for license notices, written over normalised text: lower-case words joined by single spaces.
 
-Each line is a label, a gate (a word without which none of the label's rules can match) and the label's own
+Each line is a label, a gate (words of which every match of the label's rules has one) and the label's own
 patterns by kind, in the order of priority: ``tag`` identifiers, ``notice`` grants and sentences of the text,
 ``name`` full names, ``url`` addresses. Earlier lines win ties. ``|`` separates patterns of a kind.
 """
@@ -8,31 +8,31 @@ patterns by kind, in the order of priority: ``tag`` identifiers, ``notice`` gran
 from __future__ import annotations
 
 FAMILIES = r"""
-agpl-3.0 ~ agpl|affero ~ tag: agpl 3 0(?: only| or later)? ~ notice: gnu affero general public license(?: as published by the free software foundation)?(?: either)? version 3|licensed under (?:the )?agpl ?v?3 ~ name: gnu affero general public license v(?:ersion )?3|agplv3 ~ url: gnu org licenses agpl(?: 3 0)?
+agpl-3.0 ~ agpl|affero|agplv3|agpl3 ~ tag: agpl 3 0(?: only| or later)? ~ notice: gnu affero general public license(?: as published by the free software foundation)?(?: either)? version 3|licensed under (?:the )?agpl ?v?3 ~ name: gnu affero general public license v(?:ersion )?3|agplv3 ~ url: gnu org licenses agpl(?: 3 0)?
 agpl-1.0 ~ affero|agpl ~ tag: agpl 1 0(?: only| or later)? ~ name: affero general public license(?: version)? 1 ~ url: affero org oagpl
-lgpl-3.0 ~ lgpl|lesser ~ tag: lgpl 3 0(?: only| or later)? ~ notice: gnu lesser general public license(?: as published by the free software foundation)?(?: either)? version 3 ~ name: gnu lesser general public license v(?:ersion )?3|lgplv3 ~ url: gnu org licenses lgpl 3 0
-lgpl-2.1 ~ lgpl|lesser ~ tag: lgpl 2 1(?: only| or later)? ~ notice: gnu lesser general public license(?: as published by the free software foundation)?(?: either)? version 2 1 ~ name: gnu lesser general public license v(?:ersion )?2 1|lgplv2 1 ~ url: gnu org licenses (?:old licenses )?lgpl 2 1
+lgpl-3.0 ~ lgpl|lesser|lgplv3 ~ tag: lgpl 3 0(?: only| or later)? ~ notice: gnu lesser general public license(?: as published by the free software foundation)?(?: either)? version 3 ~ name: gnu lesser general public license v(?:ersion )?3|lgplv3 ~ url: gnu org licenses lgpl 3 0
+lgpl-2.1 ~ lgpl|lesser|lgplv2 ~ tag: lgpl 2 1(?: only| or later)? ~ notice: gnu lesser general public license(?: as published by the free software foundation)?(?: either)? version 2 1 ~ name: gnu lesser general public license v(?:ersion )?2 1|lgplv2 1 ~ url: gnu org licenses (?:old licenses )?lgpl 2 1
 lgpl-2.0 ~ lgpl|library ~ tag: lgpl 2 0(?: only| or later)? ~ notice: gnu library general public license(?: as published by the free software foundation)?(?: either)? version 2 ~ name: gnu library general public license(?: v(?:ersion )?2)? ~ url: gnu org licenses old licenses lgpl 2 0
-gpl-3.0 ~ gpl|gnu ~ tag: gpl 3 0(?: only| or later)? ~ notice: gnu general public license(?: as published by the free software foundation)?(?: either)? version 3(?: of the license)?(?: or at your option any later version)? ~ name: gnu gpl v?3|gpl ?v ?3|gnu general public license v ?3|gplv3 ~ url: gnu org licenses gpl 3 0
-gpl-2.0 ~ gpl|gnu ~ tag: gpl 2 0(?: only| or later)? ~ notice: gnu general public license(?: as published by the free software foundation)?(?: either)? version 2(?: of the license)?(?: or at your option any later version)? ~ name: gnu gpl v?2|gpl ?v ?2|gnu general public license v ?2|gplv2 ~ url: gnu org licenses (?:old licenses )?gpl 2 0
-gpl-1.0 ~ gpl|gnu ~ tag: gpl 1 0(?: only| or later)? ~ notice: gnu general public license(?: as published by the free software foundation)?(?: either)? version 1 ~ name: gpl ?v ?1|gplv1 ~ url: gnu org licenses old licenses gpl 1 0
+gpl-3.0 ~ gpl|gnu|gplv3|gplv ~ tag: gpl 3 0(?: only| or later)? ~ notice: gnu general public license(?: as published by the free software foundation)?(?: either)? version 3(?: of the license)?(?: or at your option any later version)? ~ name: gnu gpl v?3|gpl ?v ?3|gnu general public license v ?3|gplv3 ~ url: gnu org licenses gpl 3 0
+gpl-2.0 ~ gpl|gnu|gplv2|gplv ~ tag: gpl 2 0(?: only| or later)? ~ notice: gnu general public license(?: as published by the free software foundation)?(?: either)? version 2(?: of the license)?(?: or at your option any later version)? ~ name: gnu gpl v?2|gpl ?v ?2|gnu general public license v ?2|gplv2 ~ url: gnu org licenses (?:old licenses )?gpl 2 0
+gpl-1.0 ~ gpl|gnu|gplv1|gplv ~ tag: gpl 1 0(?: only| or later)? ~ notice: gnu general public license(?: as published by the free software foundation)?(?: either)? version 1 ~ name: gpl ?v ?1|gplv1 ~ url: gnu org licenses old licenses gpl 1 0
 gpl-exception ~ exception ~ tag: with (?:gcc|classpath|autoconf|bison|linux syscall|font|llvm) exception ~ notice: as a special exception (?:the copyright holders|to the gnu general public license|you may (?:create|use)) ~ name: classpath exception|gcc runtime library exception|linking exception
-gfdl-1.3 ~ gfdl|documentation ~ tag: gfdl 1 3(?: only| or later)? ~ notice: gnu free documentation license version 1 3 ~ name: gfdl ?v?1 3 ~ url: gnu org licenses fdl(?: 1 3)?
+gfdl-1.3 ~ gfdl|documentation|gfdl1|gfdlv1|fdl ~ tag: gfdl 1 3(?: only| or later)? ~ notice: gnu free documentation license version 1 3 ~ name: gfdl ?v?1 3 ~ url: gnu org licenses fdl(?: 1 3)?
 gfdl-1.2 ~ gfdl|documentation ~ tag: gfdl 1 2(?: only| or later)? ~ notice: gnu free documentation license version 1 2 ~ name: gnu free documentation license
-apache-2.0 ~ apache ~ tag: apache 2 0 ~ notice: licensed under the apache license(?: version)? 2 0|you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org ~ name: apache (?:software )?license(?: v(?:ersion)?)? ?2(?: 0)?|apache2? license 2|asl 2 0 ~ url: apache org licenses license 2 0
+apache-2.0 ~ apache|apache2|asl ~ tag: apache 2 0 ~ notice: licensed under the apache license(?: version)? 2 0|you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org ~ name: apache (?:software )?license(?: v(?:ersion)?)? ?2(?: 0)?|apache2? license 2|asl 2 0 ~ url: apache org licenses license 2 0
 apache-1.1 ~ apache ~ tag: apache 1 1 ~ notice: the apache software license version 1 1 ~ name: apache (?:software )?license(?: v(?:ersion)?)? ?1 1 ~ url: apache org licenses license 1 1
 apache-1.0 ~ apache ~ tag: apache 1 0 ~ notice: this product includes software developed by the apache group ~ name: apache (?:software )?license(?: v(?:ersion)?)? ?1 0 ~ url: apache org licenses license 1 0
 mit-0 ~ mit ~ tag: mit 0 ~ name: mit no attribution(?: license)?
 mit ~ mit|permission|expat ~ tag: identifier mit|license mit ~ notice: permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files|(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit(?: license)? ~ name: the mit license|mit license mit|expat license|mit expat ~ url: opensource org licenses mit(?: license)?
 x11 ~ x11|consortium ~ tag: identifier x11 ~ notice: except as contained in this notice the name of the x consortium ~ name: x11 license|mit x11
-isc ~ isc|permission ~ tag: identifier isc ~ notice: permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted ~ name: isc license|internet systems consortium license ~ url: opensource org licenses isc
+isc ~ isc|permission|systems ~ tag: identifier isc ~ notice: permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted ~ name: isc license|internet systems consortium license ~ url: opensource org licenses isc
 bsd-4-clause ~ bsd|advertising ~ tag: bsd 4 clause(?: uc)? ~ notice: all advertising materials mentioning features or use of this software must display ~ name: (?:original|old|four clause|4 clause) bsd(?: license)?
 bsd-3-clause ~ bsd|redistribution|neither ~ tag: bsd 3 clause(?: clear| lbnl)? ~ notice: neither the name of (?:the )?(?:\S+ ){1,12}?nor the names of its contributors may be used to endorse ~ name: (?:new|modified|revised|three clause|3 clause) bsd(?: license)? ~ url: opensource org licenses bsd 3 clause
-bsd-2-clause ~ bsd ~ tag: bsd 2 clause(?: patent| views)? ~ name: (?:simplified|freebsd|two clause|2 clause) bsd(?: license)?|freebsd license ~ url: opensource org licenses bsd 2 clause
+bsd-2-clause ~ bsd|freebsd ~ tag: bsd 2 clause(?: patent| views)? ~ name: (?:simplified|freebsd|two clause|2 clause) bsd(?: license)?|freebsd license ~ url: opensource org licenses bsd 2 clause
 bsd-1-clause ~ bsd ~ tag: bsd 1 clause
-0bsd ~ 0bsd|bsd ~ tag: identifier 0bsd ~ name: zero clause bsd(?: license)?|bsd zero clause|free public license 1 0 0
+0bsd ~ 0bsd|bsd|free ~ tag: identifier 0bsd ~ name: zero clause bsd(?: license)?|bsd zero clause|free public license 1 0 0
 bsd ~ bsd|redistribution ~ notice: redistribution and use in source and binary forms with or without modification are permitted|(?:released|licensed|distributed) under (?:the |a )?bsd(?: style)? license ~ name: bsd license|bsd style license
-mpl-2.0 ~ mpl|mozilla ~ tag: mpl 2 0(?: no copyleft exception)? ~ notice: this source code form is subject to the terms of the mozilla public license v 2 0 ~ name: mozilla public license(?: v(?:ersion)?)? ?2(?: 0)?|mplv2 ~ url: mozilla org mpl 2 0
+mpl-2.0 ~ mpl|mozilla|mplv2 ~ tag: mpl 2 0(?: no copyleft exception)? ~ notice: this source code form is subject to the terms of the mozilla public license v 2 0 ~ name: mozilla public license(?: v(?:ersion)?)? ?2(?: 0)?|mplv2 ~ url: mozilla org mpl 2 0
 mpl-1.1 ~ mpl|mozilla ~ tag: mpl 1 1 ~ notice: the contents of this file are subject to the mozilla public license version 1 1 ~ name: mozilla public license(?: v(?:ersion)?)? ?1 1 ~ url: mozilla org mpl 1 1
 mpl-1.0 ~ mpl|mozilla ~ tag: mpl 1 0 ~ name: mozilla public license(?: v(?:ersion)?)? ?1 0
 npl-1.1 ~ npl|netscape ~ tag: npl 1 1 ~ name: netscape public license(?: version 1 [01])?
@@ -42,7 +42,7 @@ edl-1.0 ~ eclipse ~ name: eclipse distribution license(?: v(?:ersion)?)?(?: 1 0)
 cpl-1.0 ~ cpl|common ~ tag: cpl 1 0 ~ name: common public license(?: v(?:ersion)?)?(?: 1 0)?
 ipl-1.0 ~ ibm|ipl ~ tag: ipl 1 0 ~ name: ibm public license(?: version 1 0)?
 cddl-1.1 ~ cddl|common ~ tag: cddl 1 1 ~ name: common development and distribution license(?: v(?:ersion)?)? ?1 1
-cddl-1.0 ~ cddl|common ~ tag: cddl 1 0 ~ notice: subject to the terms of the common development and distribution license ~ name: common development and distribution license(?: v(?:ersion)?)?(?: 1 0)?|cddl license ~ url: opensource org licenses cddl1
+cddl-1.0 ~ cddl|common|cddl1 ~ tag: cddl 1 0 ~ notice: subject to the terms of the common development and distribution license ~ name: common development and distribution license(?: v(?:ersion)?)?(?: 1 0)?|cddl license ~ url: opensource org licenses cddl1
 eupl-1.2 ~ eupl|european ~ tag: eupl 1 2 ~ notice: licensed under the eupl(?: version)? 1 2 ~ name: european union public licen[cs]e(?: v(?:ersion)?)? ?1 2
 eupl-1.1 ~ eupl|european ~ tag: eupl 1 1 ~ notice: licensed under the eupl(?: version)? 1 1 ~ name: european union public licen[cs]e(?: v(?:ersion)?)?(?: 1 1)?
 artistic-2.0 ~ artistic ~ tag: artistic 2 0 ~ name: artistic license(?: v(?:ersion)?)? ?2(?: 0)? ~ url: perlfoundation org artistic license 2 0
@@ -53,7 +53,7 @@ busl-1.1 ~ busl|business ~ tag: busl 1 1 ~ name: business source license(?: 1 1)
 sspl-1.0 ~ sspl|server ~ tag: sspl 1 0 ~ name: server side public license(?: v(?:ersion)?)?(?: 1)?
 elastic-2.0 ~ elastic ~ tag: elastic 2 0 ~ name: elastic license(?: v(?:ersion)?)?(?: 2(?: 0)?)?
 zlib ~ zlib|warranty ~ tag: identifier zlib(?: acknowledgement)? ~ notice: this software is provided as is without any express or implied warranty in no event will the authors be held liable ~ name: zlib license|zlib libpng license
-libpng-2.0 ~ libpng ~ tag: libpng 2 0|identifier libpng ~ name: libpng license|png reference library license
+libpng-2.0 ~ libpng|png ~ tag: libpng 2 0|identifier libpng ~ name: libpng license|png reference library license
 libtiff ~ libtiff ~ tag: identifier libtiff ~ name: libtiff license
 ijg ~ ijg|jpeg ~ tag: identifier ijg ~ notice: this software is based in part on the work of the independent jpeg group ~ name: independent jpeg group license
 curl ~ curl ~ tag: identifier curl ~ name: curl license
@@ -68,10 +68,10 @@ ncsa ~ ncsa|illinois ~ tag: identifier ncsa ~ name: university of illinois ncsa
 upl-1.0 ~ upl|universal ~ tag: upl 1 0 ~ name: universal permissive license(?: v(?:ersion)?)?(?: 1 0)?
 unlicense ~ unlicense|unencumbered ~ tag: identifier unlicense ~ notice: this is free and unencumbered software released into the public domain ~ name: the unlicense ~ url: unlicense org
 wtfpl ~ wtfpl|want ~ tag: identifier wtfpl ~ name: do what the fuck you want to public license|do what the f u want to public license|wtfpl
-cc0-1.0 ~ cc0|universal ~ tag: cc0 1 0 ~ notice: to the extent possible under law (?:\S+ ){1,12}?has waived all copyright ~ name: cc0(?: 1 0)?(?: universal)?|creative commons zero(?: v?1 0)?|cc zero ~ url: creativecommons org publicdomain zero 1 0
+cc0-1.0 ~ cc0|universal|zero|waived ~ tag: cc0 1 0 ~ notice: to the extent possible under law (?:\S+ ){1,12}?has waived all copyright ~ name: cc0(?: 1 0)?(?: universal)?|creative commons zero(?: v?1 0)?|cc zero ~ url: creativecommons org publicdomain zero 1 0
 pddl-1.0 ~ pddl|domain ~ tag: pddl 1 0 ~ name: open data commons public domain dedication(?: and)? licen[cs]e
 odbl-1.0 ~ odbl|database ~ tag: odbl 1 0 ~ notice: made available under the open database licen[cs]e ~ name: open (?:data commons open )?database licen[cs]e(?: v?1 0)? ~ url: opendatacommons org licenses odbl
-odc-by-1.0 ~ odc|attribution ~ tag: odc by 1 0 ~ name: open data commons attribution licen[cs]e ~ url: opendatacommons org licenses by
+odc-by-1.0 ~ odc|attribution|opendatacommons ~ tag: odc by 1 0 ~ name: open data commons attribution licen[cs]e ~ url: opendatacommons org licenses by
 cc-by-nc-nd ~ cc|creative|creativecommons ~ tag: cc by nc nd [1-4] [05] ~ notice: creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: works)?(?: [1-4] [05])?(?: international| unported| generic)? ~ name: cc by nc nd ~ url: creativecommons org licenses by nc nd [1-4] [05]
 cc-by-nc-sa ~ cc|creative|creativecommons ~ tag: cc by nc sa [1-4] [05] ~ notice: creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported| generic)? ~ name: cc by nc sa ~ url: creativecommons org licenses by nc sa [1-4] [05]
 cc-by-nc ~ cc|creative|creativecommons ~ tag: cc by nc [1-4] [05] ~ notice: creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported| generic)? ~ name: cc by nc ~ url: creativecommons org licenses by nc [1-4] [05]
@@ -88,7 +88,7 @@ ms-rl ~ ms|microsoft ~ tag: identifier ms rl ~ name: microsoft reciprocal licens
 apsl-2.0 ~ apsl|apple ~ tag: apsl [12] [0-2] ~ notice: subject to the apple public source license version ~ name: apple public source license(?: [12] [0-2])?
 qpl-1.0 ~ qpl|q ~ tag: qpl 1 0 ~ name: q public license(?: version 1 0)?
 sleepycat ~ sleepycat ~ tag: identifier sleepycat ~ name: sleepycat license
-w3c ~ w3c ~ tag: identifier w3c(?: 20150513| 19980720)? ~ name: w3c software (?:notice and )?(?:and document )?license ~ url: w3 org consortium legal (?:2015 )?copyright software
+w3c ~ w3c|w3 ~ tag: identifier w3c(?: 20150513| 19980720)? ~ name: w3c software (?:notice and )?(?:and document )?license ~ url: w3 org consortium legal (?:2015 )?copyright software
 unicode ~ unicode ~ tag: unicode dfs 201[56]|unicode 3 0|unicode tou ~ name: unicode license(?: v3| agreement)? ~ url: unicode org copyright
 icu ~ icu ~ tag: identifier icu ~ name: icu license
 openldap-2.8 ~ openldap|oldap ~ tag: oldap 2 [0-8] ~ name: openldap public license(?: version 2 [0-8])?
@@ -104,7 +104,7 @@ eudatagrid ~ datagrid|eudatagrid ~ tag: identifier eudatagrid ~ name: eu datagri
 fsfap ~ fsfap|medium ~ tag: identifier fsfap ~ notice: copying and distribution of this file with or without modification are permitted in any medium without royalty
 hpnd ~ hpnd|historical ~ tag: identifier hpnd ~ name: historical permission notice and disclaimer
 intel ~ intel ~ tag: identifier intel ~ name: intel open source license
-lpl-1.02 ~ lucent ~ tag: lpl 1 0(?:2)? ~ name: lucent public license(?: version 1 02)?
+lpl-1.02 ~ lucent|lpl ~ tag: lpl 1 0(?:2)? ~ name: lucent public license(?: version 1 02)?
 nasa-1.3 ~ nasa ~ tag: nasa 1 3 ~ name: nasa open source agreement(?: 1 3)?
 naist-2003 ~ naist ~ tag: naist 2003
 rpl-1.5 ~ reciprocal|rpl ~ tag: rpl 1 [15] ~ name: reciprocal public license(?: 1 [15])?
@@ -113,10 +113,10 @@ spl-1.0 ~ sun|spl ~ tag: spl 1 0 ~ name: sun public license(?: version 1 0)?
 vsl-1.0 ~ vovida|vsl ~ tag: vsl 1 0 ~ name: vovida software license
 watcom-1.0 ~ watcom|sybase ~ tag: watcom 1 0 ~ name: sybase open watcom public license
 zpl-2.1 ~ zope|zpl ~ tag: zpl [12] [01] ~ name: zope public license(?: v(?:ersion)?)?(?: 2 [01])?
-openrail ~ openrail|rail|bigscience ~ tag: (?:creativeml|bigscience|bigcode)? ?open ?rail m(?: v1)? ~ name: responsible ai license|open rail m? ?license
+openrail ~ openrail|rail|bigscience|responsible|creativemlopenrail|bigscienceopenrail|bigcodeopenrail ~ tag: (?:creativeml|bigscience|bigcode)? ?open ?rail m(?: v1)? ~ name: responsible ai license|open rail m? ?license
 llama ~ llama ~ notice: llama [234](?: [0-3])? is licensed under the llama [234](?: [0-3])? community license ~ name: llama [234](?: [0-3])? community license(?: agreement)?
 gemma ~ gemma ~ name: gemma terms of use
-proprietary ~ rights|proprietary|confidential ~ notice: proprietary and confidential|unauthorized (?:copying|use|distribution) of this (?:file|software|document)(?: via any medium)? is (?:strictly )?prohibited ~ name: all rights reserved
+proprietary ~ rights|proprietary|confidential|unauthorized ~ notice: proprietary and confidential|unauthorized (?:copying|use|distribution) of this (?:file|software|document)(?: via any medium)? is (?:strictly )?prohibited ~ name: all rights reserved
 eula ~ license|licence ~ name: end user licen[cs]e agreement
 """
 
