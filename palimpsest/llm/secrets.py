@@ -4,6 +4,7 @@ Base spans come from three patterns: assignments, access key ids and long hexade
 only where a candidate decodes into something that parses: base64 or hex that is a DER sequence whose nested
 lengths fill it exactly and that has the layout of a private key (PKCS#1, PKCS#8, SEC 1, DSA), an OpenSSH key
 container with consistent length fields, or a signed token whose header is a JSON object naming an algorithm.
+Every long run of base64 is tried, joined over line breaks, escaped ones too, also for a PEM block encoded in it.
 
 Spans are code points, end exclusive. Null texts are empty. Rows are independent: repeated rows repeat, a null
 doc_id stays null, other columns are not read.
@@ -27,10 +28,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A keyword of an assignment, as cheap tests of the lower-cased text.
 KEYWORDS = ("passw", "secret", "token", "api")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,})")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,24}PRIVATE KEY)-----\s*((?:[A-Za-z-]+:[^\n]*\n)*\s*[A-Za-z0-9+/=\s]+?)\s*-----END \1-----")
-#: DER sequences start with 0x30 and a length, OpenSSH containers with their magic: M and b3Blb in base64, 30 in hex.
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{31,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{31,})={0,2}")
+#: A header is a brace after any blanks: e, or C, D, I for the blanks.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([eCDI][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{8,}))")
+#: What may stand between lines of base64: line breaks, also escaped ones, and the escape of a slash.
+JOIN = r"(?:(?:\\+r)?\\+n[\x20\t]*|\\+r|\r?\n[\x20\t]*|\\+(?=/))"
+JOINS = re.compile(JOIN)
+BODY = r"(?:\\+[rn]|\\+(?=/)|[A-Za-z0-9+/=\s])"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,24}}PRIVATE KEY)-----(?:\s|\\+[rn])*((?:[A-Za-z-]+:[^\n\\]*(?:\n|(?:\\+r)?\\+n))*{BODY}+?)-----END \1-----")
+#: Base64 over any number of lines. DER sequences start with M, wherever in it; OpenSSH containers with their magic.
+BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{JOIN}[A-Za-z0-9+/_-]+)*")
+OPENSSH = "b3BlbnNzaC1rZXktdjE"
+#: The end of a PEM block's first line in base64, at each of three alignments.
+ENCODED_PEM = [base64.b64encode(b"\0" * k + b"PRIVATE KEY-----").decode()[k and 4 : 20] for k in range(3)]
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 KINDS = ("assign", "access", "hex", "der", "openssh", "pem", "jwt")
 
@@ -115,6 +124,74 @@ def key_kind(data: bytes) -> str:
     return "openssh" if openssh_key(data) else "der" if private_key(data) else ""
 
 
+def der_size(data: bytes) -> int:
+    """Bytes of the DER sequence that starts here, by its header; 0 if none does."""
+    if len(data) < 6 or data[0] != 0x30:
+        return 0
+    n = data[1] & 0x7F
+    if data[1] < 0x80:
+        return 2 + n
+    return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
+
+
+def openssh_size(data: bytes) -> int:
+    """Bytes of an OpenSSH container up to the end of its private part; all if that is cut off."""
+    at = 15
+    for k in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    for _ in range(keys + 1):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return min(at, len(data))
+
+
+def pem_confirmed(m: re.Match) -> bool:
+    plain = re.sub(r"\\+(?=/)", "", re.sub(r"\\+[rn]", "\n", m[2]))
+    return "Proc-Type" in plain or bool(key_kind(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", plain))))
+
+
+def whole64(text: str) -> bytes:
+    return decode64(text[:-1] if len(text) % 4 == 1 else text)
+
+
+def run_spans(run: str) -> list[tuple[str, int, int]]:
+    """Keys in a run of base64: kind, start, end."""
+    cuts = [(m.start(), m.end()) for m in JOINS.finditer(run)]
+    joined, places = run, None
+    if cuts:
+        joined = JOINS.sub("", run)
+        places, at = [], 0
+        for a, b in [*cuts, (len(run), len(run))]:
+            places.extend(range(at, a))
+            at = b
+    place = (lambda i: places[i]) if places is not None else (lambda i: i)
+    if len(joined) < 32:
+        return []
+    if any(x in joined for x in ENCODED_PEM):
+        for k in range(4):
+            if any(map(pem_confirmed, PEM.finditer(whole64(joined[k:]).decode("latin-1")))):
+                return [("pem", 0, len(run))]
+    spans, at = [], 0
+    while (at := joined.find("M", at)) >= 0:
+        size = der_size(decode64(joined[at : at + 8]))
+        chars = -(-size * 4 // 3)
+        if size and at + chars <= len(joined) and private_key(decode64(joined[at : at + chars])[:size]):
+            spans.append(("der", place(at), place(at + chars - 1) + 1))
+            at += chars
+        else:
+            at += 1
+    at = 0
+    while (at := joined.find(OPENSSH, at)) >= 0:
+        data = whole64(joined[at:])
+        if openssh_key(data):
+            chars = -(-openssh_size(data) * 4 // 3)
+            spans.append(("openssh", place(at), place(min(at + chars, len(joined)) - 1) + 1))
+            at += chars
+        else:
+            at += 1
+    return spans
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     lowered = text.lower()
     spans = []
@@ -128,16 +205,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     spans = []
-    if "eyJ" in text:
-        spans += [("jwt", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[1], m[2])]
+    spans += [("jwt", m.start(), m.end(3)) for m in TOKEN.finditer(text) if signed_token(m[1], m[2])]
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])
-            if "Proc-Type" in m[2] or key_kind(decode64(body)):
-                spans.append(("pem", m.start(), m.end()))
+        spans += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if pem_confirmed(m)]
+    blocks = [(a, b) for k, a, b in spans if k == "pem"]
     for m in BASE64_RUN.finditer(text):
-        if kind := key_kind(decode64(m[0])):
-            spans.append((kind, m.start(), m.end()))
+        for kind, a, b in run_spans(m[0]):
+            a, b = m.start() + a, m.start() + b
+            b += len(re.match("={0,2}", text[b : b + 2])[0])
+            if not any(x <= a and b <= y for x, y in blocks):
+                spans.append((kind, a, b))
     for m in HEX_RUN.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
             spans.append((kind, m.start(), m.end()))
