@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ASCII_LOWER, connected_components, discard, keep
+from palimpsest.llm.common import ASCII_LOWER, connected_components, fresh, keep
 
 BITS = 64
 FULL, GOLDEN = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
@@ -429,6 +429,11 @@ def similar_sets(docs: DataFrame, distinct: DataFrame, words: int, candidates: D
     return verified_edges(dealt.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "shingles"), ["label", "i", "j"], similarity)
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """XXH64 of all columns; maps, which have no hash, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema])
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without all but the smallest doc_id of each group of near copies.
 
@@ -436,17 +441,26 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     does. Candidates come from 256-bit fingerprints that every shingle of the set votes on once: sets of similarity
     s share 2s/(1+s) of their shingles, and fingerprints differ in acos(2s/(1+s))/pi of their bits on average.
     Candidates may differ in four standard deviations more; all pairs of a group of candidates are then compared
-    by their sets. Rows without a doc_id stay.
+    by their sets. Rows without a doc_id stay. Texts that share a doc_id are compared like any others; of rows with the
+    same doc_id and text that one stays whose columns have the smallest hash. All columns stay as they are.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = round((share + 4 * math.sqrt(share * (1 - share) / (4 * BITS))) * 4 * BITS)
-    marked = docs.withColumn("text", F.col("text").cast("string")).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    mark, row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), row_hash(docs)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), mark.alias("mark"))
     prints = set_prints(marked.where("doc_id IS NOT NULL"), words, 4)
     first = F.min(F.struct("doc_id", "mark"))
     distinct = keep(prints.groupBy("id", "n", *lane_names(4)).agg(first.alias("first")).select("id", "n", *lane_names(4), F.col("first.doc_id").alias("its_doc"), F.col("first.mark").alias("its_mark")), "distinct")
     candidates = connected_components(links(distinct, sampled_tables(distinct.count(), 4, share), radius))
     found = connected_components(similar_sets(marked, distinct, words, candidates, similarity))
     label = F.coalesce("label", "id")
-    kept = distinct.join(found, F.col("id") == F.col("node"), "left").groupBy(label.alias("component")).agg(F.min("its_doc").alias("kept_id"))
-    staying = docs.join(kept.select("kept_id"), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    first = F.min(F.struct("its_doc", "its_mark")).alias("kept")
+    kept = distinct.join(found, F.col("id") == F.col("node"), "left").groupBy(label.alias("component")).agg(first).select("kept.*")
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("row_doc"), mark.alias("row_mark"), row.alias("row"))
+    chosen = rows.join(kept, (F.col("row_doc") == F.col("its_doc")) & (F.col("row_mark") == F.col("its_mark"))).groupBy("row_doc", "row_mark").agg(F.min("row").alias("row"))
+    names = [fresh(docs, n) for n in ("kept_id", "kept_mark", "kept_row")]
+    own_mark, own_row = fresh(docs, "own_mark"), fresh(docs, "own_row")
+    both = docs.withColumns({own_mark: mark, own_row: row})
+    same = (F.col("doc_id") == F.col(names[0])) & (F.col(own_mark) == F.col(names[1])) & (F.col(own_row) == F.col(names[2]))
+    staying = both.join(chosen.toDF(*names), same, "left_semi").dropDuplicates(["doc_id", own_mark, own_row]).drop(own_mark, own_row)
     return staying.unionByName(docs.where("doc_id IS NULL"))
