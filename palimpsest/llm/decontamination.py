@@ -27,13 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import keep
+from palimpsest.llm.common import fresh, keep
 from palimpsest.llm.substring_dedup import MULTIPLIERS, window_hashes
 from palimpsest.llm.toxicity import SEPARATORS
 
 WORDS, SHORTEST, ENOUGH, SHARE = 8, 5, 6, 0.6
-#: Bits of the Bloom filter, whatever the benchmark's size; rows of a table that is broadcast.
-BLOOM, BROADCAST_ROWS = 1 << 23, 200_000
+#: Bits of the Bloom filter, whatever the benchmark's size; rows of a table that is broadcast; beyond it, tasks that
+#: a frequent template's rows are dealt to.
+BLOOM, BROADCAST_ROWS, SALTS = 1 << 23, 200_000, 16
 UNITS = "percent|%|kg|g|mg|km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|pounds?|usd|eur|lit(?:er|re)s?|l|ml|mph|degrees?|meters?|metres?"
 SLOT = re.compile(
     rf"(?P<num>[$€£]?\d(?:[\d.,:/]*\d)?)(?:\s?(?P<unit>(?:{UNITS})\b|%))?"
@@ -158,8 +159,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = keep(item_windows(benchmark), "items")
     sizes = sorted(r[0] for r in items.select("words").distinct().collect())  # at most four
     found = document_windows(docs, bloom_of(items), sizes)
-    side = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    joined = found.join(side, (F.col("doc_h") == F.col("h")) & (F.col("doc_words") == F.col("words")))
+    same = (F.col("doc_h") == F.col("h")) & (F.col("doc_words") == F.col("words"))
+    if items.count() <= BROADCAST_ROWS:
+        joined = found.join(F.broadcast(items), same)
+    else:
+        salted = found.withColumn("doc_salt", F.pmod(F.xxhash64("doc_id", "doc_pos"), F.lit(SALTS)))
+        joined = salted.join(items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), same & (F.col("doc_salt") == F.col("salt")))
     diagonals = joined.groupBy("doc_id", "item_id", "total", (F.col("doc_pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.collect_set(F.struct("item_pos", "slot_places", "item_slots", "doc_slots")).alias("found")
     )
@@ -189,7 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates."""
-    bad = keep(contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")), "contaminated")
+    """The documents that no item contaminates, with all their columns. Of rows that share a doc_id all go, if one is
+    contaminated; rows without a doc_id stay."""
+    its_id = fresh(docs, "bad_id")
+    bad = keep(contaminated(docs, benchmark).select(F.col("doc_id").alias(its_id)), "contaminated")
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(side, F.col("doc_id") == F.col("bad_id"), "left_anti")
+    return docs.join(side, F.col("doc_id").cast("long") == F.col(its_id), "left_anti")
