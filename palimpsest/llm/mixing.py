@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, keep
+from palimpsest.llm.common import WORD, fresh, keep
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix"
 #: Sources up to which their table (a few dozen bytes each) is broadcast; beyond, it is joined by a shuffle.
@@ -52,28 +52,32 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return known.select("its_source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The documents' columns with size, source_size, target and copies, how often the mix takes each row."""
-    sized = docs.withColumn("size", words_in(F.col("text")))
-    known = keep(targets(sized.select("source", "size"), weights, most), "targets")
+def taken(docs: DataFrame, copies: str, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The documents' columns and a struct ``copies``: n (how often the mix takes each row), source_size, target."""
+    sized = docs.select(F.col("source"), words_in(F.col("text")).alias("size"))
+    known = keep(targets(sized, weights, most), "targets")
+    its_source, its_size, its_target = (fresh(docs, n) for n in ("its_source", "its_size", "its_target"))
+    side = known.toDF(its_source, its_size, its_target)
     if known.count() <= BROADCAST_SOURCES:
-        known = F.broadcast(known)
-    joined = sized.join(known, F.col("source").eqNullSafe(F.col("its_source")), "left").drop("its_source")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("copies", copies.cast("long"))
+        side = F.broadcast(side)
+    joined = docs.join(side, F.col("source").eqNullSafe(F.col(its_source)), "left")
+    rate = F.when(F.col(its_size) > 0, F.least(F.col(its_target) / F.col(its_size), F.lit(float(most)))).otherwise(F.lit(0.0))
+    n = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    return joined.select(*[F.col(c) for c in docs.columns], F.struct(n.cast("long").alias("n"), F.col(its_size).alias("source_size"), F.col(its_target).alias("target")).alias(copies))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    found = mixed(docs.select("doc_id", "text", "source"))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    found = taken(docs.select("doc_id", "text", "source"), "copies").withColumn("size", words_in(F.col("text")))
+    return found.select("doc_id", "size", "copies.source_size", "copies.target", (F.col("copies.n") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, numbered from 1 in column copy."""
-    columns = docs.columns
-    taken = mixed(docs.select(*[F.col(c) for c in columns if c not in ("size", "source_size", "target", "copies", "copy")])).where("copies > 0")
-    return taken.select(*[c for c in columns if c in taken.columns and c not in ("size", "source_size", "target", "copies")], F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    """The mix itself: each document as often as it is taken, numbered from 1 in column copy. All columns stay as they
+    are, but for one named copy, which the numbers replace."""
+    docs = docs.drop("copy")
+    copies = fresh(docs, "copies")
+    found = taken(docs, copies).where(F.col(copies)["n"] > 0)
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)["n"])).alias("copy"))
 
 
 ORACLE = r"""
