@@ -33,14 +33,17 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=([eCDI][A-Za-z0-9_-]{6,})\.([A-Za-z0-9
 #: What may stand between lines of base64: line breaks, also escaped ones, and the escape of a slash.
 JOIN = r"(?:(?:\\+r)?\\+n[\x20\t]*|\\+r|\r?\n[\x20\t]*|\\+(?=/))"
 JOINS = re.compile(JOIN)
-BODY = r"(?:\\+[rn]|\\+(?=/)|[A-Za-z0-9+/=\s])"
-PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]{{0,24}}PRIVATE KEY)-----(?:\s|\\+[rn])*((?:[A-Za-z-]+:[^\n\\]*(?:\n|(?:\\+r)?\\+n))*{BODY}+?)-----END \1-----")
+#: First line of a PEM block; headers that name the cipher of an encrypted one, and bytes in a block of it.
+PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,24}PRIVATE KEY)-----")
+PEM_CIPHER = re.compile(r"(?m)^DEK-Info: ?([A-Z0-9-]+), ?([0-9A-Fa-f]+)\s*$")
+CIPHER_BLOCKS = {"DES": 8, "AES": 16, "CAM": 16, "IDE": 8, "RC2": 8, "BF-": 8, "CAS": 8, "SEE": 16}
 #: Base64 over any number of lines. DER sequences start with M, wherever in it; OpenSSH containers with their magic.
 BASE64_RUN = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{JOIN}[A-Za-z0-9+/_-]+)*")
 OPENSSH = "b3BlbnNzaC1rZXktdjE"
 #: The end of a PEM block's first line in base64, at each of three alignments.
 ENCODED_PEM = [base64.b64encode(b"\0" * k + b"PRIVATE KEY-----").decode()[k and 4 : 20] for k in range(3)]
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
+#: A DER sequence or an OpenSSH container in hex digits.
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[Ff]70656[Ee]7373682[Dd])[0-9A-Fa-f]{46,}(?![0-9A-Fa-f])")
 KINDS = ("assign", "access", "hex", "der", "openssh", "pem", "jwt")
 
 
@@ -145,9 +148,26 @@ def openssh_size(data: bytes) -> int:
     return min(at, len(data))
 
 
-def pem_confirmed(m: re.Match) -> bool:
-    plain = re.sub(r"\\+(?=/)", "", re.sub(r"\\+[rn]", "\n", m[2]))
-    return "Proc-Type" in plain or bool(key_kind(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", plain))))
+def pem_confirmed(body: str) -> bool:
+    """Whether what stands between the first and last line of a PEM block decodes to a key. An encrypted body can't be
+    parsed; it must be whole blocks of the cipher that its header names, with an initial vector of that size."""
+    plain = re.sub(r"\\+(?=/)", "", re.sub(r"\\+[rn]", "\n", body))
+    data = decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", plain))
+    if "Proc-Type" in plain and (cipher := PEM_CIPHER.search(plain)):
+        block = CIPHER_BLOCKS.get(cipher[1][:3], 0)
+        return bool(block) and len(cipher[2]) == 2 * block and len(data) >= 64 and len(data) % block == 0
+    return bool(key_kind(data))
+
+
+def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of confirmed blocks. Each first line is paired with the next last line of its kind, unless another first
+    line comes before that; each body is read once."""
+    begins = list(PEM_BEGIN.finditer(text))
+    for m, after in zip(begins, [*(b.start() for b in begins[1:]), len(text)], strict=True):
+        last = f"-----END {m[1]}-----"
+        end = text.find(last, m.end(), after)
+        if end >= 0 and pem_confirmed(text[m.end() : end]):
+            yield m.start(), end + len(last)
 
 
 def whole64(text: str) -> bytes:
@@ -169,7 +189,7 @@ def run_spans(run: str) -> list[tuple[str, int, int]]:
         return []
     if any(x in joined for x in ENCODED_PEM):
         for k in range(4):
-            if any(map(pem_confirmed, PEM.finditer(whole64(joined[k:]).decode("latin-1")))):
+            if any(pem_blocks(whole64(joined[k:]).decode("latin-1"))):
                 return [("pem", 0, len(run))]
     spans, at = [], 0
     while (at := joined.find("M", at)) >= 0:
@@ -207,7 +227,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     spans = []
     spans += [("jwt", m.start(), m.end(3)) for m in TOKEN.finditer(text) if signed_token(m[1], m[2])]
     if "PRIVATE KEY-----" in text:
-        spans += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if pem_confirmed(m)]
+        spans += [("pem", a, b) for a, b in pem_blocks(text)]
     blocks = [(a, b) for k, a, b in spans if k == "pem"]
     for m in BASE64_RUN.finditer(text):
         for kind, a, b in run_spans(m[0]):
