@@ -7,7 +7,8 @@ fixed size, so what is broadcast and what the driver sees never grows with the d
 
 Rows without a vec_id, without a vector, or with a null or non-finite component take no part. Of rows that share a
 query's vec_id the smallest vector asks, and none is a candidate of it; other repeated rows each take a place.
-Vectors of unequal length are compared over the components both have.
+Vectors of unequal length are compared over the components both have. Components count as at most 1e300 in size
+after scaling, and scores are held within plus and minus ``MOST``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import keep, shared_path
 
-SCALE, BLOCK, BINS, ROWS = 1024, 1024, 1024, 2048
+#: Queries of a scan, and of one product within it.
+SCALE, BLOCK, PORTION, BINS, ROWS = 1024, 4096, 1024, 1024, 2048
+#: Scores are longs; this much room lets offsets between any two of them be counted in 64 bits.
+MOST = (1 << 63) - 2 * BINS
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -34,7 +38,8 @@ def matrix(vectors: pa.Array) -> np.ndarray:
     offsets, values = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
     lengths = np.diff(offsets)
     width = int(lengths.max(initial=0))
-    values = np.floor(SCALE * values[offsets[0] : offsets[-1]])
+    with np.errstate(over="ignore"):
+        values = np.clip(np.floor(SCALE * values[offsets[0] : offsets[-1]]), -1e300, 1e300)
     if (lengths == width).all():
         return values.reshape(-1, width)
     out = np.zeros((len(lengths), width))
@@ -46,38 +51,49 @@ def products(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Integer inner products; through floats only where these are exact."""
     width = min(rows.shape[1], queries.shape[1])
     rows, queries = rows[:, :width], queries[:, :width]
-    if width * np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) < 1 << 53:
+    with np.errstate(over="ignore"):
+        small = width * np.abs(rows).max(initial=0) * np.abs(queries).max(initial=0) < 1 << 53
+    if small:
         return (rows @ queries.T).astype(np.int64)
     exact = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-    return (exact(rows) @ exact(queries).T).astype(np.int64)
+    return np.clip(exact(rows) @ exact(queries).T, -MOST, MOST).astype(np.int64)
 
 
-def scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """vec_ids, scores[row, query] and which of these count."""
+def scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each portion of queries: the index of its first, vec_ids, scores[row, query] and which of these count."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            vec_ids = part.column(0).to_numpy()
-            yield vec_ids, products(matrix(part.column(1)), queries), vec_ids[:, None] != ids
+            vec_ids, rows = part.column(0).to_numpy(), matrix(part.column(1))
+            for first in range(0, len(ids), PORTION):
+                yield first, vec_ids, products(rows, queries[first : first + PORTION]), vec_ids[:, None] != ids[first : first + PORTION]
 
 
 def kth_values(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, reach: float) -> np.ndarray:
-    """The kth largest score of each query; the least possible one where there are fewer candidates."""
-    bound = np.array([int(np.ceil(np.sqrt((q * q).sum()) * reach)) + 1 for q in queries], np.int64)
-    low, high, above = -bound, bound + 1, np.zeros(len(ids), np.int64)
+    """The kth largest score of each query; the least possible one where there are fewer candidates.
+
+    It lies from ``low`` to ``low + width``; offsets are unsigned, so that any range of longs has one."""
+    with np.errstate(over="ignore"):
+        norms = np.sqrt((queries * queries).sum(axis=1)) * reach + 2
+    bound = np.array([int(min(x, MOST)) for x in norms], np.int64)
+    low, width, above = -bound, 2 * bound.astype(np.uint64), np.zeros(len(ids), np.int64)
     open_ = np.ones(len(ids), bool)
-    while (wide := open_ & (high - low > 1)).any():
+    while (wide := open_ & (width > 0)).any():
         at = np.flatnonzero(wide)
-        lo, step, some = low[at], -(-(high - low)[at] // BINS), queries[at]
-        sent = vectors.sparkSession.sparkContext.broadcast((ids[at], some, lo, step, high[at]))
+        lo, span, some = low[at], width[at], queries[at]
+        step = span // np.uint64(BINS) + np.uint64(1)
+        sent = vectors.sparkSession.sparkContext.broadcast((ids[at], some, lo, step, span))
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, some, lo, step, hi = sent.value
-            sums = np.zeros(len(ids) * BINS, np.int64)
-            for _, scores, counts in scored(batches, ids, some):
-                inside = counts & (scores >= lo) & (scores < hi)
-                bins = (scores - lo) // step + np.arange(len(ids)) * BINS
-                sums += np.bincount(bins[inside], minlength=len(sums))
+            ids, some, lo, step, span = sent.value
+            sums = np.zeros((len(ids), BINS), np.int64)
+            for first, _, scores, counts in scored(batches, ids, some):
+                own = slice(first, first + scores.shape[1])
+                over = scores.view(np.uint64) - lo[own].view(np.uint64)
+                inside = counts & (scores >= lo[own]) & (over <= span[own])
+                bins = (over // step[own]).astype(np.int64) + np.arange(scores.shape[1]) * BINS
+                sums[own] += np.bincount(bins[inside], minlength=scores.shape[1] * BINS).reshape(-1, BINS)
+            sums = sums.ravel()
             full = np.flatnonzero(sums)
             yield pa.record_batch([pa.array(full), pa.array(sums[full])], ["bin", "n"])
 
@@ -89,10 +105,10 @@ def kth_values(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int,
         found = enough.any(axis=1)
         place = np.argmax(enough, axis=1)
         before = np.where(place > 0, downward[np.arange(len(at)), place - 1], above[at])
-        bin_ = BINS - 1 - place
+        over = (BINS - 1 - place).astype(np.uint64) * step
         open_[at[~found]] = False  # fewer than k candidates: all of them
-        low[at] = np.where(found, lo + bin_ * step, lo)
-        high[at] = np.where(found, np.minimum(lo + (bin_ + 1) * step, high[at]), high[at])
+        low[at] = np.where(found, (lo.view(np.uint64) + over).view(np.int64), lo)
+        width[at] = np.where(found, np.minimum(step - np.uint64(1), span - over), span)
         above[at] = np.where(found, before, above[at])
         sent.unpersist()
     return low
@@ -105,9 +121,9 @@ def block_answers(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: i
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, least = sent.value
         held = np.zeros((0, 3), np.int64)
-        for vec_ids, scores, counts in scored(batches, ids, queries):
-            row, query = np.nonzero(counts & (scores >= least))
-            held = np.concatenate([held, np.stack([query, scores[row, query], vec_ids[row]], axis=1)])
+        for start, vec_ids, scores, counts in scored(batches, ids, queries):
+            row, query = np.nonzero(counts & (scores >= least[start : start + scores.shape[1]]))
+            held = np.concatenate([held, np.stack([start + query, scores[row, query], vec_ids[row]], axis=1)])
             held = held[np.lexsort((held[:, 2], -held[:, 1], held[:, 0]))]
             first = np.searchsorted(held[:, 0], held[:, 0])
             held = held[np.arange(len(held)) - first < k]
@@ -124,7 +140,7 @@ def search(vectors: DataFrame, asking: DataFrame, k: int = 10) -> DataFrame:
     vectors = usable(vectors)
     asking = keep(usable(asking).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     blocks = max(1, -(-asking.count() // BLOCK))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.floor(x * SCALE).cast("double"), F.lit(2.0))))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x) * SCALE + 1, F.lit(2.0))))
     reach = float(vectors.agg(F.max(norm)).first()[0] or 0.0) * (1 + 1e-9)
     path = shared_path(spark, "topk")
     for block in range(blocks):
