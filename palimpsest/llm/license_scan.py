@@ -14,9 +14,11 @@ read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,31 +42,59 @@ def compiled() -> tuple[dict[bytes, list[int]], list[list[tuple[int, int, str, s
     return gates, rules
 
 
-def base_places(padded: bytes) -> list[Found]:
+def word_starts(padded: bytes) -> list[int]:
+    """Where the blank before each word stands, and the last blank."""
+    return np.flatnonzero(np.frombuffer(padded, np.uint8) == 32).tolist()
+
+
+class Kept:
+    """Intervals taken so far; whether one of them contains another, by largest ends over starts (a Fenwick tree)."""
+
+    def __init__(self, n: int):
+        self.ends = [-1] * (n + 2)
+
+    def contain(self, start: int, end: int) -> bool:
+        i = start + 1
+        while i > 0:
+            if self.ends[i] >= end:
+                return True
+            i -= i & -i
+        return False
+
+    def take(self, start: int, end: int) -> None:
+        i = start + 1
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+
+def base_places(padded: bytes, starts: list[int]) -> list[Found]:
     found = []
     for phrase, label in BASE.items():
         wanted = f" {phrase} ".encode()
         at = padded.find(wanted)
         while at >= 0:
-            start = padded.count(b" ", 0, at + 1) - 1
+            start = bisect_left(starts, at)
             found.append((start, start + phrase.count(" ") + 1, label, "base"))
             at = padded.find(wanted, at + 1)
     return found
 
 
-def detections(padded: bytes, words: set[bytes], base: list[Found]) -> list[Found]:
+def detections(padded: bytes, starts: list[int], words: set[bytes], base: list[Found]) -> list[Found]:
     """Kept matches (start, end, label, kind), in words."""
     gates, rules = compiled()
     found = [(len(KINDS), i, *f) for i, f in enumerate(base)]
     for family in sorted({i for word in words & gates.keys() for i in gates[word]}):
         for rank, order, label, kind, pattern in rules[family]:
             for m in pattern.finditer(padded):
-                start = padded.count(b" ", 0, m.start()) - 1
+                start = bisect_left(starts, m.start() - 1)
                 found.append((rank, order, start, start + m[0].count(b" ") + 1, label, kind))
     found.sort(key=lambda f: (f[0], f[2] - f[3], f[1], f[2]))
     kept: list[Found] = []
+    taken = Kept(len(starts)) if found else None
     for _, _, start, end, label, kind in found:
-        if not any(a <= start and end <= b for a, b, _, _ in kept):
+        if not taken.contain(start, end):
+            taken.take(start, end)
             kept.append((start, end, label, kind))
     return sorted(kept)
 
@@ -73,8 +103,9 @@ def scan_text(text: str) -> tuple[int, int, int | None, int | None, str, str, fl
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     split = text.encode().translate(NORMAL).split()
     padded = b" " + b" ".join(split) + b" "
-    base = base_places(padded)
-    kept = detections(padded, set(split), base)
+    places = word_starts(padded)
+    base = base_places(padded, places)
+    kept = detections(padded, places, set(split), base)
     starts = [f[0] for f in base]
     base_labels = {f[2] for f in base}
     sure = sorted((CONFIDENCE[kind] for _, _, _, kind in kept), reverse=True)
