@@ -213,21 +213,22 @@ def candidates(docs: DataFrame, sent: Broadcast, words: int, shards: int) -> Dat
             known, start, n = runs(at[order], lost[order])
             lost = lost[order][known]
             h1, h2, row, pos = h1[own], h2[own], row[own], pos[own]
-            cuts = np.searchsorted(h1, np.arange(shards, dtype=np.uint64) * np.uint64((1 << 64) // shards)).tolist() + [len(h1)]
-            owner = lost % shards  # any shard will do
-            blobs, where = [], []
-            for k in range(shards):
-                a, b, mine = cuts[k], cuts[k + 1], owner == k
-                if a < b or mine.any():
-                    docs_here = np.unique(np.concatenate([row[a:b], lost[mine]]))
-                    where.append(k)
-                    blobs.append(
-                        (
-                            columns_packed(part.ids[docs_here], part.marks[docs_here]),
-                            columns_packed(np.diff(h1[a:b], prepend=np.uint64(0)), h2[a:b].astype("<u4"), np.searchsorted(docs_here, row[a:b]).astype("<u4"), pos[a:b].astype("<u4")),
-                            columns_packed(np.searchsorted(docs_here, lost[mine]).astype("<u4"), start[mine].astype("<u4"), n[mine].astype("<u4")),
-                        )
+            of = (h1 >> np.uint64(65 - shards.bit_length())).astype(np.int64)
+            by = np.argsort(lost % shards, kind="stable")  # any shard will do
+            lost, start, n = lost[by], start[by], n[by]
+            owner = lost % shards
+            blobs, where = [], np.union1d(of, owner).tolist()
+            for k in where:
+                a, b = np.searchsorted(of, (k, k + 1))
+                mine = slice(*np.searchsorted(owner, (k, k + 1)))
+                docs_here = np.unique(np.concatenate([row[a:b], lost[mine]]))
+                blobs.append(
+                    (
+                        columns_packed(part.ids[docs_here], part.marks[docs_here]),
+                        columns_packed(np.diff(h1[a:b], prepend=np.uint64(0)), h2[a:b].astype("<u4"), np.searchsorted(docs_here, row[a:b]).astype("<u4"), pos[a:b].astype("<u4")),
+                        columns_packed(np.searchsorted(docs_here, lost[mine]).astype("<u4"), start[mine].astype("<u4"), n[mine].astype("<u4")),
                     )
+                )
             yield pa.record_batch([pa.array(where, pa.int64()), *(pa.array(c, pa.binary()) for c in (zip(*blobs, strict=True) if blobs else ([], [], [])))], ["shard", "docs", "windows", "known"])
 
     return docs.mapInArrow(work, "shard long, docs binary, windows binary, known binary")
