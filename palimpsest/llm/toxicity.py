@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary labelled text, and one on the same with, in front of it,
-the words that toxic documents use significantly more often. A document's words are cut into windows, each window
-is compressed with both, and the bytes that the toxic dictionary saves are its distance. A logistic curve fitted
-on labelled documents that trained neither dictionary turns mean, largest and frequent savings into a probability.
+Two zstandard dictionaries are trained: one on windows of ordinary labelled text, and one on the toxic passages, the
+stretches of toxic documents made of runs of ``GRAM`` bytes that stand in significantly more places there than in
+ordinary ones (a place being a run with ``AROUND`` bytes on each side, so that copies of a passage count once). A
+document's words are cut into windows; each is compressed with the ordinary dictionary, and with the toxic one behind
+it, and the bytes saved are the window's distance. A logistic curve fitted on labelled documents that trained neither
+dictionary turns mean, largest and frequent savings into a probability.
 
 Labels are read only for rows whose crc32(doc_id as text) mod 4 is not 2, and of these at most ``MOST_TOXIC`` and
-``MOST_ORDINARY`` documents, chosen by hash. Nothing but the text enters a score.
+``MOST_ORDINARY`` documents, chosen by hash, of each kind as many as fit into ``MOST_BYTES`` of text. Nothing but the
+text enters a score.
 
 Null texts are empty; empty texts have no savings and get the curve's value there. Without labels of both classes
 every score is the share of toxic labels. A null doc_id counts as not held out. Repeated rows repeat.
@@ -16,19 +19,21 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_TOXIC, MOST_ORDINARY, FOLDS, HELD_OUT = 2000, 4000, 4, 2
-WINDOW, DICTIONARY, SIGNIFICANT, RATIO, THRESHOLD = 8, 32768, 6.0, 8, 0.3
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, FOLDS, HELD_OUT = 2000, 4000, 16 << 20, 4, 2
+#: Words in a window; bytes of the dictionaries; windows that the ordinary one is trained on.
+WINDOW, ORDINARY, TOXIC, WINDOWS, THRESHOLD = 8, 65536, 4096, 60_000, 0.3
+#: Bytes of a run and on each side of it; standard errors, times and places that make it toxic.
+GRAM, AROUND, SIGNIFICANT, RATIO, PLACES = 6, 8, 6.0, 8, 4
 MIXERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
 SEPARATORS = bytes.maketrans(bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80)), b" " * 15 + b" " * 7 + b" " * 6 + b" " * 5)
 
@@ -64,11 +69,7 @@ class Model:
     def features(self, text: str, compressors: list[zstandard.ZstdCompressor]) -> list[float]:
         """Mean, largest, and shares of savings of at least 1, 3 and 5 bytes."""
         plain, toxic = (c.compress for c in compressors)
-        found = words_of(text)
-        saved = []
-        for at in range(0, len(found), WINDOW):
-            window = b" " + b" ".join(found[at : at + WINDOW]) + b" "
-            saved.append(len(plain(window)) - len(toxic(window)))
+        saved = [len(plain(window)) - len(toxic(window)) for window in windows(words_of(text))]
         if not saved:
             return [0.0] * 6
         n = len(saved)
@@ -78,24 +79,54 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + sum(w * x for w, x in zip(self.curve[1:], features, strict=True))))))
 
 
-def contexts(docs: list[list[bytes]]) -> Counter:
-    """How many different pairs of neighbours each word has, so that copies of a passage count once."""
-    seen = {(x, y, z) for words in docs for x, y, z in zip([b"", *words], words, [*words[1:], b""], strict=False)}
-    return Counter(y for _, y, _ in seen)
+def padded(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
 
 
-def over_represented(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words whose shares of all contexts differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, best first."""
-    here, there = contexts(toxic), contexts(ordinary)
-    n, m = max(here.total(), 1), max(there.total(), 1)
-    found = []
-    for word, a in here.items():
-        b = there[word]
-        p = (a + b) / (n + m)
-        z = (a / n - b / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-        if a >= 3 and z >= SIGNIFICANT and a / n >= RATIO * b / m:
-            found.append((-z, word))
-    return [word for _, word in sorted(found)]
+def windows(words: list[bytes]) -> list[bytes]:
+    return [padded(words[at : at + WINDOW]) for at in range(0, len(words), WINDOW)]
+
+
+def grams(text: bytes, size: int = GRAM) -> np.ndarray:
+    """Each run of ``size`` bytes as a number: exact up to eight bytes, a hash beyond."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(data) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(size if n else 0):
+        out = out * np.uint64(256 if size <= 8 else 0x9E3779B97F4A7C15) + data[j : j + n]
+    return out
+
+
+def places(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of these documents, in order, and in how many different places each stands."""
+    texts = [b" " * AROUND + padded(d) + b" " * AROUND for d in docs]
+    around = np.concatenate([np.zeros(0, np.uint64), *(grams(t, GRAM + 2 * AROUND) for t in texts)])
+    runs = np.concatenate([np.zeros(0, np.uint64), *(grams(t[AROUND : len(t) - AROUND]) for t in texts)])
+    return np.unique(runs[np.unique(around, return_index=True)[1]], return_counts=True)
+
+
+def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
+    """Runs whose shares of all places differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, in order."""
+    (runs, a), (known, there) = places(toxic), places(ordinary)
+    if not len(runs) or not len(known):
+        return runs[:0]
+    n, m = a.sum(), there.sum()
+    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+    b = np.where(known[at] == runs, there[at], 0)
+    p = (a + b) / (n + m)
+    z = (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+    return runs[(a >= PLACES) & (z >= SIGNIFICANT) & (a / n >= RATIO * b / m)]
+
+
+def passages(words: list[bytes], runs: np.ndarray) -> list[bytes]:
+    """The stretches of a document that toxic runs cover."""
+    text = padded(words)
+    own = grams(text)
+    if not len(runs) or not len(own):
+        return []
+    hit = np.concatenate(([False], runs[np.minimum(np.searchsorted(runs, own), len(runs) - 1)] == own, [False]))
+    starts, ends = np.flatnonzero(hit[1:] & ~hit[:-1]), np.flatnonzero(hit[:-1] & ~hit[1:])
+    return [text[x : y - 1 + GRAM] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def without_copies(docs: list[list[bytes]]) -> list[int]:
@@ -111,13 +142,12 @@ def without_copies(docs: list[list[bytes]]) -> list[int]:
     return kept
 
 
-def ordinary_dictionary(docs: list[list[bytes]]) -> bytes:
-    samples = [s[k : k + 512] for words in docs for s in (b" " + b" ".join(words) + b" ",) for k in range(0, len(s), 512)]
-    samples = samples[:: max(1, len(samples) // 20000)]
+def trained_dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """Content that zstandard's trainer picks (without the entropy tables); all of it where there is too little."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples, k=24, d=6).as_bytes()[200:]  # without the entropy tables
-    except zstandard.ZstdError:  # too few samples to train on
-        return b"".join(samples)[-DICTIONARY:] or b" "
+        return zstandard.train_dictionary(size + 200, samples, k=segment, d=GRAM).as_bytes()[200:].lstrip(b"\0")
+    except zstandard.ZstdError:
+        return b"".join(sorted(set(samples)))[-size:]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
@@ -150,9 +180,10 @@ def fit(texts: list[str], toxic: list[int], odds: float | None = None) -> Model:
     def dictionaries(chosen: list[int]) -> tuple[bytes, bytes]:
         ordinary = [split[i] for i in chosen if not y[i]]
         bad = [split[i] for i in chosen if y[i]]
-        base = ordinary_dictionary(ordinary or [[]])
-        marks = over_represented(bad, ordinary) if bad and ordinary else []
-        return b" " + b" ".join(marks[::-1]) + b" " + base, base
+        samples = [w for words in ordinary for w in windows(words)]
+        base = trained_dictionary(samples[:: -(-len(samples) // WINDOWS) or 1], ORDINARY, 24) or b" "
+        runs = toxic_runs(bad, ordinary)
+        return base + trained_dictionary([x for words in bad for x in passages(words, runs)], TOXIC, 16), base
 
     first, rest = [i for i in range(len(y)) if i % 3], list(range(0, len(y), 3))
     model = Model(*dictionaries(first), [0.0] * 7)
@@ -171,7 +202,9 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(MOST_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(MOST_ORDINARY))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy(*order).toArrow()
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(*order))  # over 4000 rows at most
+    got = rows.withColumn("upto", upto).where(F.col("upto") <= MOST_BYTES).orderBy(*order).select("text", "toxic").toArrow()
     return got["text"].to_pylist(), got["toxic"].to_pylist(), (counts["toxic"] + 0.5) / (counts["ordinary"] + 0.5)
 
 

@@ -191,8 +191,24 @@ def test_toxicity_on_held_out_labels(spark):
     got = toxicity.classify(docs, known).join(known, "doc_id").where("held_out").toPandas()
     assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id)
     rank, y = got.score.rank().to_numpy(), got.toxic.to_numpy()
-    assert (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum()) > 0.88
-    assert got[got.toxic == 1].predicted.mean() > 0.7 and got[got.toxic == 0].predicted.mean() < 0.06
+    assert (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum()) > 0.86
+    assert got[got.toxic == 1].predicted.mean() > 0.6 and got[got.toxic == 0].predicted.mean() < 0.03
+
+
+def test_savings_are_plain_compressed_lengths():
+    """The features of a text against lengths of its windows by compressors made for each window alone."""
+    model = toxicity.Model(b" the ordinary words of a text and more of them idiot fool ", b" the ordinary words of a text and more of them ", [0.1, 1, 2, 3, 4, 5, 6])
+    text = "What an IDIOT, you fool! The ordinary words of a text; idiot fool idiot and more"
+    saved = []
+    words = text.lower().replace(",", " ").replace("!", " ").replace(";", " ").encode().split()
+    for at in range(0, len(words), toxicity.WINDOW):
+        window = b" " + b" ".join(words[at : at + toxicity.WINDOW]) + b" "
+        plain, toxic = (len(c.compress(window)) for c in model.compressors())
+        saved.append(plain - toxic)
+    n = len(saved)
+    want = [sum(saved) / (n + 3), min(max(saved), 8) / 8, *(sum(s >= t for s in saved) / (n + 3) for t in (1, 3, 5)), float(sum(s >= 3 for s in saved) >= 2)]
+    assert model.features(text, model.compressors()) == want and sum(saved) > 0
+    assert math.isclose(model.score(want), 1 / (1 + math.exp(-(0.1 + sum(w * x for w, x in zip([1, 2, 3, 4, 5, 6], want, strict=True))))))
 
 
 def test_language_model(small, texts):

@@ -21,6 +21,8 @@ def test_words_of_copies_are_not_significant():
     text = lambda: [f"w{draw.randrange(3000)}".encode() for _ in range(60)]
     copied = [b"copied", b"passage", *text()]
     toxic = [[*t[:20], b"moron", *t[20:40], b"moron", *t[40:]] for t in (text() for _ in range(60))] + [copied] * 200
-    found = toxicity.over_represented(toxic, [text() for _ in range(200)])
-    assert b"moron" in found and not {b"copied", b"passage"} & set(found)
+    runs = toxicity.toxic_runs(toxic, [text() for _ in range(200)])
+    found = {p for words in toxic for p in toxicity.passages(words, runs)}
+    assert found and all(b"moron" in p for p in found)
+    assert toxicity.passages([b"a"], runs) == toxicity.passages([], runs) == toxicity.passages(copied, runs) == []
     assert len(toxicity.without_copies([*([copied] * 5), text(), [], []])) == 3
