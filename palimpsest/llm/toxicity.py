@@ -31,7 +31,10 @@ from pyspark.sql import types as T
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, FOLDS, HELD_OUT = 2000, 4000, 16 << 20, 4, 2
 #: Words in a window; bytes of the dictionaries; windows that the ordinary one is trained on.
-WINDOW, ORDINARY, TOXIC, WINDOWS, THRESHOLD = 8, 65536, 4096, 60_000, 0.3
+WINDOW, ORDINARY, TOXIC, WINDOWS, THRESHOLD = 6, 65536, 4096, 60_000, 0.3
+FEATURES = 6
+#: Parts of the sample for the curve.
+PARTS = 3
 #: Bytes of a run and on each side of it; standard errors, times and places that make it toxic.
 GRAM, AROUND, SIGNIFICANT, RATIO, PLACES = 6, 8, 6.0, 8, 4
 MIXERS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
@@ -71,7 +74,7 @@ class Model:
         plain, toxic = (c.compress for c in compressors)
         saved = [len(plain(window)) - len(toxic(window)) for window in windows(words_of(text))]
         if not saved:
-            return [0.0] * 6
+            return [0.0] * FEATURES
         n = len(saved)
         return [sum(saved) / (n + 3), min(max(saved), 8) / 8, *(sum(s >= t for s in saved) / (n + 3) for t in (1, 3, 5)), float(sum(s >= 3 for s in saved) >= 2)]
 
@@ -164,7 +167,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
 
 
 def fit(texts: list[str], toxic: list[int], odds: float | None = None) -> Model:
-    """Two documents of three train the dictionaries, the third the curve; then the dictionaries see all.
+    """Each part of the documents gets its features from dictionaries that the other parts train; all of these make
+    the curve. Then the dictionaries see all.
 
     Near copies within the sample are left out first. ``odds`` of toxic labels among all labelled rows, where
     given, replace those of the sample, in which toxic documents are more frequent.
@@ -174,7 +178,7 @@ def fit(texts: list[str], toxic: list[int], odds: float | None = None) -> Model:
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1e-6) / (len(y) + 1)
-        return Model(b" ", b" ", [math.log(share / (1 - share))] + [0.0] * 6)
+        return Model(b" ", b" ", [math.log(share / (1 - share))] + [0.0] * FEATURES)
     split = [words_of(t) for t in texts]
 
     def dictionaries(chosen: list[int]) -> tuple[bytes, bytes]:
@@ -185,13 +189,16 @@ def fit(texts: list[str], toxic: list[int], odds: float | None = None) -> Model:
         runs = toxic_runs(bad, ordinary)
         return base + trained_dictionary([x for words in bad for x in passages(words, runs)], TOXIC, 16), base
 
-    first, rest = [i for i in range(len(y)) if i % 3], list(range(0, len(y), 3))
-    model = Model(*dictionaries(first), [0.0] * 7)
-    made = model.compressors()
-    model.curve = logistic(np.array([model.features(texts[i], made) for i in rest]), y[rest])
+    found = np.zeros((len(y), FEATURES))
+    for k in range(PARTS):
+        model = Model(*dictionaries([i for i in range(len(y)) if i % PARTS != k]), [])
+        made = model.compressors()
+        for i in range(k, len(y), PARTS):
+            found[i] = model.features(texts[i], made)
+    curve = logistic(found, y)
     if odds:
-        model.curve[0] += math.log(odds) - math.log((y[rest].sum() + 0.5) / (len(rest) - y[rest].sum() + 0.5))
-    return Model(*dictionaries(list(range(len(y)))), model.curve)
+        curve[0] += math.log(odds) - math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
+    return Model(*dictionaries(list(range(len(y)))), curve)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int], float]:
