@@ -1,13 +1,15 @@
 """WARC archives with revisit records.
 
-Pages are written as WARC 1.1 records in gzip files by Spark's own text writer, so any file system and its commit
-protocol do. Headers alone are shuffled by payload digest; of equal payloads the record with the smallest page_id
-is the response, the others become revisit records that name it and carry no payload. Reading parses the archives
-record by record and joins revisits to the responses they refer to.
+Pages are written as WARC 1.1 records, each a gzip member of its own, to files that begin with a warcinfo record, by a
+writer of Spark's data source API: tasks write to a hidden folder, and only files of tasks that succeeded are moved
+out of it. Headers alone are shuffled by payload digest; of equal payloads the record with the smallest page_id is the
+response, the others become revisit records that name it and carry no payload. What comes back to the pages are the
+flags of revisits by page_id and digest: as a broadcast while they are few, else by a join on these two, which no key
+makes hot. Reading parses the archives record by record and joins revisits to the responses they refer to.
 
 A null html is an empty payload, a null page_id is written as an empty page and sorts after all others, a null or
-multi-line url is replaced or escaped. Rows tied for the smallest page_id of a payload are all responses. Other
-columns are not read.
+multi-line url is replaced or escaped. Rows tied for the smallest page_id of a payload are all responses, and, as they
+are the same record, have one id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,79 +18,142 @@ import base64
 import gzip
 import hashlib
 import io
+import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from palimpsest.llm.common import shared_path
+from palimpsest.llm.common import keep, shared_path
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Bytes of payload that an archive file is meant to hold.
-ARCHIVE = 32 << 20
-
-
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32: 160 bits are eight groups of 20 bits, four letters each."""
-    digits = F.sha1(payload.cast("binary"))
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda g: F.conv(F.substr(digits, g * 5 + 1, F.lit(5)), 16, 10).cast("int"))
-    letter = lambda bits, down: F.substr(F.lit(ALPHABET), F.shiftright(bits, down).bitwiseAND(31) + 1, F.lit(1))
-    return F.array_join(F.transform(groups, lambda x: F.concat(*[letter(x, d) for d in (15, 10, 5, 0)])), "")
-
-
-def record_id(page: Column) -> Column:
-    """A URN made from the page_id alone, so that a revisit can name a record without its row."""
-    d = F.md5(F.concat(F.lit("page:"), F.coalesce(page.cast("string"), F.lit(""))))
-    parts = [F.substring(d, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
-
-
-def marked(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, bytes, digest and first, the page_id of the response (null where it is its own)."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
-    headers = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    headers = headers.where(F.octet_length("payload") >= least_bytes).groupBy(base32_sha1(F.col("payload")).alias("its_digest"))
-    shared = headers.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = rows.join(shared, (F.col("digest") == F.col("its_digest")) & (F.col("bytes") >= least_bytes), "left")
-    own = F.coalesce(F.col("first") == F.col("page_id"), F.col("first").isNull())
-    return found.select("page_id", "url", "payload", "bytes", "digest", F.when(~own, F.col("first")).alias("first"))
-
-
-def records(found: DataFrame) -> Column:
-    """A whole record but for its last line feed, which the writer adds."""
-    url = F.coalesce(F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
-    revisit = F.col("first").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    refers = F.concat(
-        line("WARC-Refers-To", record_id(F.col("first"))),
-        line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-    )
-    return F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", record_id(F.col("page_id"))),
-        line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        line("WARC-Target-URI", url),
-        line("X-Page-ID", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(revisit, refers).otherwise(F.lit("")),
-        F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"),
-        block,
-        F.lit("\r\n\r"),
-    )
+#: Compressed bytes that an archive file holds before another one is begun; flags that are broadcast; tasks that the
+#: headers of one digest are dealt to.
+ARCHIVE, BROADCAST_FLAGS, SALTS = 32 << 20, 300_000, 16
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
+def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """its_page, its_digest (hexadecimal) and first, the page_id of the response, of each page that revisits one."""
+    headers = pages.select(F.col("page_id").cast("long").alias("its_page"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    headers = headers.where(F.octet_length("payload") >= least_bytes).select("its_page", F.sha1(F.col("payload").cast("binary")).alias("its_digest"))
+    headers = keep(headers, "headers")
+    shared = headers.groupBy(F.col("its_digest").alias("digest")).agg(F.min("its_page").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = headers.withColumn("its_salt", F.pmod(F.xxhash64("its_page"), F.lit(SALTS)).cast("int"))
+    found = dealt.join(salted, (F.col("its_digest") == F.col("digest")) & (F.col("its_salt") == F.col("salt")))
+    return found.where("its_page IS NULL OR its_page <> first").select("its_page", "its_digest", "first").distinct()
+
+
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def record_id(page: int | None, digest: str) -> str:
+    """A URN made from page_id and payload digest, so that a revisit can name a record without its row."""
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'page:{page}:{digest}'.encode()).hexdigest())}>"
+
+
+def record(headers: dict[str, str], block: bytes) -> bytes:
+    lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+    return gzip.compress(f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", 6)
+
+
+def page_record(page: int | None, url: str | None, payload: bytes, first: int | None, when: str) -> bytes:
+    digest = base32(hashlib.sha1(payload).digest())
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = http if first is not None else http + payload
+    own = "" if page is None else str(page)
+    headers = {
+        "WARC-Type": "response" if first is None else "revisit",
+        "WARC-Record-ID": record_id(page, digest),
+        "WARC-Date": when,
+        "WARC-Target-URI": re.sub(r"[\x00-\x20\x7f]", "%20", url) if url else f"urn:page:{own}",
+        "X-Page-ID": own,
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Block-Digest": f"sha1:{base32(hashlib.sha1(block).digest())}",
+    }
+    if first is not None:
+        headers |= {"WARC-Refers-To": record_id(first, digest), "WARC-Profile": PROFILE}
+    return record(headers | {"Content-Type": "application/http; msgtype=response"}, block)
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder (local, hdfs, s3, gs: those that pyarrow knows) and the path in it."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, folder = opened(self.path)
+        system.create_dir(f"{folder}/_temporary", recursive=True)
+        when, names, out, size = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), [], None, 0
+        for batch in iterator:
+            for page, url, payload, first in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "first")), strict=True):
+                if out is None:
+                    names.append(f"{uuid.uuid4()}.warc.gz")
+                    out, size = system.open_output_stream(f"{folder}/_temporary/{names[-1]}", compression=None), 0
+                    about = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": when, "WARC-Filename": names[-1], "Content-Type": "application/warc-fields"}
+                    out.write(record(about, b"format: WARC File Format 1.1\r\n"))
+                data = page_record(page.as_py(), url.as_py(), payload.as_py().encode(), first.as_py(), when)
+                out.write(data)
+                size += len(data)
+                if size >= ARCHIVE:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        system, folder = opened(self.path)
+        system.create_dir(folder, recursive=True)
+        for message in messages:
+            for name in message.names if message else ():
+                system.move(f"{folder}/_temporary/{name}", f"{folder}/{name}")
+        if system.get_file_info(f"{folder}/_temporary").type != fs.FileType.NotFound:
+            system.delete_dir(f"{folder}/_temporary")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, folder = opened(self.path)
+        for name in (n for m in messages if m for n in m.names):
+            system.delete_file(f"{folder}/_temporary/{name}")
+
+
+class Archives(DataSource):
+    """Option path: the folder to write to. Columns page_id, url, payload, first."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc"
+
+    def writer(self, schema, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(self.options["path"])
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Deduplicated archives with fresh headers in ``path``."""
-    mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0.0
-    found = marked(pages, least_bytes)
-    found.select(records(found).alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE / (mean + 1024)))).text(path)
+    flags = keep(revisits(pages, least_bytes), "revisits")
+    side = F.broadcast(flags) if flags.count() <= BROADCAST_FLAGS else flags
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
+    same = F.col("page_id").eqNullSafe(F.col("its_page")) & (F.sha1(F.col("payload").cast("binary")) == F.col("its_digest")) & (F.octet_length("payload") >= least_bytes)
+    found = rows.join(side, same, "left").select("page_id", "url", "payload", "first")
+    pages.sparkSession.dataSource.register(Archives)
+    found.write.format("warc").mode("append").option("path", path).save()
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -110,7 +175,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """One row for each record: record_id, page_id, url, record_type, payload_digest (of the payload itself where
+    """One row for each record but warcinfo: record_id, page_id, url, record_type, payload_digest (of the payload itself where
     there is one), payload_bytes (null for revisits), refers_id, and on demand the payload."""
     names = ["record_id", "page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_id", "payload"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
@@ -120,6 +185,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
             for data in batch.column(0):
                 rows = []
                 for headers, block in parse(data.as_py()):
+                    if headers["warc-type"] == "warcinfo":
+                        continue
                     payload = block.partition(b"\r\n\r\n")[2] if headers["warc-type"] == "response" else None
                     stated = headers["warc-payload-digest"].removeprefix("sha1:")
                     if payload is not None and base64.b32encode(hashlib.sha1(payload).digest()).decode() != stated:
@@ -133,7 +200,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "record_id string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_id string, payload binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
     return files.mapInArrow(work, schema)
 
 
@@ -151,7 +218,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_archives(pages, path)
-    return resolve(read_archives(spark, path))
+    return resolve(keep(read_archives(spark, path).drop("payload"), "records"))
 
 
 _LETTERS = " || ".join(

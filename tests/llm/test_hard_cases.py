@@ -100,3 +100,35 @@ def test_portions_of_queries(spark, monkeypatch):
 def test_a_der_key_still_counts():
     key = der(0x30, der(2, b"\x00") + b"".join(der(2, bytes([k + 1]) * 20) for k in range(8)))
     assert [k for k, _, _ in secrets.confirmed_spans(f"k {key.hex()}")] == ["der"]
+
+
+def test_archives_are_members_with_digests(spark, tmp_path, monkeypatch):
+    """Every member of a file is one record; ids are unique; digests and lengths hold; also without a broadcast."""
+    import gzip
+    import hashlib
+    import zlib
+
+    from palimpsest.llm import warc
+
+    made = spark.createDataFrame([(i, f"http://h/{i}", "<p>" if i % 3 == 0 else f"<p>{i}é") for i in range(40)] + [(1, "http://h/again", "other")], "page_id long, url string, html string")
+    for limit in (warc.BROADCAST_FLAGS, 0):
+        monkeypatch.setattr(warc, "BROADCAST_FLAGS", limit)
+        folder = tmp_path / str(limit)
+        warc.write_archives(made, f"file://{folder}")
+        ids, kinds = [], []
+        for file in folder.iterdir():
+            assert file.name.endswith(".warc.gz")
+            data = file.read_bytes()
+            while data:
+                member = zlib.decompressobj(31)
+                text = member.decompress(data)
+                assert member.eof
+                data = member.unused_data
+                ((headers, block),) = warc.parse(gzip.compress(text))
+                ids.append(headers["warc-record-id"])
+                kinds.append(headers["warc-type"])
+                if kinds[-1] != "warcinfo":
+                    assert headers["warc-block-digest"] == "sha1:" + warc.base32(hashlib.sha1(block).digest())
+        assert len(ids) == len(set(ids)) and kinds.count("revisit") == 13 and kinds.count("response") == 28
+        got = {(r.page_id, r.refers_to) for r in warc.resolve(warc.read_archives(spark, f"file://{folder}")).where("record_type = 'revisit'").collect()}
+        assert got == {(i, 0) for i in range(3, 40, 3)}
