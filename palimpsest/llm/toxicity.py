@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, FOLDS, HELD_OUT = 2000, 4000, 16 << 20, 4, 2
+MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, FOLDS, HELD_OUT = 2000, 4000, 8 << 20, 4, 2
 #: Words in a window; bytes of the dictionaries; windows that the ordinary one is trained on.
 WINDOW, ORDINARY, TOXIC, WINDOWS, THRESHOLD = 6, 65536, 4096, 60_000, 0.3
 FEATURES = 6
@@ -100,25 +100,35 @@ def grams(text: bytes, size: int = GRAM) -> np.ndarray:
     return out
 
 
-def places(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of these documents, in order, and in how many different places each stands."""
-    texts = [b" " * AROUND + padded(d) + b" " * AROUND for d in docs]
-    around = np.concatenate([np.zeros(0, np.uint64), *(grams(t, GRAM + 2 * AROUND) for t in texts)])
-    runs = np.concatenate([np.zeros(0, np.uint64), *(grams(t[AROUND : len(t) - AROUND]) for t in texts)])
-    return np.unique(runs[np.unique(around, return_index=True)[1]], return_counts=True)
+def places(docs: list[list[bytes]], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of these documents (those ``among`` some, if given), in order, and in how many places each stands."""
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64),) * 2]
+    for words in docs:
+        text = b" " * AROUND + padded(words) + b" " * AROUND
+        around, runs = grams(text, GRAM + 2 * AROUND), grams(text[AROUND : len(text) - AROUND])
+        some = slice(None) if among is None else among[np.minimum(np.searchsorted(among, runs), len(among) - 1)] == runs
+        held.append((around[some], runs[some]))
+    around, runs = (np.concatenate(c) for c in zip(*held, strict=True))
+    del held
+    order = np.argsort(around)
+    new = np.ones(len(order), bool)
+    new[1:] = around[order[1:]] != around[order[:-1]]
+    return np.unique(runs[order[new]], return_counts=True)
 
 
 def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
-    """Runs whose shares of all places differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, in order."""
-    (runs, a), (known, there) = places(toxic), places(ordinary)
-    if not len(runs) or not len(known):
+    """Runs whose shares of all text differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, in order."""
+    runs, a = places(toxic)
+    runs, a = runs[a >= PLACES], a[a >= PLACES]
+    if not len(runs) or not ordinary:
         return runs[:0]
-    n, m = a.sum(), there.sum()
-    at = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-    b = np.where(known[at] == runs, there[at], 0)
+    known, there = places(ordinary, runs)
+    n, m = (sum(len(padded(d)) for d in docs) for docs in (toxic, ordinary))
+    b = np.zeros(len(runs), np.int64)
+    b[np.searchsorted(runs, known)] = there
     p = (a + b) / (n + m)
     z = (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-    return runs[(a >= PLACES) & (z >= SIGNIFICANT) & (a / n >= RATIO * b / m)]
+    return runs[(z >= SIGNIFICANT) & (a / n >= RATIO * b / m)]
 
 
 def passages(words: list[bytes], runs: np.ndarray) -> list[bytes]:
