@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 MOST_TOXIC, MOST_ORDINARY, MOST_BYTES, FOLDS, HELD_OUT = 2000, 4000, 8 << 20, 4, 2
 #: Words in a window; bytes of the dictionaries; windows that the ordinary one is trained on.
-WINDOW, ORDINARY, TOXIC, WINDOWS, THRESHOLD = 6, 65536, 4096, 60_000, 0.3
+WINDOW, ORDINARY, TOXIC, WINDOWS, THRESHOLD = 8, 65536, 4096, 60_000, 0.3
 FEATURES = 6
 #: Parts of the sample for the curve.
 PARTS = 3
@@ -100,12 +100,15 @@ def grams(text: bytes, size: int = GRAM) -> np.ndarray:
     return out
 
 
-def places(docs: list[list[bytes]], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of these documents (those ``among`` some, if given), in order, and in how many places each stands."""
+def places(docs: list[list[bytes]], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The runs of these documents (those ``among`` some, if given), in order, in how many places each stands, and how
+    many places there are (by a sixteenth of them, chosen by hash)."""
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64),) * 2]
+    chosen: list[np.ndarray] = [np.zeros(0, np.uint64)]
     for words in docs:
         text = b" " * AROUND + padded(words) + b" " * AROUND
         around, runs = grams(text, GRAM + 2 * AROUND), grams(text[AROUND : len(text) - AROUND])
+        chosen.append(around[around >> np.uint64(60) == 0])
         some = slice(None) if among is None else among[np.minimum(np.searchsorted(among, runs), len(among) - 1)] == runs
         held.append((around[some], runs[some]))
     around, runs = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -113,17 +116,16 @@ def places(docs: list[list[bytes]], among: np.ndarray | None = None) -> tuple[np
     order = np.argsort(around)
     new = np.ones(len(order), bool)
     new[1:] = around[order[1:]] != around[order[:-1]]
-    return np.unique(runs[order[new]], return_counts=True)
+    return *np.unique(runs[order[new]], return_counts=True), 16 * len(np.unique(np.concatenate(chosen))) + 1
 
 
 def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
-    """Runs whose shares of all text differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, in order."""
-    runs, a = places(toxic)
+    """Runs whose shares of all places differ by ``SIGNIFICANT`` standard errors and ``RATIO`` times, in order."""
+    runs, a, n = places(toxic)
     runs, a = runs[a >= PLACES], a[a >= PLACES]
     if not len(runs) or not ordinary:
         return runs[:0]
-    known, there = places(ordinary, runs)
-    n, m = (sum(len(padded(d)) for d in docs) for docs in (toxic, ordinary))
+    known, there, m = places(ordinary, runs)
     b = np.zeros(len(runs), np.int64)
     b[np.searchsorted(runs, known)] = there
     p = (a + b) / (n + m)
