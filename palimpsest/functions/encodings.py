@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +17,16 @@ AMP_ESCAPES = rf"(?:&[Hh][0-9A-Fa-f]{{2}}){{{ESCAPES},}}"
 U_ESCAPES = rf"(?:[\\%]u[0-9A-Fa-f]{{4}}){{{ESCAPES},}}"
 DECIMAL = rf"[0-9][0-9;,]{{{2 * DECIMALS - 2},}}"
 NETBIOS = rf"[A-P]{{{NETBIOS_RUN},}}"
-MAYBE = r"[A-Za-z0-9+/]{20,}|[0-9,;]{23,}|(?i)\\x|\\u|%u|&h|chr|replace\(|array\(|strreverse|environ"
+#: What makes it worth while to turn a text round.
+REVERSED = ("llehsrewop", "llehs.tpircsw", "tcejboetaerc", "exe.dmc", "elifotevas", "ptthnwod")
+MAYBE = r"[A-Za-z0-9+/]{20,}|[0-9,;]{23,}|(?i)\\x|\\u|%u|&h|chr|replace\(|array\(|strreverse|environ|" + "|".join(re.escape(r) for r in REVERSED)
+BASE32 = rf"[A-Z2-7]{{{BASE32_RUN},}}={{0,6}}"
+LITERAL = r'"([^"]*+(?:""[^"]*+)*+)"'
+CHR = r"chrw?\((\d{1,5})\)"
+CHAIN = rf"(?i)(?:{LITERAL}|{CHR})(?:\s*[&+]\s*(?:{LITERAL}|{CHR}))+"
+CALLS = rf"(?i)\breplace\(\s*{LITERAL}|\barray\([0-9,\s]++\)\s*xor\s|strreverse\(\s*\"|environ\$?\(\s*\""
+#: The least blob that counts, and how many and how much of them one source may give.
+LEAST_BLOB, BLOB_BYTES, BLOBS, TOTAL_BYTES = 8, 1 << 20, 32, 4 << 20
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -22,8 +34,20 @@ def found(text: Column, pattern: str) -> Column:
 
 
 def may_be_encoded(text: Column) -> Column:
-    """A cheap test that never fails a text which a decoder would take; looks at the first MiB."""
-    return F.substring(text, 1, 1 << 20).rlike(MAYBE)
+    """A cheap test that fails no text which a decoder would take within the first MiB, which is all it looks at."""
+    head = F.substring(text, 1, 1 << 20)
+    return head.rlike(MAYBE) | (F.contains(head, F.lit('"')) & (F.contains(head, F.lit("&")) | F.contains(head, F.lit("+"))))
+
+
+def looks_encoded(text: Column) -> Column:
+    """May be encoded, and some decoder's pattern is there (NETBIOS runs are not looked for)."""
+    patterns = (BASE64, HEX, X_ESCAPES, AMP_ESCAPES, U_ESCAPES, DECIMAL, BASE32, CHAIN, CALLS, r"(?i)" + "|".join(re.escape(r) for r in REVERSED))
+    return may_be_encoded(text) & reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
+
+
+def emitted(blobs: Column) -> Column:
+    """What a source may give: blobs of at least eight bytes, cut at a MiB, different, the first 32."""
+    return F.slice(F.array_distinct(F.transform(F.filter(blobs, lambda b: F.octet_length(b) >= LEAST_BLOB), lambda b: F.substring(b, 1, BLOB_BYTES))), 1, BLOBS)
 
 
 def mostly_text(text: Column) -> Column:
@@ -48,8 +72,46 @@ def escape_blobs(text: Column) -> Column:
 
 
 def netbios_blobs(text: Column) -> Column:
+    """Two letters from A to P a byte; kept where the bytes are mostly text or begin like a container."""
     even = F.filter(found(text, NETBIOS), lambda r: F.length(r) % 2 == 0)
-    return F.transform(even, lambda r: F.unhex(F.translate(r, "ABCDEFGHIJKLMNOP", "0123456789ABCDEF")))
+    blobs = F.transform(even, lambda r: F.unhex(F.translate(r, "ABCDEFGHIJKLMNOP", "0123456789ABCDEF")))
+    return F.filter(blobs, lambda b: mostly_text(F.decode(b, "ISO-8859-1")) | container_magic(b))
+
+
+def container_magic(body: Column) -> Column:
+    """Begins like a zip archive, a compound file, an executable or a PDF."""
+    return reduce(lambda a, b: a | b, [F.startswith(F.hex(F.substring(body, 1, 4)), F.lit(m.hex().upper())) for m in (b"PK\x03\x04", b"\xd0\xcf\x11\xe0", b"MZ", b"%PDF")])
+
+
+def base32_blobs(text: Column) -> Column:
+    """Runs with at least one digit and a length that base32 can have; eight letters are five bytes."""
+    runs = F.transform(F.filter(found(text, BASE32), lambda r: r.rlike("[2-7]")), lambda r: F.rtrim(r, F.lit("=")))
+    fit = F.filter(runs, lambda r: (F.length(r) % 8).isin(0, 2, 4, 5, 7))
+    five = lambda g: F.lpad(F.conv(F.translate(g, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"), 32, 16), 10, "0")
+    digits = lambda r: F.array_join(F.transform(F.regexp_extract_all(F.rpad(r, (F.ceil(F.length(r) / 8) * 8).cast("int"), "A"), F.lit(".{8}"), 0), five), "")
+    return F.transform(fit, lambda r: F.substring(F.unhex(digits(r)), F.lit(1), F.floor(F.length(r) * 5 / 8).cast("int")))
+
+
+def reversed_text(text: Column) -> Column:
+    """The first MiB turned round, where a keyword stands in it backwards."""
+    head = F.substring(text, 1, 1 << 20)
+    return F.when(head.rlike("(?i)" + "|".join(re.escape(r) for r in REVERSED)), F.array(F.reverse(head))).otherwise(F.array().cast("array<string>"))
+
+
+def unquoted(literal: Column) -> Column:
+    return F.replace(literal, F.lit('""'), F.lit('"'))
+
+
+def chained_literals(text: Column) -> Column:
+    """Chains of literals and ``Chr(n)`` joined by ``&`` or ``+``, carried out; codes beyond Unicode are skipped."""
+    token = rf"(?i){LITERAL}|{CHR}"
+
+    def joined(chain: Column) -> Column:
+        parts = F.arrays_zip(F.regexp_extract_all(chain, F.lit(token), 1).alias("words"), F.regexp_extract_all(chain, F.lit(token), 2).alias("code"))
+        char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.array_join(F.transform(parts, lambda p: F.when(p["code"] == "", unquoted(p["words"])).otherwise(char(p["code"]))), "")
+
+    return F.transform(F.slice(found(text, CHAIN), 1, 64), joined)
 
 
 def decimal_texts(text: Column) -> Column:
@@ -80,8 +142,8 @@ def reversed_literals(text: Column) -> Column:
 
 def replaced_literals(text: Column) -> Column:
     """``Replace("text", "old", "new")`` with all three given as literals, carried out."""
-    call = r'(?i)\breplace\(\s*"([^"]*+)"\s*,\s*"([^"]*+)"\s*,\s*"([^"]*+)"'
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(call), i).alias(f"p{i}") for i in (1, 2, 3)])
+    call = rf"(?i)\breplace\(\s*{LITERAL}\s*,\s*{LITERAL}\s*,\s*{LITERAL}"
+    parts = F.arrays_zip(*[F.transform(F.regexp_extract_all(text, F.lit(call), i), unquoted).alias(f"p{i}") for i in (1, 2, 3)])
     return F.transform(parts, lambda p: F.when(p["p2"] == "", p["p1"]).otherwise(F.replace(p["p1"], p["p2"], p["p3"])))
 
 
@@ -98,7 +160,29 @@ def environ_markers(text: Column) -> Column:
 
 
 def transcoded(body: Column) -> Column:
-    """Bytes with a UTF-16 mark as text, null for others."""
+    """UTF-16 as text, null for other bytes: with a mark, or, from sixteen bytes on, where of the first 4096 at least 60 of
+    100 are zero on one side of the pairs and at most 20 on the other."""
     mark = F.hex(F.substring(body, 1, 2))
     rest = F.substring(body, 3, (1 << 31) - 1)
-    return F.when(mark == "FFFE", F.decode(rest, "UTF-16LE")).when(mark == "FEFF", F.decode(rest, "UTF-16BE"))
+    sample = F.hex(F.substring(body, 1, 4096))
+    pairs = F.floor(F.length(sample) / 4)
+    zeros = lambda side: F.size(F.filter(F.regexp_extract_all(sample, F.lit("(..)(..)"), side), lambda b: b == "00")) * 100
+    long_enough = F.octet_length(body) >= 16
+    little = long_enough & (zeros(2) >= pairs * 60) & (zeros(1) <= pairs * 20)
+    big = long_enough & (zeros(1) >= pairs * 60) & (zeros(2) <= pairs * 20)
+    whole = F.substring(body, F.lit(1), (F.floor(F.octet_length(body) / 2) * 2).cast("int"))
+    out = F.when(mark == "FFFE", F.decode(rest, "UTF-16LE")).when(mark == "FEFF", F.decode(rest, "UTF-16BE"))
+    return out.when(little, F.decode(whole, "UTF-16LE")).when(big, F.decode(whole, "UTF-16BE"))
+
+
+#: Written-out forms of dots, colons and at signs, in the order in which they are undone.
+DEFANGED = (("[://]", "://"), ("[//]", "//"), ("[/]", "/"), ("[:]", ":"), ("[.]", "."), ("(.)", "."), ("{.}", "."), ("[dot]", "."), ("[DOT]", "."), ("(dot)", "."), ("(DOT)", "."), ("[@]", "@"), ("(@)", "@"), ("[at]", "@"), ("[AT]", "@"), ("(at)", "@"), ("(AT)", "@"), ("[tt]", "tt"), ("[TT]", "TT"))
+
+
+def undefanged(text: Column) -> Column:
+    """The first MiB with hxxp and fxp schemes and written-out signs put right; null where nothing changes."""
+    head = F.substring(text, 1, 1 << 20)
+    out = F.regexp_replace(F.regexp_replace(head, r"(?i)hxxp(s?)(:|\[)", "http$1$2"), r"(?i)fxp(:|\[)", "ftp$1")
+    for a, b in DEFANGED:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(out != head, out)

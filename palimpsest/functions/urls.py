@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what an address is in a text.
 FOUND = r"(?i)\bhttps?://[^\s\"'<>)\]}\x00-\x1f]+"
 #: Tokens that make a second, refanged pass worth while, and its replacements in order.
 DEFANG_TOKENS = ("hxxp", "hXXp", "[.]", "(.)", "{.}", "[dot]", "(dot)", "{dot}", "[DOT]", " dot ", "[:]", "[://]")
@@ -15,7 +17,12 @@ PIECES = r"^(?i)(https?)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?
 
 
 def refanged(text: Column) -> Column:
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), REFANG, text)
+    """All written-out signs put right in one pass, so that what a replacement makes is not replaced again: the text is
+    cut before and after each token, and tokens are looked up."""
+    tokens = "|".join(re.escape(a) for a, _ in REFANG)
+    known = F.create_map(*[F.lit(x) for pair in REFANG for x in pair])
+    parts = F.split(F.regexp_replace(text, f"({tokens})", "\x01$1\x01"), "\x01")
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")
 
 
 def is_defanged(text: Column) -> Column:

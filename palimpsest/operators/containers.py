@@ -1,7 +1,10 @@
 """Containers opened into their members, and these again, under one budget for a document.
 
 Formats are told by their bytes. What can't be parsed yields fewer rows and never fails a query; what exceeds the
-budget is left out, and a member over its limit is cut. A null body has no members.
+budget is left out, and a member over its limit is cut. A null body has no members. Members of encrypted archives are
+tried with the document's candidates for a password; whether that worked is told by a marker, a member of its own.
+Compound files give macro source, packages and addresses besides their streams; Office archives also their outer
+relations.
 """
 
 from __future__ import annotations
@@ -18,11 +21,24 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What one document may unfold to.
 DEPTH, MEMBERS, MEMBER_BYTES, TOTAL_BYTES = 6, 4096, 16 << 20, 128 << 20
 CFB_MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+SLICE = 8 << 20  # bytes of members in one batch
 END_OF_CHAIN = 0xFFFFFFFA  # this and above are no sectors
+#: Trials of passwords for a document; identifiers of embedded files, of links to addresses and of
+#: installers; relations and their targets that count.
+TRIALS = 256
+ONENOTE = (bytes.fromhex("E4525C7B8CD8A74DAEB15378D02996D3"), bytes.fromhex("A12FFF43D9EF764C9EE210EA5722765F"))
+EMBEDDED_FILE = bytes.fromhex("E716E3BD65261145A4C48D4D0B7A9EAC")
+LINK = bytes.fromhex("4C0000000114020000000000C000000000000046")
+ADDRESS = bytes.fromhex("E0C9EA79F9BACE118C8200AA004BA90B")
+TNEF = b"\x78\x9f\x3e\x22"
+OUTER = re.compile(rb"<Relationship\b[^>]*>", re.S)
+OFFICE = ("word/", "xl/", "ppt/", "visio/", "customXml/", "_rels/", "docProps/")
+ENCRYPTED, DECRYPTED = "ARCHIVE-ENCRYPTED", "ARCHIVE-DECRYPTED"
 PDF_STREAM = re.compile(rb"<<((?:(?!stream|endobj).){0,2048}?)>>\s*stream\r?\n", re.S)
 RTF_OBJECT = re.compile(rb"\\objdata\b([0-9A-Fa-f\s]+)")
 
@@ -31,6 +47,8 @@ RTF_OBJECT = re.compile(rb"\\objdata\b([0-9A-Fa-f\s]+)")
 class Budget:
     members: int = MEMBERS
     size: int = TOTAL_BYTES
+    passwords: tuple[str, ...] = ()
+    trials: int = TRIALS
 
     def take(self, body: bytes) -> bytes | None:
         if not self.members or not self.size:
@@ -48,16 +66,129 @@ def inflated(data: bytes, bits: int) -> bytes:
         return b""
 
 
-def zip_members(body: bytes) -> Iterator[tuple[str, bytes]]:
+def zip_members(body: bytes, budget: Budget) -> Iterator[tuple[str, bytes]]:
+    """Members; of encrypted ones those that a candidate opens. Office archives give their outer relations too."""
+    marks: set[str] = set()
     with zipfile.ZipFile(io.BytesIO(body)) as z:
         for info in z.infolist():
-            if info.is_dir() or info.flag_bits & 1:
+            if info.is_dir() or info.file_size > MEMBER_BYTES:
                 continue
+            for password in (None,) if not info.flag_bits & 1 else budget.passwords:
+                if password is not None:
+                    budget.trials -= 1
+                    if budget.trials < 0:
+                        break
+                try:
+                    with z.open(info, pwd=None if password is None else password.encode()) as f:
+                        data = f.read(MEMBER_BYTES)
+                except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError, RuntimeError):
+                    continue
+                if password is not None:
+                    marks.add(DECRYPTED)
+                yield info.filename, data
+                if info.filename.endswith(".rels"):
+                    yield from outer_relations(info.filename, data)
+                break
+            else:
+                if info.flag_bits & 1:
+                    marks.add(ENCRYPTED)
+    for mark in sorted(marks):
+        yield f"#{mark}", mark.encode()
+
+
+def is_office(names: list[str]) -> bool:
+    return any(n in ("[Content_Types].xml", "mimetype") or n.startswith(OFFICE) for n in names)
+
+
+def outer_relations(part: str, data: bytes) -> Iterator[tuple[str, bytes]]:
+    """Targets outside the archive that a part names."""
+    found = 0
+    for tag in OUTER.findall(data):
+        target = re.search(rb'\bTarget="([^"]*)"', tag)
+        if not target or b'TargetMode="External"' not in tag or found >= 64:
+            continue
+        address = target[1].replace(b"&amp;", b"&")
+        kind = b"OOXML-MHTML-REL " if address.lower().startswith(b"mhtml:") or b"!x-usc:" in address.lower() else b"OOXML-EXTERNAL-REL " if re.match(rb"(?i)(?:https?|ftp|file|smb):|\\\\", address) else b""
+        if kind:
+            yield f"{part}#{found}", kind + address
+            found += 1
+
+
+def link_strings(body: bytes) -> Iterator[tuple[str, bytes]]:
+    """The strings of a shortcut: name, relative path, folder, arguments, icon. A cut one ends the list."""
+    flags = struct.unpack_from("<I", body, 20)[0]
+    at = 76
+    if flags & 1:
+        at += 2 + struct.unpack_from("<H", body, at)[0]
+    if flags & 2:
+        size = struct.unpack_from("<I", body, at)[0]
+        if size < 4 or at + size > len(body):
+            return
+        at += size
+    for bit, name in enumerate(("name", "path", "folder", "arguments", "icon"), 2):
+        if not flags >> bit & 1:
+            continue
+        count = struct.unpack_from("<H", body, at)[0] * (2 if flags & 0x80 else 1)
+        text = body[at + 2 : at + 2 + count]
+        at += 2 + count
+        if text:
+            yield name, text.decode("utf-16-le", "replace").encode() if flags & 0x80 else text
+        if at > len(body):
+            return
+
+
+def onenote_files(body: bytes) -> Iterator[tuple[str, bytes]]:
+    at, found = body.find(EMBEDDED_FILE), 0
+    while at >= 0 and found < 128:
+        size = min(struct.unpack_from("<Q", body, at + 16)[0], MEMBER_BYTES, len(body) - at - 36)
+        yield f"file{found}", body[at + 36 : at + 36 + size]
+        found += 1
+        at = body.find(EMBEDDED_FILE, at + 36 + size)
+
+
+def tnef_parts(body: bytes) -> Iterator[tuple[str, bytes]]:
+    """Data of attachments, by their attributes: level, id, size, data, checksum."""
+    at, found = 6, 0
+    while at + 9 <= len(body) and found < 64:
+        ident, size = struct.unpack_from("<II", body, at + 1)
+        if ident == 0x0006800F:
+            yield f"attachment{found}", body[at + 9 : at + 9 + size]
+            found += 1
+        at += 9 + size + 2
+
+
+def packaged_file(data: bytes) -> bytes | None:
+    """The file within a package stream: two names, four bytes, a path with its length, and the data with theirs."""
+    at = 6
+    for _ in range(2):
+        at = data.index(b"\0", at) + 1
+    at += 4
+    at += 4 + struct.unpack_from("<I", data, at)[0]
+    size = struct.unpack_from("<I", data, at)[0]
+    return data[at + 4 : at + 4 + size] or None
+
+
+def compound_members(body: bytes) -> Iterator[tuple[str, bytes]]:
+    """Streams, and what they hold: macro source behind its offset, packaged files, addresses of links."""
+    for name, data in cfb_streams(body):
+        yield name, data
+        if name.lower().endswith("ole10native"):
             try:
-                with z.open(info) as f:
-                    yield info.filename, f.read(MEMBER_BYTES)
-            except (zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
-                continue
+                if (inner := packaged_file(data)) is not None:
+                    yield f"{name}#package", inner
+            except (ValueError, struct.error):
+                pass
+        at = data.find(b"\x01", 0)
+        while at >= 0:  # compressed source begins with 1 and a chunk header whose signature is 3
+            if at + 3 <= len(data) and data[at + 2] & 0x70 == 0x30 and (source := vba_decompressed(data[at:])).startswith(b"Attribute VB_"):
+                yield f"{name}#vba", source
+                break
+            at = data.find(b"\x01", at + 1)
+        at = data.find(ADDRESS)
+        if at >= 0 and at + 20 <= len(data):
+            size = struct.unpack_from("<I", data, at + 16)[0]
+            if size >= 2 and size % 2 == 0 and at + 20 + size <= len(data):
+                yield f"{name}#address", data[at + 20 : at + 20 + size].decode("utf-16-le", "replace").rstrip("\0").encode()
 
 
 def tar_members(body: bytes) -> Iterator[tuple[str, bytes]]:
@@ -171,12 +302,18 @@ def vba_decompressed(data: bytes) -> bytes:
     return bytes(out)
 
 
-def opened(body: bytes) -> tuple[str, Iterator[tuple[str, bytes]]]:
+def opened(body: bytes, budget: Budget) -> tuple[str, Iterator[tuple[str, bytes]]]:
     """What a body is, and its members."""
     if body.startswith(CFB_MAGIC):
-        return "ole2", cfb_streams(body)
+        return "ole2", compound_members(body)
     if body.startswith(b"PK\x03\x04"):
-        return "zip", zip_members(body)
+        return "zip", zip_members(body, budget)
+    if body.startswith(LINK):
+        return "lnk", link_strings(body)
+    if body.startswith(ONENOTE):
+        return "onenote", onenote_files(body)
+    if body.startswith(TNEF):
+        return "tnef", tnef_parts(body)
     if body.startswith(b"\x1f\x8b"):
         return "gzip", iter([("content", inflated(body, 31))])
     if b"%PDF-" in body[:1024]:
@@ -190,7 +327,7 @@ def opened(body: bytes) -> tuple[str, Iterator[tuple[str, bytes]]]:
 
 def unfolded(body: bytes, budget: Budget, depth: int = 1, path: str = "") -> Iterator[tuple[str, str, int, bytes]]:
     """(path, kind of the container, layer, body) of members, each before its own members."""
-    kind, found = opened(body)
+    kind, found = opened(body, budget)
     try:
         for name, data in found:
             if (data := budget.take(data)) is None:
@@ -202,17 +339,28 @@ def unfolded(body: bytes, budget: Budget, depth: int = 1, path: str = "") -> Ite
         return
 
 
-def extracted(files: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """``files(key, body)`` to a row for each member at any depth: key, pos, path, kind, layer, body."""
+def extracted(files: DataFrame, key: str, body: str = "body", passwords: str | None = None) -> DataFrame:
+    """``files(key, body)`` to a row for each member at any depth: key, pos, path, kind, layer, body. ``passwords`` names
+    a column with candidates, in the order in which they are tried."""
     schema = files.select(key).schema[0].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for of, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = [(of.as_py(), pos, *row) for pos, row in enumerate(unfolded(content.as_py() or b"", Budget()))]
+            kinds = (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary())
+
+            def made(rows: list[tuple], kinds=kinds) -> pa.RecordBatch:
+                return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "pos", "path", "kind", "layer", "body"])
+
+            for of, content, tried in zip(*batch.columns, strict=True):
+                rows, size = [], 0
+                for pos, row in enumerate(unfolded(content.as_py() or b"", Budget(passwords=tuple(tried.as_py() or ())))):
+                    rows.append((of.as_py(), pos, *row))
+                    size += len(row[3])
+                    if size > SLICE:
+                        yield made(rows)
+                        rows, size = [], 0
                 if rows:
-                    names = ["key", "pos", "path", "kind", "layer", "body"]
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.column(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary()), strict=True)]
-                    yield pa.record_batch(columns, names)
+                    yield made(rows)
 
-    return files.select(key, body).mapInArrow(work, f"key {schema}, pos int, path string, kind string, layer int, body binary")
+    candidates = F.array().cast("array<string>") if passwords is None else F.col(passwords)
+    return files.select(key, body, candidates.alias("candidates")).mapInArrow(work, f"key {schema}, pos int, path string, kind string, layer int, body binary")

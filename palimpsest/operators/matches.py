@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scoring
@@ -14,8 +14,9 @@ WEAK_MIN = 3
 
 def first_of_each(matches: DataFrame) -> DataFrame:
     """The first match of each (namespace, rule) in a document."""
-    nth = F.row_number().over(Window.partitionBy("doc", "namespace", "rule").orderBy("pos"))
-    return matches.withColumn("nth", nth).where("nth = 1").drop("nth")
+    rest = [c for c in matches.columns if c not in ("doc", "namespace", "rule")]
+    first = matches.groupBy("doc", "namespace", "rule").agg(F.min_by(F.struct(*rest), "pos").alias("x"))
+    return first.select("doc", "namespace", "rule", "x.*").select(*matches.columns)
 
 
 def channelled(matches: DataFrame, tags: Column, channel: Column) -> DataFrame:
@@ -56,3 +57,12 @@ def fingerprint(names: DataFrame, name: Column) -> DataFrame:
 
 def top_rules(matches: DataFrame, n: int) -> DataFrame:
     return matches.groupBy("rule").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "rule").limit(n)
+
+
+#: Fixed value: from this score on a match is high.
+HIGH = 75
+
+
+def high(matches: DataFrame, score: Column) -> DataFrame:
+    """doc, high: whether any match of the document is high."""
+    return matches.groupBy("doc").agg(F.coalesce(F.max(score) >= HIGH, F.lit(False)).alias("high"))

@@ -1,18 +1,132 @@
 """Rules as columns: strings and conditions of a catalogue compile to booleans, so that Catalyst evaluates them all
-in one pass over a document instead of joining documents with rules."""
+in one pass over a document instead of joining documents with rules.
+
+Texts hold one byte a character. A condition is built from ``matches``, ``some``, ``times``, ``at``, ``smaller``,
+``word_at`` and ``variable``, joined by ``&``, ``|`` and ``~``; without one, ``least`` of the strings must match and those
+in ``none`` must not."""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+NOTHING: frozenset[str] = frozenset()
+KINDS = ("text", "regex", "hex")
+
+
+def literal_pattern(value: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", value)
+
+
+def wide_pattern(value: str) -> str:
+    return "".join(literal_pattern(c) + r"\x00" for c in value)
+
+
+def hex_pattern(value: str) -> str:
+    """Bytes as hexadecimal digits: ``??``, half wildcards, jumps ``[n-m]`` and alternatives ``(AA|BB CC)``."""
+    out = []
+    for token in re.findall(r"\[[^\]]*\]|[()|]|[0-9A-Fa-f?]{2}|\S", value):
+        if token in "()|":
+            out.append("(?:" if token == "(" else token)
+        elif token[0] == "[":
+            low, _, high = token[1:-1].partition("-")
+            out.append(f".{{{int(low)}}}" if "-" not in token else f".{{{int(low or 0)},{int(high) if high else ''}}}")
+        elif token == "??":
+            out.append(".")
+        elif token[0] == "?":
+            out.append("[" + "".join(rf"\x{i:X}{token[1]}" for i in range(16)) + "]")
+        elif token[1:] == "?":
+            out.append(rf"[\x{token[0]}0-\x{token[0]}F]")
+        elif re.fullmatch("[0-9A-Fa-f]{2}", token):
+            out.append(rf"\x{token}")
+        else:
+            raise ValueError(f"not hexadecimal: {token}")
+    return "(?s)" + "".join(out)
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What a condition sees: the text, the size of the body, and variables by name."""
+
+    text: Column
+    size: Column
+    variables: dict[str, Column] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Condition:
+    column: Callable[[Rule, Scope], Column]
+
+    def __and__(self, other: Condition) -> Condition:
+        return Condition(lambda r, s: self.column(r, s) & other.column(r, s))
+
+    def __or__(self, other: Condition) -> Condition:
+        return Condition(lambda r, s: self.column(r, s) | other.column(r, s))
+
+    def __invert__(self) -> Condition:
+        return Condition(lambda r, s: ~self.column(r, s))
+
+
+def matches(key: str) -> Condition:
+    return Condition(lambda r, s: r.string(key, s.text))
+
+
+def some(n: int | str, *keys: str) -> Condition:
+    """``n`` of the strings, "all" or "any"; a key may end in a star, and none means every string."""
+
+    def column(rule: Rule, scope: Scope) -> Column:
+        known = [k for k in rule.strings if not keys or any(k == x or (x[-1:] == "*" and k.startswith(x[:-1])) for x in keys)]
+        least = {"all": len(known), "any": 1}.get(n, n)
+        hits = [rule.string(k, scope.text).cast("int") for k in known]
+        return reduce(lambda a, b: a + b, hits, F.lit(0)) >= least
+
+    return Condition(column)
+
+
+def times(key: str, more_than: int) -> Condition:
+    """More places than that, overlapping ones too."""
+
+    def column(rule: Rule, scope: Scope) -> Column:
+        flags, pattern = rule.pattern(key)
+        return F.regexp_count(scope.text, F.lit(f"{flags}(?={pattern})")) > more_than
+
+    return Condition(column)
+
+
+def at(key: str, offset: int) -> Condition:
+    """The string stands at this place."""
+
+    def column(rule: Rule, scope: Scope) -> Column:
+        flags, pattern = rule.pattern(key)
+        return F.substring(scope.text, offset + 1, 1 << 20).rlike(f"{flags}^(?:{pattern})")
+
+    return Condition(column)
+
+
+def smaller(size: int) -> Condition:
+    return Condition(lambda r, s: s.size < size)
+
+
+def word_at(offset: int, value: int) -> Condition:
+    """Two bytes, the low one first."""
+    two = value.to_bytes(2, "little").decode("latin-1")
+    return Condition(lambda r, s: F.substring(s.text, offset + 1, 2) == two)
+
+
+def variable(name: str, value: str | bool) -> Condition:
+    """An outer variable has this value; one that isn't given has none."""
+    return Condition(lambda r, s: F.coalesce(s.variables[name] == value, F.lit(False)) if name in s.variables else F.lit(False))
+
 
 @dataclass(frozen=True)
 class Rule:
-    """``strings`` maps an id to (kind, value, options); at least ``least`` of them must match, ``none`` must not."""
+    """``strings`` maps an id to (kind, value, options: nocase, wide, ascii, fullword)."""
 
     name: str
     namespace: str
@@ -21,28 +135,104 @@ class Rule:
     none: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
     meta: dict[str, str] = field(default_factory=dict)
+    condition: Condition | None = None
+    private: bool = False
 
-    def string(self, key: str, text: Column) -> Column:
+    def pattern(self, key: str) -> tuple[str, str]:
+        """Flags and pattern. A wide string stands with zeros between its bytes, and without them if it is ascii too."""
         kind, value, options = self.strings[key]
-        pattern = value if kind == "regex" else re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", value)
-        if "wide" in options:
-            pattern = "".join(c + r"\x00" for c in value)
+        if kind == "hex":
+            return "(?s)", hex_pattern(value).removeprefix("(?s)")
+        pattern = value if kind == "regex" else literal_pattern(value)
+        if "wide" in options and kind == "text":
+            pattern = f"(?:{wide_pattern(value)}|{pattern})" if "ascii" in options else wide_pattern(value)
         if "fullword" in options:
             pattern = rf"(?<![A-Za-z0-9]){pattern}(?![A-Za-z0-9])"
-        if kind == "text" and not options:
+        return "(?i)" if "nocase" in options else "", pattern
+
+    def string(self, key: str, text: Column) -> Column:
+        kind, value, options = self.strings[key]
+        if kind == "text" and not options - {"ascii"}:
             return F.contains(text, F.lit(value))
-        return text.rlike(("(?i)" if "nocase" in options else "") + pattern)
+        return text.rlike("".join(self.pattern(key)))
 
-    def condition(self, text: Column) -> Column:
-        wanted = [self.string(k, text).cast("int") for k in self.strings if k not in self.none]
-        out = sum(wanted[1:], wanted[0]) >= self.least
+    def holds(self, scope: Scope) -> Column:
+        if self.condition is not None:
+            return self.condition.column(self, scope)
+        wanted = [self.string(k, scope.text).cast("int") for k in self.strings if k not in self.none]
+        out = reduce(lambda a, b: a + b, wanted) >= self.least
         for key in self.none:
-            out = out & ~self.string(key, text)
+            out = out & ~self.string(key, scope.text)
         return out
 
 
-def matched(docs: DataFrame, text: Column, rules: list[Rule], *keep: str) -> DataFrame:
-    """The columns kept, pos, rule, namespace, tags, meta: a row for each rule that holds."""
+def matched(docs: DataFrame, text: Column, rules: list[Rule], *keep: str, size: Column | None = None, variables: dict[str, Column] | None = None) -> DataFrame:
+    """The columns kept, pos, rule, namespace, tags, meta: a row for each rule that holds, but private ones."""
+    scope = Scope(text, F.octet_length(text) if size is None else size, variables or {})
     entry = lambda i, r: F.struct(F.lit(i).alias("pos"), F.lit(r.name).alias("rule"), F.lit(r.namespace).alias("namespace"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.create_map(*[F.lit(x) for kv in r.meta.items() for x in kv]).cast("map<string,string>").alias("meta"))
-    hits = F.filter(F.array(*[F.when(r.condition(text), entry(i, r)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*[F.when(r.holds(scope), entry(i, r)) for i, r in enumerate(rules) if not r.private]), lambda x: x.isNotNull())
     return docs.select(*keep, F.inline(hits))
+
+
+def rule_set(rules: list[Rule], kind: str, small: frozenset[str] = NOTHING, deny: frozenset[str] = NOTHING) -> list[Rule]:
+    """Of a catalogue: all rules, those for markers, or the small set for big bodies (``small`` namespaces); without
+    denied ones, whose names are in lower case; private rules can't be denied."""
+    allowed = [r for r in rules if r.private or r.name.lower() not in deny]
+    return {"full": allowed, "marker": [r for r in allowed if "marker" in r.tags], "small": [r for r in allowed if r.namespace in small]}[kind]
+
+
+FIELDS = "rule string, namespace string, tags array<string>, meta map<string,string>, strings array<struct<id:string,kind:string,value:string,options:array<string>>>, least int, none array<string>"
+
+
+def loaded(lines: DataFrame) -> tuple[list[Rule], DataFrame]:
+    """Rules of ``lines(namespace, value)``, one JSON object each, in order of namespace and rule; and the bad ones as a
+    table (namespace, value, error), which are left out. A catalogue is thousands of rules at most, so it is collected."""
+    good, bad = [], []
+    parsed = lines.select(F.col("namespace").alias("file"), "value", F.from_json("value", FIELDS).alias("r")).orderBy("file", "value")
+    for row in parsed.toLocalIterator():
+        try:
+            json.loads(row.value)
+            r = row.r
+            strings = {s["id"]: (s["kind"], s["value"], frozenset(s["options"] or ())) for s in r["strings"] or ()}
+            rule = Rule(r["rule"] or "", r["namespace"] or row.file, strings, r["least"] or 1, tuple(r["none"] or ()), tuple(r["tags"] or ()), dict(r["meta"] or {}))
+            if not rule.name or not strings or any(k not in KINDS for k, _, _ in strings.values()) or not set(rule.none) < set(strings):
+                raise ValueError("a rule needs a name and strings of known kinds")
+            for key in strings:
+                re.compile("".join(rule.pattern(key)))
+            good.append(rule)
+        except (ValueError, TypeError, re.error) as problem:
+            bad.append((row.file, row.value, str(problem)))
+    return good, lines.sparkSession.createDataFrame(bad, "namespace string, value string, error string")
+
+
+class Engine:
+    """A catalogue that can be exchanged as a whole: a new one without a single good rule leaves the old one in place."""
+
+    def __init__(self, rules: list[Rule] | None = None):
+        self.rules = list(rules or [])
+
+    def register_rules(self, lines: DataFrame) -> DataFrame:
+        """Take the rules of ``lines`` (see :func:`loaded`); returns what was wrong with the bad ones."""
+        good, bad = loaded(lines)
+        if good:
+            self.rules = good
+        return bad
+
+    def matched(self, docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+        return matched(docs, text, self.rules, *keep)
+
+
+#: Functions that SQL may call, as SQL of their own, so that they stay within Catalyst.
+SQL_FUNCTIONS = {
+    "score_weight(score DOUBLE) RETURNS DOUBLE": "CASE WHEN score IS NULL THEN 1.0D ELSE 0.5D + least(greatest(score, 0), 100) / 100.0D END",
+    "is_ipv4(host STRING) RETURNS BOOLEAN": r"host RLIKE '^[0-9]*(\\.[0-9]*){3}$'",
+    "file_extension(name STRING) RETURNS STRING": r"lower(regexp_extract(trim(regexp_replace(name, '^.*[/\\\\]', '')), '^.+(\\.[^.]+)$', 1))",
+    "container_magic(body BINARY) RETURNS BOOLEAN": "hex(substring(body, 1, 4)) IN ('504B0304', 'D0CF11E0', '25504446') OR hex(substring(body, 1, 2)) = '4D5A'",
+}
+
+
+def register_functions(spark) -> list[str]:
+    """Make the functions known to SQL for this session; returns their names."""
+    for head, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+    return [h.split("(")[0] for h in SQL_FUNCTIONS]

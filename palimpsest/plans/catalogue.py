@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import effort, encodings, files, scoring, urls
+from palimpsest.functions import effort, encodings, files, markers, scoring, urls
 from palimpsest.operators import containers, feeds, matches, rules
 from palimpsest.sources import sinks
 from palimpsest.streaming import cache, rates
@@ -68,7 +68,7 @@ def rule_matches(read):
 
 @query(
     r"""WITH b AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '%PDF-1.4' WHEN 1 THEN '{\rt' WHEN 2 THEN 'MZ' WHEN 3 THEN 'Rar!' || chr(26) || chr(7) WHEN 4 THEN '' ELSE 'ID;' END AS head FROM pages)
-SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'pe' WHEN 3 THEN 'rar' WHEN 4 THEN 'none' ELSE 'sylk' END AS kind FROM b"""
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' WHEN 2 THEN 'none' WHEN 3 THEN 'rar' WHEN 4 THEN 'none' ELSE 'sylk' END AS kind FROM b"""
 )
 def sniff_kind(read):
     heads = F.element_at(F.array(*map(F.lit, ("%PDF-1.4", "{\\rt", "MZ", "Rar!\x1a\x07", "", "ID;"))), (F.col("page_id") % 6 + 1).cast("int"))
@@ -134,7 +134,7 @@ whole = lambda text: F.encode(text, "UTF-8")
 decoded("decode_base64", lambda t: F.concat(F.lit("x: "), F.regexp_replace(F.base64(whole(t)), r"[\r\n]", "")), encodings.base64_blobs, WHOLE.format(18) + " AND NOT regexp_matches(rtrim(to_base64(encode(text)), '='), '^[0-9A-Fa-f]+$') AND strlen(rtrim(to_base64(encode(text)), '=')) >= 24")
 decoded("decode_hex", lambda t: F.concat(F.lit("x: "), F.hex(whole(t))), encodings.hex_blobs, WHOLE.format(16))
 decoded("decode_escapes", lambda t: F.regexp_replace(F.hex(whole(t)), "(..)", r"\\x$1"), encodings.escape_blobs, WHOLE.format(8))
-decoded("decode_netbios", lambda t: F.translate(F.hex(whole(t)), "0123456789ABCDEF", "ABCDEFGHIJKLMNOP"), encodings.netbios_blobs, WHOLE.format(16))
+decoded("decode_netbios", lambda t: F.translate(F.hex(whole(t)), "0123456789ABCDEF", "ABCDEFGHIJKLMNOP"), encodings.netbios_blobs, WHOLE.format(16) + " AND len(list_filter(regexp_extract_all(substr(hex(encode(text)), 1, 8192), '..'), lambda x: x IN ('09', '0A', '0D') OR x BETWEEN '20' AND '7E')) * 100 >= least(strlen(text), 4096) * 90")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, 3 AS layers FROM documents WHERE strlen(text) >= 24")
@@ -150,14 +150,14 @@ def decode_layers(read):
 @query(
     "WITH f AS (SELECT page_id, 'dir\\' || regexp_extract(url, '([A-Za-z0-9_-]*)[/?#]*[^/]*$', 1) || 'x' || ['.PDF', '.msg', '.txt', '.tar.gz', '.docx', '.JPG'][page_id % 6 + 1] AS name FROM pages) "
     "SELECT page_id, substr(name, 5) AS base, lower('.' || regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, CASE WHEN lower(name) LIKE '%.msg' THEN 'outlook' ELSE '' END AS file_type, "
-    "CASE WHEN page_id % 6 IN (0, 2, 5) THEN 'ole2:' || lower('.' || regexp_extract(name, '\\.([^.]+)$', 1)) END AS mismatch FROM f"
+    "CASE WHEN page_id % 6 IN (0, 2, 5) THEN 'office-doc:' || lower(regexp_extract(name, '\\.([^.]+)$', 1)) END AS mismatch FROM f"
 )
 def file_metadata(read):
     ext = F.element_at(F.array(*map(F.lit, (".PDF", ".msg", ".txt", ".tar.gz", ".docx", ".JPG"))), (F.col("page_id") % 6 + 1).cast("int"))
     name = F.concat(F.lit("dir\\"), F.regexp_extract("url", "([A-Za-z0-9_-]*)[/?#]*[^/]*$", 1), F.lit("x"), ext)
     named = read("pages").select("page_id", name.alias("name"))
     e = files.extension(F.col("name"))
-    return named.select("page_id", files.base_name(F.col("name")).alias("base"), e.alias("ext"), files.file_type(e).alias("file_type"), files.mismatch(e, F.lit("ole2")).alias("mismatch"))
+    return named.select("page_id", files.base_name(F.col("name")).alias("base"), e.alias("ext"), files.file_type(e).alias("file_type"), files.mismatch(e, F.lit("office-doc")).alias("mismatch"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(role || '_' || regexp_replace(text, '[^A-Za-z ]', '', 'g'), '[ _.()\\[\\]-]'), lambda x: length(x) BETWEEN 3 AND 32)[1:6], ',') AS tokens FROM conversations")
@@ -285,20 +285,16 @@ def page_strings(read):
     return read("pages").select("page_id", F.contains("html", F.lit("<script")).alias("script"), F.size(F.regexp_extract_all("html", F.lit(r"[\x20-\x7e]{8,}"), 0)).cast("long").alias("strings"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'HTML-SMUGGLING' END AS marker FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'HTML-SMUGGLING-BLOB' ELSE '' END AS marker FROM pages")
 def html_smuggling(read):
     made = F.concat("html", F.when(F.col("page_id") % 11 == 0, "<a href='x' download='f'>new Blob(").otherwise(""))
-    window = F.substring(made, 1, 1 << 20)
-    apis = F.regexp_like(window, F.lit("createObjectURL|msSaveBlob|msSaveOrOpenBlob|new Blob"))
-    return read("pages").select("page_id", F.when(apis & window.rlike(r'(?i)(?:\s|;|"|\.)download\s*='), "HTML-SMUGGLING").alias("marker"))
+    return read("pages").select("page_id", F.array_join(markers.html_smuggling(made), "|").alias("marker"))
 
 
 @query("SELECT event_id, event_id % 9 = 0 AS injected FROM events")
 def formula_injection(read):
-    """A cell starting with a formula sign that has a pipe, then an exclamation mark, outside quotes."""
     cell = F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("=cmd|'/c x'!A"), F.col("event_id").cast("string"))).otherwise(F.col("props"))
-    bare = F.regexp_replace(cell, '"[^"]*"', "")
-    return read("events").select("event_id", (F.ltrim(cell).rlike("^[=+@-]") & bare.rlike(r"^..+\|.*!")).alias("injected"))
+    return read("events").select("event_id", (F.size(markers.csv_injections(cell)) > 0).alias("injected"))
 
 
 decoded("decode_ampersand", lambda t: F.regexp_replace(F.hex(whole(t)), "(..)", "&H$1, "), encodings.amp_blobs, WHOLE.format(8))
@@ -394,3 +390,6 @@ def json_responses(read):
 @query("SELECT metric, value FROM (SELECT count(*)::DOUBLE AS scans, sum(value > 100)::DOUBLE AS large FROM events) UNPIVOT (value FOR metric IN (scans, large))")
 def metrics_text(read):
     return sinks.metrics(read("events").agg(F.count("*").alias("scans"), F.count_if(F.col("value") > 100).alias("large")))
+
+
+from palimpsest.plans import cases, containers_made, flows, rule_flows  # noqa: E402, F401 -- these register their own queries

@@ -15,25 +15,37 @@ from palimpsest.functions import urls
 SHA256 = r"^[0-9A-Fa-f]{64}$"
 
 
-def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Lines but comments, cut at commas outside quotes: column fields. Ragged rows keep the fields they have."""
-    lines = spark.read.text(path).where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
+#: Fixed value: the most hashes that a feed may hold.
+MOST_HASHES = 10_000_000
+
+
+def csv_rows(lines: DataFrame) -> DataFrame:
+    """Lines (value) but comments, cut at commas outside quotes: column fields. Ragged rows keep the fields they have."""
+    lines = lines.where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
     cells = F.regexp_extract_all("value", F.lit(r'(?:^|,)\s*("[^"]*+(?:""[^"]*+)*+"?|[^,]*)'), 1)
     bare = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"|"$', ""), '""', '"')
     return lines.select(F.transform(cells, bare).alias("fields"))
 
 
 def url_feed(spark: SparkSession, path: str) -> DataFrame:
+    return url_rows(spark.read.text(path))
+
+
+def url_rows(lines: DataFrame) -> DataFrame:
     """norm, host: the first field of each row that is a URL."""
     url = F.element_at(F.filter("fields", lambda c: c.rlike("(?i)^https?://")), 1)
     norm, host = urls.normalised(F.col("url"))
-    rows = csv_rows(spark, path).where(F.exists("fields", lambda c: c.rlike("(?i)^https?://"))).select(url.alias("url"))
+    rows = csv_rows(lines).where(F.exists("fields", lambda c: c.rlike("(?i)^https?://"))).select(url.alias("url"))
     return rows.select(norm.alias("norm"), host.alias("host")).where("norm <> ''").distinct()
 
 
 def indicator_feed(spark: SparkSession, path: str, kind_field: int, value_field: int) -> tuple[DataFrame, DataFrame]:
+    return indicator_rows(spark.read.text(path), kind_field, value_field)
+
+
+def indicator_rows(lines: DataFrame, kind_field: int, value_field: int) -> tuple[DataFrame, DataFrame]:
     """URLs (norm) and hosts of a feed of typed indicators, fields counted from 0; hosts of URLs are hosts too."""
-    rows = csv_rows(spark, path).select(F.lower(F.get("fields", F.lit(kind_field))).alias("kind"), F.trim(F.get("fields", F.lit(value_field))).alias("value"))
+    rows = csv_rows(lines).select(F.lower(F.get("fields", F.lit(kind_field))).alias("kind"), F.trim(F.get("fields", F.lit(value_field))).alias("value"))
     norm, host = urls.normalised(F.col("value"))
     named = rows.where("kind = 'url'").select(norm.alias("norm"), host.alias("host")).where("norm <> ''")
     hosts = named.select("host").union(rows.where("kind = 'domain' AND value <> ''").select(F.lower("value").alias("host")))
@@ -41,10 +53,16 @@ def indicator_feed(spark: SparkSession, path: str, kind_field: int, value_field:
 
 
 def hash_feed(spark: SparkSession, path: str) -> DataFrame:
-    """sha256, lower case: the first field of 64 hex digits of each row."""
+    """The hashes of a plain feed or of the first file in an archive."""
+    zipped = path.lower().endswith(".zip")
+    return hash_rows(zipped_lines(spark, path) if zipped else spark.read.text(path))
+
+
+def hash_rows(lines: DataFrame) -> DataFrame:
+    """sha256, lower case: the first field of 64 hex digits of each row; at most ``MOST_HASHES``, the smallest."""
     hit = F.element_at(F.filter("fields", lambda c: c.rlike(SHA256)), 1)
-    rows = csv_rows(spark, path).where(F.exists("fields", lambda c: c.rlike(SHA256)))
-    return rows.select(F.lower(hit).alias("sha256")).distinct()
+    rows = csv_rows(lines).where(F.exists("fields", lambda c: c.rlike(SHA256)))
+    return rows.select(F.lower(hit).alias("sha256")).distinct().orderBy("sha256").limit(MOST_HASHES)
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +82,24 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scanned_files(spark: SparkSession, path: str, most: int = 8 << 20) -> DataFrame:
-    """path, size, body of all files below a folder; bodies are cut at ``most`` bytes."""
+    """path, size, body, error of all files below a folder; bodies are cut at ``most`` bytes, and an error says so."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return found.select("path", F.col("length").alias("size"), F.substring("content", 1, most).alias("body"))
+    error = F.when(F.col("length") > most, F.lit("too large"))
+    return found.select("path", F.col("length").alias("size"), F.substring("content", 1, most).alias("body"), error.alias("error"))
+
+
+def arriving_files(spark: SparkSession, path: str, most: int = 8 << 20, a_batch: int = 1000) -> DataFrame:
+    """The same as a stream: files are requests, a micro-batch takes at most ``a_batch`` of them."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", a_batch).load(path)
+    return found.select("path", F.col("modificationTime").alias("ts"), F.col("length").alias("size"), F.substring("content", 1, most).alias("body"))
+
+
+def mail_status(scans: DataFrame) -> DataFrame:
+    """``scans(key, size, error, rules, most)`` with column status: unknown for mail that is empty, too large or failed to
+    be scanned, else infected if any rule matched."""
+    failed = F.col("error").isNotNull() | (F.col("size") > F.col("most")) | (F.col("size") == 0)
+    return scans.withColumn("status", F.when(failed, "unknown").when(F.size("rules") > 0, "infected").otherwise("clean"))
 
 
 def exit_code(files: DataFrame, matches: DataFrame) -> DataFrame:

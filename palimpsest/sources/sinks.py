@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def json_responses(docs: DataFrame, matches: DataFrame, key: str = "doc") -> DataFrame:
-    """key, response: a JSON array of a document's matches in order of pos, [] for none."""
-    rows = matches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "rule", "namespace"))).alias("found"))
-    bare = F.to_json(F.transform("found", lambda m: F.struct(m["rule"].alias("rule"), m["namespace"].alias("namespace"))))
+def json_responses(docs: DataFrame, matches: DataFrame, key: str = "doc", full: bool = False) -> DataFrame:
+    """key, response: a JSON array of a document's matches in order of pos, [] for none; with tags and meta if full."""
+    fields = ["rule", "namespace", *(["tags", "meta"] if full else [])]
+    place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    numbered = matches.select(key, place.alias("place"), F.struct(*fields).alias("match"))
+    rows = numbered.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "match"))).alias("found"))
+    bare = F.to_json(F.transform(F.array_sort(F.map_keys("found")), lambda i: F.element_at("found", i)))
     return docs.select(key).distinct().join(rows, key, "left").select(key, F.coalesce(bare, F.lit("[]")).alias("response"))
 
 
@@ -21,3 +24,9 @@ def metrics(counters: DataFrame) -> DataFrame:
 def listing(members: DataFrame) -> DataFrame:
     """What a container holds, without bodies: key, pos, path, kind, layer, size, sha256."""
     return members.select("key", "pos", "path", "kind", "layer", F.octet_length("body").cast("long").alias("size"), F.sha2("body", 256).alias("sha256"))
+
+
+def exposition(counters: DataFrame, gauges: tuple[str, ...] = ()) -> DataFrame:
+    """One row of counters as the text that monitoring reads: a type and a value for each."""
+    lines = [F.concat(F.lit(f"# TYPE {c} {'gauge' if c in gauges else 'counter'}\n{c} "), F.col(c).cast("string"), F.lit("\n")) for c in counters.columns]
+    return counters.select(F.concat(*lines).alias("text"))
