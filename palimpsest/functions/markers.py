@@ -158,8 +158,9 @@ def printable_strings(body: Column, least: int = 8) -> Column:
 
 def executable_at_start(body: Column) -> Column:
     """``MZ``, and ``PE`` where the header says."""
-    at = F.conv(F.concat(*[F.hex(F.substring(body, i, 1)) for i in (64, 63, 62, 61)]), 16, 10).cast("int")
-    return (F.hex(F.substring(body, 1, 2)) == "4D5A") & (F.octet_length(body) >= 64) & (at < F.octet_length(body)) & (F.hex(F.substring(body, at + 1, F.lit(4))) == "50450000")
+    at = F.conv(F.concat(*[F.hex(F.substring(body, i, 1)) for i in (64, 63, 62, 61)]), 16, 10).cast("long")
+    inside = F.when(at < F.octet_length(body), at).otherwise(F.lit(0)).cast("int")
+    return (F.hex(F.substring(body, 1, 2)) == "4D5A") & (F.octet_length(body) >= 64) & (F.hex(F.substring(body, inside + 1, F.lit(4))) == "50450000")
 
 
 def binary_markers(body: Column) -> Column:

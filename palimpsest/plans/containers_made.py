@@ -8,8 +8,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import containers
-from palimpsest.plans.catalogue import packed, query
+from palimpsest.operators import containers, structure
+from palimpsest.plans.catalogue import packed, query, zipped
 
 
 def u16(text: bytes) -> bytes:
@@ -103,3 +103,122 @@ UNION ALL SELECT doc, '#ARCHIVE-ENCRYPTED', sha256('ARCHIVE-ENCRYPTED') FROM c W
 def container_passwords(read):
     found = containers.extracted(encrypted(read), "doc", passwords="known")
     return found.select(F.col("key").alias("doc"), "path", F.sha2("body", 256).alias("sha256"))
+
+
+def office(body: bytes) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", '<w:p><w:instrText>DDE</w:instrText><w:instrText xml:space="preserve">AUTO  c:\\cmd.exe</w:instrText></w:p><w:fldSimple w:instr="PAGE"/>')
+        z.writestr("xl/workbook.xml", '<sheets><sheet name="One" sheetId="1"/><sheet name="Two" state="veryHidden"/></sheets>')
+        z.writestr("xl/macrosheets/sheet1.xml", "<x/>")
+        z.writestr("docProps/core.xml", "<a><dc:title> Title </dc:title><dc:creator>Me</dc:creator></a>")
+        z.writestr("extra/inner.zip", zipped(body))
+        z.writestr("notes.txt", b"plain")
+    return out.getvalue()
+
+
+def unpacked(read, make):
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([make((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "body"])
+
+    return containers.extracted(read("documents").select("doc_id", "text").mapInArrow(work, "doc_id long, body binary"), "doc_id")
+
+
+@query("SELECT doc_id, unnest(['OOXML-DDE-FIELD DDEAUTO c:\\cmd.exe', 'XLM-HIDDEN-MACROSHEET veryHidden Two']) AS marker FROM documents")
+def office_structure(read):
+    return structure.office_markers(unpacked(read, office)).select(F.col("key").alias("doc_id"), "marker")
+
+
+@query("SELECT doc_id, 'extra/inner.zip' AS path FROM documents")
+def office_carriers(read):
+    return structure.office_siblings(unpacked(read, office)).select(F.col("key").alias("doc_id"), "path")
+
+
+@query("SELECT doc_id, 'DOCPROPS-STRINGS' || chr(10) || 'Title' || chr(10) || 'Me' AS stream FROM documents")
+def office_properties(read):
+    return structure.property_texts(unpacked(read, office)).select(F.col("key").alias("doc_id"), "stream")
+
+
+def compound(streams: dict[str, bytes]) -> bytes:
+    """A compound file of 512-byte sectors with its streams under the root; short ones are padded to be long."""
+    sectors: list[bytes] = []
+    fat: list[int] = []
+
+    def put(data: bytes) -> int:
+        start, n = len(sectors), max(1, -(-len(data) // 512))
+        sectors.extend(data[i * 512 : (i + 1) * 512].ljust(512, b"\0") for i in range(n))
+        fat.extend([*range(start + 1, start + n), 0xFFFFFFFE])
+        return start
+
+    entries = []
+
+    def entry(name: str, kind: int, right: int, child: int, start: int, size: int) -> None:
+        text = name.encode("utf-16-le") + b"\0\0"
+        entries.append(text.ljust(64, b"\0") + struct.pack("<HBB3I", len(text), kind, 1, 0xFFFFFFFF, right, child) + b"\0" * 36 + struct.pack("<IQ", start, size))
+
+    names = list(streams)
+    entry("Root Entry", 5, 0xFFFFFFFF, 1 if names else 0xFFFFFFFF, 0xFFFFFFFE, 0)
+    for i, name in enumerate(names):
+        data = streams[name].ljust(4096, b"\0")
+        entry(name, 2, i + 2 if i + 1 < len(names) else 0xFFFFFFFF, 0xFFFFFFFF, put(data), len(data))
+    directory = put(b"".join(entries))
+    tables = -(-(len(fat) + 1) // 127)
+    at = len(sectors)
+    fat.extend([0xFFFFFFFD] * tables)
+    table = struct.pack(f"<{len(fat)}I", *fat).ljust(tables * 512, b"\xff")
+    sectors.extend(table[i * 512 : (i + 1) * 512] for i in range(tables))
+    head = containers.CFB_MAGIC + b"\0" * 16 + struct.pack("<5H", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<10I", 0, tables, directory, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0, at)
+    more = struct.pack(f"<{tables - 1}I", *range(at + 1, at + tables)) if tables > 1 else b""
+    return (head + more).ljust(512, b"\xff") + b"".join(sectors)
+
+
+def marked_compound(body: bytes) -> bytes:
+    book = struct.pack("<HHH", 0x809, 2, 0) + struct.pack("<HHHHH", 0x2F, 6, 1, 0, 0)
+    package = b"\0" * 6 + b"a\0b\0" + b"\0" * 4 + struct.pack("<I", 2) + b"c\0" + struct.pack("<I", 13) + b"packaged file"
+    source = b"Attribute VB_Name = \"M\"\r\n"
+    chunk = b"\x01" + struct.pack("<H", 0x3000 | 4096 - 1) + source.ljust(4096, b" ")
+    link = containers.ADDRESS + struct.pack("<I", 24) + u16(b"http://e.org") + b"\0"
+    return compound({"Workbook": book, "EncryptionInfo": b"x", "_signatures": b"s", "\x01Ole10Native": package, "Module": chunk, "Link": link, "Flash": b"FWS\x09"})
+
+
+@query("SELECT doc_id, unnest(['ENCRYPTION-RC4', 'ENCRYPTION-AES', 'DIGITAL-SIGNATURE', 'OLEID-VBA-PRESENT', 'OLE2LINK-URL http://e.org', 'OLEID-FLASH']) AS marker FROM documents")
+def compound_structure(read):
+    return structure.compound_markers(unpacked(read, marked_compound)).select(F.col("key").alias("doc_id"), "marker")
+
+
+@query("SELECT doc_id, sha256('packaged file') AS sha256 FROM documents")
+def compound_package(read):
+    found = unpacked(read, marked_compound).where("path LIKE '%#package'")
+    return found.select(F.col("key").alias("doc_id"), F.sha2("body", 256).alias("sha256"))
+
+
+@query("SELECT doc_id, 10 AS \"offset\", sha256(text) AS sha256 FROM documents WHERE doc_id % 3 = 0")
+def carved_executables(read):
+    head = F.unhex(F.lit((b"MZ" + b"\0" * 58 + (64).to_bytes(4, "little") + b"PE\0\0").hex()))
+    body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.encode(F.lit("0123456789"), "UTF-8"), head, F.encode("text", "UTF-8"))).otherwise(F.encode(F.concat(F.lit("MZ MZ "), F.col("text")), "UTF-8"))
+    found = structure.carved_executables(read("documents").select(F.col("doc_id").alias("key"), F.lit(0).alias("pos"), body.alias("body")))
+    return found.select(F.col("key").alias("doc_id"), F.col("offset"), F.sha2(F.expr("substring(body, 69)"), 256).alias("sha256"))
+
+
+@query("SELECT event_id AS key, 'VBA-STOMPED M pcode=' || (200 + event_id % 200) || ' src=' || length('x' || event_type) AS marker FROM events WHERE 200 + event_id % 200 >= 256 AND event_id % 2 = 0")
+def stomped_modules(read):
+    source = F.concat(F.lit('Attribute VB_Name = "M"\r\n  x'), "event_type", F.when(F.col("event_id") % 2 == 1, "\r\n" + "y" * 40).otherwise("\r\n\r\n"))
+    return structure.stomped(read("events").select(F.col("event_id").alias("key"), F.lit("M").alias("module"), (F.col("event_id") % 200 + 200).alias("code_bytes"), source.alias("source")))
+
+
+@query("SELECT event_id AS key, unnest(list_filter([CASE WHEN event_id % 2 = 0 THEN 'OLE-META TEMPLATE-INJECTION' END, CASE WHEN event_id % 3 = 0 THEN 'OLE-META APPNAME-EQUATION' END, CASE WHEN event_id % 5 = 0 THEN 'OLE-META REVISION' END, CASE WHEN event_id % 7 = 0 THEN 'OLE-META EDIT-TIME' END, CASE WHEN event_id % 4 > 0 THEN 'OLE-DOC-SECURITY-' || event_id % 4 END], lambda x: x IS NOT NULL)) AS marker FROM events")
+def summary_structure(read):
+    i = F.col("event_id")
+    rows = read("events").select(i.alias("key"), F.when(i % 2 == 0, " HTTPS://t.example/x").otherwise("Normal.dotm").alias("template"), F.when(i % 3 == 0, "Microsoft Equation 3.0").otherwise("Word").alias("app"), F.when(i % 5 == 0, "1").otherwise("12").alias("revision"), (i % 7).alias("minutes"), (i % 4).alias("security"))
+    return structure.summary_markers(rows)
+
+
+@query("SELECT key, marker FROM (SELECT user_id AS key, 'OLETIMES-SYNTHETIC ' || count(*) AS marker FROM events GROUP BY user_id, event_id % 3 HAVING count(*) >= 3) UNION ALL SELECT DISTINCT user_id, 'OLETIMES-FUTURE 2024-01-04' FROM events WHERE event_id % 3 = 2")
+def time_structure(read):
+    at = F.element_at(F.array(*[F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp") for d in (1, 2, 4)]), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = read("events").select(F.col("user_id").alias("key"), F.col("event_id").alias("pos"), at.alias("created"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("modified"))
+    return structure.time_markers(rows, F.lit("2024-01-01 12:00:00").cast("timestamp"))
