@@ -140,16 +140,26 @@ def carved_executables(blobs: DataFrame) -> DataFrame:
     return rows.select("key", "pos", "offset", F.expr("substring(body, offset + 1)").alias("body"))
 
 
+def entropy_of(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / max(counts.sum(), 1)
+    return float(-(p * np.log2(p)).sum()) if len(p) else 0.0
+
+
 def byte_entropy(body: Column) -> Column:
     """Bits for each byte of a body; 0 for an empty one. Counted in Arrow batches, without a row for each byte."""
 
     @F.pandas_udf("double")
     def entropy(bodies: pd.Series) -> pd.Series:
-        def one(data: bytes) -> float:
-            n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-            p = n[n > 0] / max(len(data), 1)
-            return float(-(p * np.log2(p)).sum()) if len(data) else 0.0
-
-        return bodies.map(one, na_action="ignore")
+        return bodies.map(lambda b: entropy_of(np.bincount(np.frombuffer(b, np.uint8), minlength=256)), na_action="ignore")
 
     return entropy(body)
+
+
+def character_entropy(text: Column) -> Column:
+    """The same for each character of a text."""
+
+    @F.pandas_udf("double")
+    def entropy(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: entropy_of(np.unique(np.frombuffer(t.encode("utf-32-le"), "<u4"), return_counts=True)[1]), na_action="ignore")
+
+    return entropy(text)

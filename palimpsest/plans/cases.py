@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions import encodings, files, markers, scoring, urls
-from palimpsest.operators import streams
+from palimpsest.operators import streams, structure
 from palimpsest.plans.catalogue import ORACLES, QUERIES
 
 
@@ -113,3 +113,5 @@ cases("cache_keys", lambda c: files.cache_key(F.lit("fp"), F.lit("a.doc"), F.lit
 ])
 cases("stream_channels", markers.channel, [("OLEID-DDE", "marker"), ("OLEID-DDE too", "content"), ("OLE-DOC-SECURITY-5", "marker"), ("XLM-STACK\nx", "marker"), ("PDF-LAUNCH", "content")])
 cases("stream_rule_sets", lambda c: streams.rule_set(F.encode(F.repeat(c, F.when(c == "b", 7 << 20).otherwise(1)), "UTF-8"), F.when(c == "m", "marker").otherwise("content")), [("a", "full"), ("b", "small"), ("m", "marker")])
+cases("byte_entropies", lambda c: F.round(structure.byte_entropy(c), 3), [(b"aaaa", "0.0"), (b"abcd", "2.0"), (bytes(range(256)), "8.0"), (b"", "0.0")])
+cases("effective_sources", structure.effective_source, [("Attribute VB_Name = 1\n\n  x = 1 \n", "5"), ("", "0"), ("a\r\nbc", "3")])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import effort, encodings, files, markers, scoring, urls
-from palimpsest.operators import containers, feeds, matches, rules
+from palimpsest.operators import containers, feeds, matches, rules, structure
 from palimpsest.sources import sinks
 from palimpsest.streaming import cache, rates
 
@@ -255,9 +255,7 @@ t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id)
 SELECT doc_id, round(-sum(n / total::DOUBLE * log2(n / total::DOUBLE)), 6) AS entropy FROM c JOIN t USING (doc_id) GROUP BY doc_id"""
 )
 def character_entropy(read):
-    counts = read("documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''").groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
-    sums = counts.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return sums.select("doc_id", F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias("entropy"))
+    return read("documents").where("text <> ''").select("doc_id", F.round(structure.character_entropy(F.col("text")), 6).alias("entropy"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS scans, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') / greatest(count(*), 0.001)::DOUBLE AS failure_ratio FROM events GROUP BY 1")
