@@ -21,6 +21,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -111,12 +112,14 @@ def places(docs: list[list[bytes]], among: np.ndarray | None = None) -> tuple[np
         chosen.append(around[around >> np.uint64(60) == 0])
         some = slice(None) if among is None else among[np.minimum(np.searchsorted(among, runs), len(among) - 1)] == runs
         held.append((around[some], runs[some]))
-    around, runs = (np.concatenate(c) for c in zip(*held, strict=True))
-    del held
+    around = np.concatenate([a for a, _ in held])
+    runs = np.concatenate([r for _, r in held])
+    held.clear()
     order = np.argsort(around)
-    new = np.ones(len(order), bool)
-    new[1:] = around[order[1:]] != around[order[:-1]]
-    return *np.unique(runs[order[new]], return_counts=True), 16 * len(np.unique(np.concatenate(chosen))) + 1
+    around = around[order]
+    first = order[np.concatenate(([True], around[1:] != around[:-1]))[: len(order)]]
+    del around, order
+    return *np.unique(runs[first], return_counts=True), 16 * len(np.unique(np.concatenate(chosen))) + 1
 
 
 def toxic_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
@@ -196,8 +199,10 @@ def fit(texts: list[str], toxic: list[int], odds: float | None = None) -> Model:
     def dictionaries(chosen: list[int]) -> tuple[bytes, bytes]:
         ordinary = [split[i] for i in chosen if not y[i]]
         bad = [split[i] for i in chosen if y[i]]
-        samples = [w for words in ordinary for w in windows(words)]
-        base = trained_dictionary(samples[:: -(-len(samples) // WINDOWS) or 1], ORDINARY, 24) or b" "
+        count = sum(-(-len(words) // WINDOW) for words in ordinary)
+        samples = list(islice((w for words in ordinary for w in windows(words)), 0, None, -(-count // WINDOWS) or 1))
+        base = trained_dictionary(samples, ORDINARY, 24) or b" "
+        del samples
         runs = toxic_runs(bad, ordinary)
         return base + trained_dictionary([x for words in bad for x in passages(words, runs)], TOXIC, 16), base
 
