@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontamination, hpylm, license_scan, mixing, secrets, simhash, substring_dedup, topk, toxicity, warc
+from palimpsest.llm import decontamination, hpylm, lexical, license_scan, mixing, packing, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, warc
 from palimpsest.llm.common import read
 
 
@@ -49,6 +49,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -60,6 +72,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_hpylm": op9_hpylm,
     "op10_topk": op10_topk,
+    "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
@@ -67,4 +82,6 @@ ORACLES: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_lexical": lexical.ORACLE,
 }
