@@ -1,40 +1,46 @@
-"""Layered decoding: everything hidden in a text, layer by layer, within the row, so that no shuffle is needed and one
-source's budget is one array."""
+"""Layered decoding: everything hidden in a text, layer by layer, without a shuffle; one source's budget is one array."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import encodings as e
 from palimpsest.functions.files import latin1
+from palimpsest.operators.tables import kept, spread
 
 utf8 = lambda texts: F.transform(texts, lambda x: F.encode(x, "UTF-8"))
-#: Decoders in the order in which a layer tries them: text of one byte a character to blobs.
+says = lambda *words: lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+anything = lambda low: F.lit(True)
+#: Decoders in the order in which a layer tries them: text of one byte a character to blobs; and what must stand in the
+#: text in lower case for a decoder to find anything, which is looked for before its pattern is.
 DECODERS = (
-    ("base64", e.base64_blobs),
-    ("hex", e.hex_blobs),
-    ("reverse", lambda t: F.transform(e.reversed_text(t), lambda x: F.encode(x, "ISO-8859-1"))),
-    ("chain", lambda t: utf8(e.chained_literals(t))),
-    ("replace", lambda t: utf8(e.replaced_literals(t))),
-    ("xor", lambda t: F.transform(e.xored_arrays(t), F.unhex)),
-    ("strreverse", lambda t: utf8(e.reversed_literals(t))),
-    ("environ", lambda t: utf8(e.environ_markers(t))),
-    ("x_escape", e.escape_blobs),
-    ("ampersand", e.amp_blobs),
-    ("unicode", lambda t: utf8(e.unicode_texts(t))),
-    ("decimal", lambda t: F.transform(e.decimal_texts(t), lambda x: F.encode(x, "ISO-8859-1"))),
-    ("netbios", e.netbios_blobs),
-    ("base32", e.base32_blobs),
+    ("base64", anything, e.base64_blobs),
+    ("hex", anything, e.hex_blobs),
+    ("reverse", says(*e.REVERSED), lambda t: F.transform(e.reversed_text(t), lambda x: F.encode(x, "ISO-8859-1"))),
+    ("chain", says("&", "+"), lambda t: utf8(e.chained_literals(t))),
+    ("replace", says("replace("), lambda t: utf8(e.replaced_literals(t))),
+    ("xor", says("array("), lambda t: F.transform(e.xored_arrays(t), F.unhex)),
+    ("strreverse", says("strreverse("), lambda t: utf8(e.reversed_literals(t))),
+    ("environ", says("environ"), lambda t: utf8(e.environ_markers(t))),
+    ("x_escape", says("\\x"), e.escape_blobs),
+    ("ampersand", says("&h"), e.amp_blobs),
+    ("unicode", says("\\u", "%u"), lambda t: utf8(e.unicode_texts(t))),
+    ("decimal", says(",", ";"), lambda t: F.transform(e.decimal_texts(t), lambda x: F.encode(x, "ISO-8859-1"))),
+    ("netbios", anything, e.netbios_blobs),
+    ("base32", anything, e.base32_blobs),
 )
 FOUND = "array<struct<layer:int,decoder:string,blob:binary>>"
 DEEP = 3
 
 
 def offers(layer: int):
-    """What a text gives in this layer."""
-    one = lambda text, name, f: F.transform(e.emitted(f(text)), lambda b: F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("decoder"), b.alias("blob")))
-    return lambda text: F.flatten(F.array(*[one(text, name, f) for name, f in DECODERS]))
+    """What a text, with its lower case beside it, gives in this layer."""
+    none = F.array().cast("array<binary>")
+    one = lambda x, name, gate, f: F.transform(F.when(gate(x["low"]), e.emitted(f(x["text"]))).otherwise(none), lambda b: F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("decoder"), b.alias("blob")))
+    return lambda x: F.flatten(F.array(*[one(x, name, gate, f) for name, gate, f in DECODERS]))
 
 
 def of_layer(layer: int):
@@ -54,15 +60,22 @@ def taken(found: Column, offered: Column) -> Column:
 
 def layered(docs: DataFrame, key: str, text: Column, depth: int = 4) -> DataFrame:
     """key, pos, layer, decoder, blob: what the text hides, breadth first, to ``depth`` layers. Blobs that look encoded
-    are decoded again; all layers share one budget. A null text hides nothing."""
-    rows = docs.select(key, F.array(text).alias("queue"), F.array().cast(FOUND).alias("found"))
+    are decoded again; all layers share one budget. A null text hides nothing.
+
+    Each layer is a table of its own, of the sources that still have something to decode: so no layer is computed twice,
+    and no filter on the result is pushed through the expressions of all layers."""
+    rows = kept(spread(docs.select(key, F.array(text).alias("queue"), F.array().cast(FOUND).alias("found"))), "queue")
+    done = None
     for layer in range(1, depth + 1):
-        queue = F.filter("queue", lambda t: t.isNotNull() & e.may_be_encoded(t))
-        rows = rows.select(key, "found", F.flatten(F.transform(queue, offers(layer))).alias("offered"))
-        rows = rows.select(key, taken(F.col("found"), F.col("offered")).alias("found"))
+        gated = F.transform(F.filter("queue", lambda t: t.isNotNull() & e.may_be_encoded(t)), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
+        offered = kept(rows.select(key, "found", F.flatten(F.transform(gated, offers(layer))).alias("offered")), "offered")
+        got = offered.where(F.size("offered") > 0).select(key, F.size("found").alias("known"), taken(F.col("found"), F.col("offered")).alias("found"))
         mine = F.transform(F.filter("found", of_layer(layer)), lambda x: latin1(x["blob"]))
-        rows = rows.select(key, "found", F.filter(mine, e.looks_encoded).alias("queue"))
-    return rows.select(key, F.posexplode("found").alias("pos", "x")).select(key, "pos", "x.layer", "x.decoder", "x.blob")
+        got = kept(kept(got, "found").withColumn("queue", F.filter(mine, e.looks_encoded)), "layer")
+        new = got.select(key, F.posexplode_outer("found").alias("pos", "x"), "known").where(F.col("pos") >= F.col("known")).select(key, "pos", "x.layer", "x.decoder", "x.blob")
+        done = new if done is None else done.unionByName(new)
+        rows = got.where(F.size("queue") > 0)
+    return done
 
 
 def depth_markers(found: DataFrame, key: str) -> DataFrame:
@@ -76,6 +89,8 @@ def refanged_layers(docs: DataFrame, key: str, text: Column, depth: int = 4) ->
     return layered(docs.select(key, e.undefanged(text).alias("text")).where("text IS NOT NULL"), key, F.col("text"), depth)
 
 
+#: Assignments of literals, aliases and calls with literals or names. Literals are written with possessive
+#: groups, which match the same but spare Java's matcher the stack that an alternation repeated over a long literal takes.
 ASSIGN = r'(?im)^[ \t]*([A-Za-z]\w{0,63})\s*=\s*"([^"]*+(?:""[^"]*+)*+)"'
 ALIAS = r"(?im)^[ \t]*([A-Za-z]\w{0,63})\s*=\s*([A-Za-z]\w{0,63})\s*$"
 ARGUMENT = r'(?:"([^"]*+(?:""[^"]*+)*+)"|([A-Za-z]\w{0,63}))'

@@ -86,8 +86,8 @@ def office_siblings(members: DataFrame) -> DataFrame:
 
 def property_texts(members: DataFrame) -> DataFrame:
     """key, stream: the texts of an Office archive's property parts behind their marker."""
-    texts = F.filter(F.regexp_extract_all(latin1(F.col("body")), F.lit(r">([^<]+)<"), 1), lambda t: F.trim(t) != "")
-    rows = members.where(F.col("path").rlike(r"(?:^|!)docProps/[^/]*\.xml$")).select("key", "pos", F.transform(texts, F.trim).alias("texts"))
+    texts = F.filter(F.transform(F.regexp_extract_all(latin1(F.col("body")), F.lit(r">([^<]+)<"), 1), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+    rows = members.where(F.col("path").rlike(r"(?:^|!)docProps/[^/]*\.xml$")).select("key", "pos", texts.alias("texts"))
     lines = rows.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "texts"))), lambda x: x["texts"])).alias("texts")).where(F.size("texts") > 0)
     return lines.select("key", F.concat(F.lit("DOCPROPS-STRINGS\n"), F.array_join("texts", "\n")).alias("stream"))
 
