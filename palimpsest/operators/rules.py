@@ -57,6 +57,7 @@ class Scope:
     text: Column
     size: Column
     variables: dict[str, Column] = field(default_factory=dict)
+    executable: Column | None = None
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,22 @@ def variable(name: str, value: str | bool) -> Condition:
     return Condition(lambda r, s: F.coalesce(s.variables[name] == value, F.lit(False)) if name in s.variables else F.lit(False))
 
 
+def pe(test: Callable[[Column], Column]) -> Condition:
+    """A test of the struct that :func:`palimpsest.operators.executables.headers` reads; false for other bodies."""
+    return Condition(lambda r, s: F.lit(False) if s.executable is None else F.coalesce(test(s.executable), F.lit(False)))
+
+
+def pe_section(test: Callable[[Column], Column]) -> Condition:
+    """Some section passes a test."""
+    return pe(lambda p: F.exists(p["sections"], test))
+
+
+def pe_imports(library: str, function: str | None = None) -> Condition:
+    """The body imports from a library, whatever its case, or a certain function of it."""
+    named = lambda x: x["library"] == library.lower()
+    return pe(lambda p: F.exists(p["imports"], lambda x: named(x) if function is None else named(x) & F.array_contains(x["functions"], function)))
+
+
 @dataclass(frozen=True)
 class Rule:
     """``strings`` maps an id to (kind, value, options: nocase, wide, ascii, fullword)."""
@@ -166,9 +183,9 @@ class Rule:
         return out
 
 
-def matched(docs: DataFrame, text: Column, rules: list[Rule], *keep: str, size: Column | None = None, variables: dict[str, Column] | None = None) -> DataFrame:
+def matched(docs: DataFrame, text: Column, rules: list[Rule], *keep: str, size: Column | None = None, variables: dict[str, Column] | None = None, executable: Column | None = None) -> DataFrame:
     """The columns kept, pos, rule, namespace, tags, meta: a row for each rule that holds, but private ones."""
-    scope = Scope(text, F.octet_length(text) if size is None else size, variables or {})
+    scope = Scope(text, F.octet_length(text) if size is None else size, variables or {}, executable)
     entry = lambda i, r: F.struct(F.lit(i).alias("pos"), F.lit(r.name).alias("rule"), F.lit(r.namespace).alias("namespace"), F.array(*map(F.lit, r.tags)).cast("array<string>").alias("tags"), F.create_map(*[F.lit(x) for kv in r.meta.items() for x in kv]).cast("map<string,string>").alias("meta"))
     hits = F.filter(F.array(*[F.when(r.holds(scope), entry(i, r)) for i, r in enumerate(rules) if not r.private]), lambda x: x.isNotNull())
     return docs.select(*keep, F.inline(hits))
