@@ -6,7 +6,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import executables, rules
+from palimpsest.operators import compound, executables, inspection, members, rules, structure
 from palimpsest.operators.rules import NOTHING, Rule
 from palimpsest.plans.catalogue import query
 
@@ -116,3 +116,88 @@ PE_RULES = [
 def executable_rules(read):
     known = executables.with_imports(executables.headers(made(read, program)), "key")
     return rules.matched(known, F.decode("body", "ISO-8859-1"), PE_RULES, "key", size=F.octet_length("body"), executable=F.struct("pe.*", "imports")).select("key", "rule")
+
+
+def streams_of(i: int, text: bytes) -> bytes:
+    """A compound file, with streams above and below the size from which they have sectors of their own."""
+    from palimpsest.plans import containers_made
+
+    return containers_made.compound({"One": text, "Two": b"two " + text[:50], "Three": noise(i, 700)})
+
+
+@query("SELECT doc_id AS key, path, sha256(CASE path WHEN 'One' THEN text || repeat(chr(0), greatest(4096 - strlen(text), 0)) ELSE NULL END) AS sha256 FROM documents, (SELECT 'One' AS path)")
+def compound_streams(read):
+    found = compound.streams(made(read, streams_of).withColumnRenamed("key", "file")).where("path = 'One'")
+    return found.select(F.col("file").alias("key"), "path", F.sha2("body", 256).alias("sha256"))
+
+
+def archive(**members: bytes) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def nested(i: int, text: bytes) -> bytes:
+    """The text in an archive in an archive, or a shortcut in one."""
+    from palimpsest.plans import containers_made
+
+    return archive(a=archive(b=text)) if i % 2 else archive(a=containers_made.shortcut(text))
+
+
+@query(r"""SELECT doc_id AS doc, path, layer, sha256(body) AS sha256 FROM (
+SELECT doc_id, 'a!b' AS path, 2 AS layer, text AS body FROM documents WHERE doc_id % 2 = 1 UNION ALL
+SELECT doc_id, 'a!name', 2, 'name' FROM documents WHERE doc_id % 2 = 0 UNION ALL
+SELECT doc_id, 'a!arguments', 2, array_to_string((regexp_extract_all(text, '[^ 	-
+]+'))[1:5], ' ') FROM documents WHERE doc_id % 2 = 0)""")
+def nested_members(read):
+    found = inspection.unfolded(made(read, nested).withColumnRenamed("key", "doc")).where("layer = 2")
+    return found.select("doc", "path", "layer", F.sha2("body", 256).alias("sha256"))
+
+
+def carrier(i: int, text: bytes) -> bytes:
+    """A script in an archive in an object of a rich text in an archive."""
+    import re
+
+    word = (re.search(rb"[A-Za-z]+", text) or [b""])[0]
+    script = b'x = StrReverse("' + (b"run me " + word)[::-1] + b'")'
+    return archive(a=b"{\\rtf1 {\\objdata " + archive(s=script).hex().encode() + b"}}")
+
+
+@query(
+    r"""WITH w AS (SELECT doc_id AS doc, 'run me ' || regexp_extract(text, '[A-Za-z]+') AS said FROM documents)
+SELECT doc, 3 AS pos, 'zip' AS kind, 'a!object0!s' AS path, 'content' AS channel, sha256('x = StrReverse("' || reverse(said) || '")') AS sha256 FROM w
+UNION ALL SELECT doc, 4, 'decoded', 'strreverse', 'content', sha256(said) FROM w WHERE strlen(said) >= 8"""
+)
+def inspected_streams(read):
+    found = inspection.inspected(made(read, carrier).withColumnRenamed("key", "doc"), F.lit(NOW).cast("timestamp"))
+    return found.where("pos >= 3").select("doc", "pos", "kind", "path", "channel", F.sha2("body", 256).alias("sha256"))
+
+
+def summary(template: bytes, app: bytes, revision: bytes, ticks: int, security: int) -> bytes:
+    """A summary stream with five properties."""
+    text = lambda b: struct.pack("<II", 0x1E, len(b) + 1) + b + b"\0" + b"\0" * (-(len(b) + 1) % 4)
+    values = [(0x07, text(template)), (0x12, text(app)), (0x09, text(revision)), (0x0A, struct.pack("<IQ", 0x40, ticks)), (0x13, struct.pack("<II", 3, security))]
+    table, body, at = b"", b"", 8 + 8 * len(values)
+    for ident, value in values:
+        table += struct.pack("<II", ident, at + len(body))
+        body += value
+    section = struct.pack("<II", at + len(body), len(values)) + table + body
+    return struct.pack("<HHI", 0xFFFE, 0, 0) + b"\0" * 16 + struct.pack("<I", 1) + b"\0" * 16 + struct.pack("<I", 48) + section
+
+
+def described(i: int, text: bytes) -> bytes:
+    from palimpsest.plans import containers_made
+
+    n = len(text)
+    return containers_made.compound({"\x05SummaryInformation": summary(b"\\\\host\\t.dot" if n % 2 else b"Normal.dotm", b"Microsoft Equation " + text[:5] if n % 3 == 0 else b"Word", b"1" if n % 5 == 0 else b"12", 0 if n % 7 == 0 else n, n % 4), "Body": text})
+
+
+@query(f"SELECT doc_id AS key, unnest(list_filter([CASE WHEN n % 2 = 1 THEN 'OLE-META TEMPLATE-INJECTION' END, CASE WHEN n % 3 = 0 THEN 'OLE-META APPNAME-EQUATION' END, CASE WHEN n % 5 = 0 THEN 'OLE-META REVISION' END, CASE WHEN n % 7 = 0 THEN 'OLE-META EDIT-TIME' END, CASE WHEN n % 4 > 0 THEN 'OLE-DOC-SECURITY-' || n % 4 END], lambda x: x IS NOT NULL)) AS marker FROM {LENGTHS}")
+def compound_summaries(read):
+    found = compound.streams(made(read, described).withColumnRenamed("key", "file")).where(F.endswith("path", F.lit("SummaryInformation")))
+    return structure.summary_markers(compound.summaries(found.select(F.col("file").alias("key"), "body")))
