@@ -12,10 +12,15 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import TYPE_CHECKING
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from palimpsest.operators.atoms import Facts
+
 NOTHING: frozenset[str] = frozenset()
 KINDS = ("text", "regex", "hex")
 
@@ -28,6 +33,52 @@ def wide_pattern(value: str) -> str:
     return "".join(literal_pattern(c) + r"\x00" for c in value)
 
 
+def wide_regex(value: str) -> str:
+    """The expression for text with a zero behind every character. References to groups and word boundaries have no such
+    form and raise a ValueError."""
+    import re._constants as c
+    import re._parser as parser
+
+    category = {c.CATEGORY_DIGIT: r"\d", c.CATEGORY_NOT_DIGIT: r"\D", c.CATEGORY_SPACE: r"\s", c.CATEGORY_NOT_SPACE: r"\S", c.CATEGORY_WORD: r"\w", c.CATEGORY_NOT_WORD: r"\W"}
+    code = lambda n: rf"\x{n:02X}"
+
+    def item(op, arg) -> str:
+        if op is c.LITERAL:
+            return code(arg)
+        if op is c.RANGE:
+            return f"{code(arg[0])}-{code(arg[1])}"
+        return "^" if op is c.NEGATE else category[arg]
+
+    def emit(tree) -> str:
+        out = []
+        for op, arg in tree:
+            if op is c.LITERAL:
+                out.append(code(arg) + r"\x00")
+            elif op is c.NOT_LITERAL:
+                out.append(f"[^{code(arg)}]" + r"\x00")
+            elif op is c.ANY:
+                out.append(r".\x00")
+            elif op is c.IN:
+                out.append("[" + "".join(item(*x) for x in arg) + r"]\x00")
+            elif op is c.BRANCH:
+                out.append("(?:" + "|".join(map(emit, arg[1])) + ")")
+            elif op is c.SUBPATTERN:
+                out.append(f"(?:{emit(arg[3])})")
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT):
+                low, high, inner = arg
+                mark = {c.MAX_REPEAT: "", c.MIN_REPEAT: "?", c.POSSESSIVE_REPEAT: "+"}[op]
+                out.append(f"(?:{emit(inner)}){{{low},{'' if high is c.MAXREPEAT else high}}}{mark}")
+            elif op is c.AT and arg in (c.AT_BEGINNING, c.AT_END):
+                out.append("^" if arg is c.AT_BEGINNING else "$")
+            elif op in (c.ASSERT, c.ASSERT_NOT):
+                out.append(f"(?{'<' if arg[0] < 0 else ''}{'=' if op is c.ASSERT else '!'}{emit(arg[1])})")
+            else:
+                raise ValueError(f"no wide form: {op}")
+        return "".join(out)
+
+    return emit(parser.parse(value))
+
+
 def hex_pattern(value: str) -> str:
     """Bytes as hexadecimal digits: ``??``, half wildcards, jumps ``[n-m]`` and alternatives ``(AA|BB CC)``."""
     out = []
@@ -62,32 +113,56 @@ class Scope:
 
 @dataclass(frozen=True)
 class Condition:
+    """``column`` is the condition as a column. ``plain`` is the same for one text within a task (see
+    :mod:`palimpsest.operators.atoms`), where it has such a form. ``may`` and ``must`` say of a text without any of the
+    rule's strings whether the condition can hold there, and whether it always does."""
+
     column: Callable[[Rule, Scope], Column]
+    plain: Callable[[Rule, Facts], bool] | None = None
+    may: Callable[[Rule], bool] = lambda r: True
+    must: Callable[[Rule], bool] = lambda r: False
+
+    def both(self, other: Condition, f: Callable[[bool, bool], bool]) -> Callable[[Rule, Facts], bool] | None:
+        a, b = self.plain, other.plain
+        return None if a is None or b is None else lambda r, s: f(a(r, s), b(r, s))
 
     def __and__(self, other: Condition) -> Condition:
-        return Condition(lambda r, s: self.column(r, s) & other.column(r, s))
+        return Condition(lambda r, s: self.column(r, s) & other.column(r, s), self.both(other, bool.__and__), lambda r: self.may(r) and other.may(r), lambda r: self.must(r) and other.must(r))
 
     def __or__(self, other: Condition) -> Condition:
-        return Condition(lambda r, s: self.column(r, s) | other.column(r, s))
+        return Condition(lambda r, s: self.column(r, s) | other.column(r, s), self.both(other, bool.__or__), lambda r: self.may(r) or other.may(r), lambda r: self.must(r) or other.must(r))
 
     def __invert__(self) -> Condition:
-        return Condition(lambda r, s: ~self.column(r, s))
+        plain = self.plain
+        return Condition(lambda r, s: ~self.column(r, s), None if plain is None else lambda r, s: not plain(r, s), lambda r: not self.must(r), lambda r: not self.may(r))
+
+
+def never(r: Rule) -> bool:
+    return False
 
 
 def matches(key: str) -> Condition:
-    return Condition(lambda r, s: r.string(key, s.text))
+    return Condition(lambda r, s: r.string(key, s.text), lambda r, s: s.found(key), never)
 
 
 def some(n: int | str, *keys: str) -> Condition:
     """``n`` of the strings, "all" or "any"; a key may end in a star, and none means every string."""
 
-    def column(rule: Rule, scope: Scope) -> Column:
+    def wanted(rule: Rule) -> tuple[list[str], int]:
         known = [k for k in rule.strings if not keys or any(k == x or (x[-1:] == "*" and k.startswith(x[:-1])) for x in keys)]
-        least = {"all": len(known), "any": 1}.get(n, n)
+        return known, {"all": len(known), "any": 1}.get(n, n)
+
+    def column(rule: Rule, scope: Scope) -> Column:
+        known, least = wanted(rule)
         hits = [rule.string(k, scope.text).cast("int") for k in known]
         return reduce(lambda a, b: a + b, hits, F.lit(0)) >= least
 
-    return Condition(column)
+    def plain(rule: Rule, facts: Facts) -> bool:
+        known, least = wanted(rule)
+        return sum(map(facts.found, known)) >= least
+
+    nothing = lambda rule: wanted(rule)[1] <= 0
+    return Condition(column, plain, nothing, nothing)
 
 
 def times(key: str, more_than: int) -> Condition:
@@ -97,7 +172,7 @@ def times(key: str, more_than: int) -> Condition:
         flags, pattern = rule.pattern(key)
         return F.regexp_count(scope.text, F.lit(f"{flags}(?={pattern})")) > more_than
 
-    return Condition(column)
+    return Condition(column, lambda r, s: s.places(key, more_than + 1) > more_than, lambda r: more_than < 0, lambda r: more_than < 0)
 
 
 def at(key: str, offset: int) -> Condition:
@@ -107,22 +182,22 @@ def at(key: str, offset: int) -> Condition:
         flags, pattern = rule.pattern(key)
         return F.substring(scope.text, offset + 1, 1 << 20).rlike(f"{flags}^(?:{pattern})")
 
-    return Condition(column)
+    return Condition(column, lambda r, s: s.stands(key, offset), never)
 
 
 def smaller(size: int) -> Condition:
-    return Condition(lambda r, s: s.size < size)
+    return Condition(lambda r, s: s.size < size, lambda r, s: s.size < size)
 
 
 def word_at(offset: int, value: int) -> Condition:
     """Two bytes, the low one first."""
     two = value.to_bytes(2, "little").decode("latin-1")
-    return Condition(lambda r, s: F.substring(s.text, offset + 1, 2) == two)
+    return Condition(lambda r, s: F.substring(s.text, offset + 1, 2) == two, lambda r, s: s.text[offset : offset + 2] == two)
 
 
 def variable(name: str, value: str | bool) -> Condition:
     """An outer variable has this value; one that isn't given has none."""
-    return Condition(lambda r, s: F.coalesce(s.variables[name] == value, F.lit(False)) if name in s.variables else F.lit(False))
+    return Condition(lambda r, s: F.coalesce(s.variables[name] == value, F.lit(False)) if name in s.variables else F.lit(False), lambda r, s: s.variables.get(name) == value)
 
 
 def pe(test: Callable[[Column], Column]) -> Condition:
@@ -161,8 +236,9 @@ class Rule:
         if kind == "hex":
             return "(?s)", hex_pattern(value).removeprefix("(?s)")
         pattern = value if kind == "regex" else literal_pattern(value)
-        if "wide" in options and kind == "text":
-            pattern = f"(?:{wide_pattern(value)}|{pattern})" if "ascii" in options else wide_pattern(value)
+        if "wide" in options:
+            wide = wide_pattern(value) if kind == "text" else wide_regex(value)
+            pattern = f"(?:{wide}|{pattern})" if "ascii" in options else wide
         if "fullword" in options:
             pattern = rf"(?<![A-Za-z0-9]){pattern}(?![A-Za-z0-9])"
         return "(?i)" if "nocase" in options else "", pattern
@@ -173,6 +249,12 @@ class Rule:
             return F.contains(text, F.lit(value))
         return text.rlike("".join(self.pattern(key)))
 
+    def plain(self, facts: Facts) -> bool:
+        """The same for one text within a task."""
+        if self.condition is not None:
+            return self.condition.plain(self, facts)
+        return sum(facts.found(k) for k in self.strings if k not in self.none) >= self.least and not any(map(facts.found, self.none))
+
     def holds(self, scope: Scope) -> Column:
         if self.condition is not None:
             return self.condition.column(self, scope)
@@ -205,6 +287,7 @@ def loaded(lines: DataFrame) -> tuple[list[Rule], DataFrame]:
     """Rules of ``lines(namespace, value)``, one JSON object each, in order of namespace and rule; and the bad ones as a
     table (namespace, value, error), which are left out. A catalogue is thousands of rules at most, so it is collected."""
     good, bad = [], []
+    java = lines.sparkSession._jvm.java.util.regex.Pattern
     parsed = lines.select(F.col("namespace").alias("file"), "value", F.from_json("value", FIELDS).alias("r")).orderBy("file", "value")
     for row in parsed.toLocalIterator():
         try:
@@ -216,8 +299,9 @@ def loaded(lines: DataFrame) -> tuple[list[Rule], DataFrame]:
                 raise ValueError("a rule needs a name and strings of known kinds")
             for key in strings:
                 re.compile("".join(rule.pattern(key)))
+                java.compile("".join(rule.pattern(key)))  # the engine that will run it knows other forms than Python's
             good.append(rule)
-        except (ValueError, TypeError, re.error) as problem:
+        except (ValueError, TypeError, re.error, Py4JJavaError) as problem:
             bad.append((row.file, row.value, str(problem)))
     return good, lines.sparkSession.createDataFrame(bad, "namespace string, value string, error string")
 
