@@ -20,6 +20,7 @@ NETBIOS = rf"[A-P]{{{NETBIOS_RUN},}}"
 #: What makes it worth while to turn a text round.
 REVERSED = ("llehsrewop", "llehs.tpircsw", "tcejboetaerc", "exe.dmc", "elifotevas", "ptthnwod")
 MAYBE = r"[A-Za-z0-9+/]{20,}|[0-9,;]{23,}|(?i)\\x|\\u|%u|&h|chr|replace\(|array\(|strreverse|environ|" + "|".join(re.escape(r) for r in REVERSED)
+KEYED, WIDEST = r'"([0-9A-Za-z]{20,})"', 16
 BASE32 = rf"[A-Z2-7]{{{BASE32_RUN},}}={{0,6}}"
 LITERAL = r'"([^"]*+(?:""[^"]*+)*+)"'
 CHR = r"chrw?\((\d{1,5})\)"
@@ -41,7 +42,7 @@ def may_be_encoded(text: Column) -> Column:
 
 def looks_encoded(text: Column) -> Column:
     """May be encoded, and some decoder's pattern is there (NETBIOS runs are not looked for)."""
-    patterns = (BASE64, HEX, X_ESCAPES, AMP_ESCAPES, U_ESCAPES, DECIMAL, BASE32, CHAIN, CALLS, r"(?i)" + "|".join(re.escape(r) for r in REVERSED))
+    patterns = (BASE64, HEX, X_ESCAPES, AMP_ESCAPES, U_ESCAPES, DECIMAL, BASE32, KEYED, CHAIN, CALLS, r"(?i)" + "|".join(re.escape(r) for r in REVERSED))
     return may_be_encoded(text) & reduce(lambda a, b: a | b, [text.rlike(p) for p in patterns])
 
 
@@ -155,6 +156,31 @@ def xored_arrays(text: Column) -> Column:
     return F.transform(parts, lambda p: F.array_join(F.transform(F.split(p["items"], ","), lambda x: byte(x, p["key"])), ""))
 
 
+def keyed_digits(text: Column) -> Column:
+    """Quoted runs of letters and digits that carry their own key. Four characters at either end are padding. Around the
+    middle stand two numbers of two characters each, whose difference is the width of a group; without these, the
+    group in the middle is a key, and every other group, divided by it, is a character. Letters among digits count for
+    nothing. A run of which any group isn't printable gives nothing."""
+    digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
+    value = lambda t: F.when(digits(t) != "", digits(t).cast("decimal(38,0)"))
+    number = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^0-9]", "0").cast("int"))  # noqa: E731 -- here letters are zeros
+    middle = lambda t, half, n: F.substring(t, half - n + 1, 2 * n)
+    without = lambda t, half, n: F.concat(F.substring(t, F.lit(1), half - n), F.substring(t, half + n + 1, F.length(t)))
+    halved = lambda t: F.struct(t.alias("t"), F.floor(F.length(t) / 2).cast("int").alias("half"))
+    two = F.lit(2)
+    runs = F.slice(F.regexp_extract_all(text, F.lit(KEYED), 1), 1, 64)
+    inner = F.transform(F.filter(runs, lambda r: r.rlike("[G-Zg-z]")), lambda r: halved(F.substring(r, F.lit(5), F.length(r) - 8)))
+    sized = F.transform(inner, lambda x: F.struct(halved(without(x["t"], x["half"], two)).alias("x"), (number(F.substring(x["t"], x["half"] + 1, two)) - number(F.substring(x["t"], x["half"] - 1, two))).alias("width")))
+    fit = F.filter(sized, lambda s: (s["width"] > 0) & (s["width"] <= WIDEST) & (F.length(s["x"]["t"]) > s["width"]))
+    side = lambda s: F.floor(s["width"] / 2).cast("int")
+    keyed = F.transform(fit, lambda s: F.struct(s["width"].alias("width"), value(middle(s["x"]["t"], s["x"]["half"], side(s))).alias("key"), without(s["x"]["t"], s["x"]["half"], side(s)).alias("t")))
+    good = F.filter(keyed, lambda k: (k["key"] > 0) & (F.length(k["t"]) > 0))
+    starts = lambda k: F.sequence(F.lit(0), F.floor((F.length(k["t"]) - 1) / k["width"]).cast("int"))
+    codes = F.transform(good, lambda k: F.transform(starts(k), lambda i: F.floor(value(F.substring(k["t"], i * k["width"] + 1, k["width"])) / k["key"]).cast("int")))
+    printable = F.filter(codes, lambda c: F.forall(c, lambda x: F.coalesce((x >= 0x20) & (x <= 0x7E), F.lit(False))))
+    return F.transform(printable, lambda c: F.array_join(F.transform(c, F.char), ""))
+
+
 def environ_markers(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r'(?i)\benviron\$?\(\s*"([^"]+)"\s*\)'), 1), lambda n: F.concat(F.lit("VBA-ENVIRON %"), n, F.lit("%")))
 

@@ -159,7 +159,7 @@ def matched(docs: DataFrame, text: Column, catalogue: list[Rule], *keep: str, si
     plain = [(i, r) for i, r in shown if r.condition is None or r.condition.plain is not None]
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(Matcher([r for _, r in plain])))
-    given = variables or {}
+    given, names = variables or {}, list(variables or {})
     rows = docs.select(*keep, text.alias("text_"), (F.octet_length(text) if size is None else size).cast("long").alias("size_"), *[v.alias(f"variable_{n}") for n, v in given.items()])
     kept = docs.select(*keep).schema
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "at int"])
@@ -168,7 +168,7 @@ def matched(docs: DataFrame, text: Column, catalogue: list[Rule], *keep: str, si
         matcher = pickle.loads(sent.value)  # noqa: S301 -- written above
         for batch in batches:
             n = len(kept)
-            found = [] if not batch.num_rows else [matcher.holding(t, s, dict(zip(given, v, strict=True))) if t is not None else [] for t, s, *v in zip(*(batch.column(i).to_pylist() for i in range(n, batch.num_columns)), strict=True)]
+            found = [] if not batch.num_rows else [matcher.holding(t, s, dict(zip(names, v, strict=True))) if t is not None else [] for t, s, *v in zip(*(batch.column(i).to_pylist() for i in range(n, batch.num_columns)), strict=True)]
             row = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
             yield pa.record_batch([*[batch.column(i).take(row) for i in range(n)], pa.array([at for f in found for at in f], pa.int32())], names=[*kept.names, "at"])
 

@@ -25,6 +25,7 @@ DECODERS = (
     ("xor", says("array("), lambda t: F.transform(e.xored_arrays(t), F.unhex)),
     ("strreverse", says("strreverse("), lambda t: utf8(e.reversed_literals(t))),
     ("environ", says("environ"), lambda t: utf8(e.environ_markers(t))),
+    ("keyed", says('"'), lambda t: utf8(e.keyed_digits(t))),
     ("x_escape", says("\\x"), e.escape_blobs),
     ("ampersand", says("&h"), e.amp_blobs),
     ("unicode", says("\\u", "%u"), lambda t: utf8(e.unicode_texts(t))),

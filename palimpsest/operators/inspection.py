@@ -24,8 +24,8 @@ from palimpsest.operators.tables import kept
 
 #: What one document may unfold to.
 DEPTH, MOST_MEMBERS, TOTAL_BYTES = 6, 4096, 128 << 20
-#: Passes in their order.
-MEMBER, TEXT, DECODED, CARVED, BINARY, COMBINED = range(6)
+#: Passes in their order; what makes streams of the text has a number of its own within its pass.
+MEMBER, TEXT, DECODED, CARVED, BINARY, COMBINED = range(0, 600, 100)
 
 
 def unfolded(bodies: DataFrame, depth: int = DEPTH, most: int = MOST_MEMBERS, total: int = TOTAL_BYTES) -> DataFrame:
@@ -71,14 +71,13 @@ def office_parts(found: DataFrame) -> DataFrame:
 
 
 def rows_from(found: DataFrame, array: Column, number: int, kind: str) -> DataFrame:
-    """A stream for each item of an array of strings or bytes."""
-    item = F.col("x") if kind in ("carved",) else F.encode(F.col("x").cast("string"), "ISO-8859-1")
-    return found.select("doc", "at", F.posexplode_outer(array).alias("pos", "x")).where("pos IS NOT NULL").select("doc", F.lit(number).alias("pass"), F.concat("at", F.array(F.col("pos"))).alias("at"), F.lit(kind).alias("kind"), F.lit("").alias("path"), item.alias("body"))
+    """A stream for each item of an array of strings, which hold one byte a character."""
+    return found.select("doc", "at", F.posexplode_outer(array).alias("pos", "x")).where("pos IS NOT NULL").select("doc", F.lit(number).alias("pass"), F.concat("at", F.array(F.col("pos"))).alias("at"), F.lit(kind).alias("kind"), F.lit("").alias("path"), F.encode("x", "ISO-8859-1").alias("body"))
 
 
-def marker_rows(found: DataFrame, number: int, kind: str, place: Column) -> DataFrame:
-    """``found(doc, marker)`` as streams, in the order of ``place`` and then of the marker."""
-    ordered = Window.partitionBy("doc").orderBy(place, "marker")
+def marker_rows(found: DataFrame, number: int, kind: str) -> DataFrame:
+    """``found(doc, marker)`` as streams, in the order of the marker."""
+    ordered = Window.partitionBy("doc").orderBy("marker")
     return found.select("doc", F.lit(number).alias("pass"), F.array(F.row_number().over(ordered)).alias("at"), F.lit(kind).alias("kind"), F.lit("").alias("path"), F.encode("marker", "ISO-8859-1").alias("body"))
 
 
@@ -92,13 +91,13 @@ def inspected(bodies: DataFrame, now: Column, depth: int = DEPTH) -> DataFrame:
     kinds = every.where("layer = 0").withColumn("is", files.kind(F.col("body")))
     text = latin1(F.col("body"))
     plain = kinds.where("is = 'none'")
-    out += [rows_from(plain, markers.csv_injections(text), TEXT, "cells"), rows_from(plain, markers.html_smuggling(text), TEXT, "page"), rows_from(plain, F.transform(markers.echoed_files(text), lambda f: f["body"]), TEXT, "script")]
-    for name, test in (("sylk", markers.sylk_injections), ("spreadsheet_xml", markers.spreadsheet_xml_injections), ("pdf", markers.pdf_indicators), ("rtf", markers.rtf_markers)):
-        out.append(rows_from(kinds.where(F.col("is") == name), test(text), TEXT, name))
-    out.append(rows_from(kinds, markers.binary_markers(F.col("body")), TEXT, "binary"))
+    out += [rows_from(plain, markers.csv_injections(text), TEXT, "cells"), rows_from(plain, markers.html_smuggling(text), TEXT + 1, "page"), rows_from(plain, F.transform(markers.echoed_files(text), lambda f: f["body"]), TEXT + 2, "script")]
+    for i, (name, test) in enumerate((("sylk", markers.sylk_injections), ("spreadsheet_xml", markers.spreadsheet_xml_injections), ("pdf", markers.pdf_indicators), ("rtf", markers.rtf_markers)), 3):
+        out.append(rows_from(kinds.where(F.col("is") == name), test(text), TEXT + i, name))
+    out.append(rows_from(kinds, markers.binary_markers(F.col("body")), TEXT + 7, "binary"))
     tree = every.where("layer > 0").select(F.col("doc").alias("key"), F.row_number().over(Window.partitionBy("doc").orderBy("at")).alias("pos"), "path", "kind", "layer", "body")
     for number, found in enumerate((structure.office_markers(tree), structure.compound_markers(tree), structure.property_texts(tree).withColumnRenamed("stream", "marker"))):
-        out.append(marker_rows(found.withColumnRenamed("key", "doc"), TEXT, "structure", F.lit(number)))
+        out.append(marker_rows(found.withColumnRenamed("key", "doc"), TEXT + 8 + number, "structure"))
     before = kept(reduce(DataFrame.unionByName, out), "streams")
 
     content = before.where(streams.markers.channel(text) == "content").withColumn("source", F.struct("doc", F.col("pass").alias("before"), "at"))
@@ -107,14 +106,14 @@ def inspected(bodies: DataFrame, now: Column, depth: int = DEPTH) -> DataFrame:
     deep = decode.depth_markers(hidden.select(F.col("source.doc").alias("doc"), "layer"), "doc")
     carved = structure.carved_executables(decoded.select(F.struct("doc", "at").alias("key"), F.lit(0).alias("pos"), "body"))
     carved = carved.select("key.doc", F.lit(CARVED).alias("pass"), "key.at", F.lit("carved").alias("kind"), F.lit("").alias("path"), "body")
-    after = before.unionByName(decoded).unionByName(carved).unionByName(marker_rows(deep, DECODED, "depth", F.lit(0)))
+    after = before.unionByName(decoded).unionByName(carved).unionByName(marker_rows(deep, DECODED + 1, "depth"))
     binary = executables.binary_markers(after.where(F.col("kind") != "structure").select(F.col("doc").alias("key"), "body"), now)
-    after = kept(after.unionByName(marker_rows(binary.withColumnRenamed("key", "doc"), BINARY, "structure", F.lit(0))), "passes")
+    after = kept(after.unionByName(marker_rows(binary.withColumnRenamed("key", "doc"), BINARY, "structure")), "passes")
 
     said = after.where(F.octet_length("body") < 4096).select("doc", F.row_number().over(Window.partitionBy("doc").orderBy("pass", "at")).alias("pos"), text.alias("marker"))
     combined = streams.sheet_stack(said).unionByName(streams.behaviour_scores(said)).withColumnRenamed("stream", "marker")
-    after = after.unionByName(marker_rows(combined, COMBINED, "combined", F.lit(0)))
+    after = after.unionByName(marker_rows(combined, COMBINED, "combined"))
     first = after.groupBy("doc", streams.stream_key(F.col("body")).alias("key")).agg(F.min(F.struct("pass", "at")).alias("x")).select("doc", "x.pass", "x.at")
-    only = after.join(first, ["doc", "pass", "at"], "left_semi").dropDuplicates(["doc", "pass", "at", "kind"])
+    only = after.join(first, ["doc", "pass", "at"], "left_semi")
     placed = only.withColumn("pos", F.row_number().over(Window.partitionBy("doc").orderBy("pass", "at")) - 1)
     return streams.channelled(placed).select("doc", "pos", "kind", "path", "channel", "body")

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import TYPE_CHECKING
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -301,7 +301,7 @@ def loaded(lines: DataFrame) -> tuple[list[Rule], DataFrame]:
                 re.compile("".join(rule.pattern(key)))
                 java.compile("".join(rule.pattern(key)))  # the engine that will run it knows other forms than Python's
             good.append(rule)
-        except (ValueError, TypeError, re.error, Py4JJavaError) as problem:
+        except (ValueError, TypeError, re.error, IllegalArgumentException) as problem:
             bad.append((row.file, row.value, str(problem)))
     return good, lines.sparkSession.createDataFrame(bad, "namespace string, value string, error string")
 

@@ -6,7 +6,8 @@ import struct
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import compound, executables, inspection, members, rules, structure
+from palimpsest.functions import encodings
+from palimpsest.operators import compound, executables, inspection, rules, scripts, structure
 from palimpsest.operators.rules import NOTHING, Rule
 from palimpsest.plans.catalogue import query
 
@@ -201,3 +202,58 @@ def described(i: int, text: bytes) -> bytes:
 def compound_summaries(read):
     found = compound.streams(made(read, described).withColumnRenamed("key", "file")).where(F.endswith("path", F.lit("SummaryInformation")))
     return structure.summary_markers(compound.summaries(found.select(F.col("file").alias("key"), "body")))
+
+
+#: Three tables made by a rule: odd multipliers permute the substituted characters.
+SUBSTITUTED = [9, *(c for c in range(32, 128) if c not in scripts.PLAIN)]
+
+
+def tables() -> scripts.Tables:
+    n = len(SUBSTITUTED)
+    made = [bytearray(range(128)) for _ in range(3)]
+    for table, step in zip(made, (5, 7, 11), strict=True):
+        for i, c in enumerate(SUBSTITUTED):
+            table[c] = SUBSTITUTED[(i * step + 3) % n]
+    return tuple(map(bytes, made))
+
+
+def encoded_block(text: bytes) -> bytes:
+    """What :func:`palimpsest.operators.scripts.decoded` undoes, a character after the other."""
+    back = [{clear: c for c, clear in enumerate(t) if c in SUBSTITUTED} for t in tables()]
+    escapes = {v[0]: k for k, v in scripts.ESCAPES.items()}
+    out, place = bytearray(), 0
+    for c in text:
+        if c in escapes:
+            out += escapes[c]
+            continue
+        out.append(back[scripts.SCHEDULE[place % 64]].get(c, c) if c < 128 else c)
+        place += c < 128
+    return b"junk " + scripts.START.encode() + b"AAAAAA==" + bytes(out) + scripts.END.encode() + b" tail"
+
+
+@query("SELECT doc_id AS key, sha256(text) AS sha256 FROM documents WHERE text <> ''")
+def encoded_scripts(read):
+    """Every whole text encoded and decoded again."""
+    found = made(read, lambda i, t: encoded_block(t)).select("key", F.explode(scripts.encoded_scripts(F.col("body"), tables())).alias("clear"))
+    return found.select("key", F.sha2("clear", 256).alias("sha256"))
+
+
+def keyed(text: bytes) -> bytes:
+    """A run that carries its key: groups of ten, of digits and letters, a key of three digits."""
+    key, width = 101 + len(text) % 800, 10
+    groups = "".join(f"{c * key + c % key % 7:06d}ZqXy" for c in text)
+    half = len(groups) // 2 // width * width  # the key goes to the middle: pad with blanks' groups on the shorter side
+    rest = groups[half:]
+    while len(rest) > half:
+        groups, half = f"{32 * key:06d}ZqXy" + groups, half + width
+    inner = groups[:half] + f"{key:03d}".rjust(width, "K") + groups[half:]
+    middle = len(inner) // 2
+    return b'x = "' + ("pad0" + inner[:middle] + "05" + "15" + inner[middle:] + "end0").encode() + b'"'
+
+
+@query("SELECT doc_id AS key, sha256(CASE WHEN strlen(w) % 2 = 1 THEN ' ' || w ELSE w END) AS sha256 FROM (SELECT doc_id, regexp_replace(substr(text, 1, 300), '[^ -~]', '', 'g') AS w FROM documents) WHERE w <> ''")
+def decode_keyed_digits(read):
+    import re
+
+    rows = made(read, lambda i, t: keyed(re.sub(rb"[^ -~]", b"", "".join(t.decode()[:300]).encode())))
+    return rows.select("key", F.explode(encodings.keyed_digits(F.decode("body", "ISO-8859-1"))).alias("said")).select("key", F.sha2("said", 256).alias("sha256"))

@@ -390,4 +390,4 @@ def metrics_text(read):
     return sinks.metrics(read("events").agg(F.count("*").alias("scans"), F.count_if(F.col("value") > 100).alias("large")))
 
 
-from palimpsest.plans import binaries, cases, containers_made, flows, rule_flows  # noqa: E402, F401 -- these register their own queries
+from palimpsest.plans import binaries, cases, containers_made, flows, rule_flows, states  # noqa: E402, F401 -- these register their own queries
