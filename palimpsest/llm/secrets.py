@@ -56,19 +56,58 @@ def decode64(text: str) -> bytes:
         return b""
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """Tag and value of each element; None unless their lengths fill ``data`` exactly."""
+class Stretch:
+    """Bytes from ``start`` to ``end`` of what base64 digits (of the standard alphabet, without blanks and padding) stand
+    for from a place on, decoded only where they are read. So a parser that looks at headers reads a few bytes of a long run, wherever in it a header claims to stand."""
+
+    def __init__(self, digits: str, at: int, start: int = 0, end: int | None = None):
+        self.digits, self.at, self.start = digits, at, start
+        self.end = (len(digits) - at) * 3 // 4 if end is None else end
+
+    def __len__(self) -> int:
+        return self.end - self.start
+
+    def __getitem__(self, key: int | slice) -> int | Stretch:
+        if isinstance(key, int):
+            return bytes(self[key : key + 1])[0]
+        a, b, _ = key.indices(len(self))
+        return Stretch(self.digits, self.at, self.start + a, self.start + max(a, b))
+
+    def __bytes__(self) -> bytes:
+        first = self.start // 3
+        block = self.digits[self.at + 4 * first : self.at + 4 * (-(-self.end // 3))]
+        if len(block) % 4:
+            block = block[:-1] if len(block) % 4 == 1 else block + "=" * (-len(block) % 4)
+        return binascii.a2b_base64(block)[self.start - 3 * first : self.end - 3 * first]
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, bytes) and len(self) == len(other) and bytes(self) == other
+
+    __hash__ = None
+
+    def startswith(self, head: bytes) -> bool:
+        return bytes(self[: len(head)]) == head
+
+
+#: No kind of key has more elements in a row than this.
+ELEMENTS = 16
+
+
+def der_items(data: bytes | Stretch) -> list[tuple[int, bytes | Stretch]] | None:
+    """Tag and value of each element; None unless their lengths fill ``data`` exactly, or if there are more than any key
+    has."""
     items, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
+        if at + 2 > len(data) or len(items) == ELEMENTS:
             return None
-        tag, length = data[at], data[at + 1]
+        head = bytes(data[at : at + 6])
+        tag, length = head[0], head[1]
         at += 2
         if length >= 0x80:
             n = length & 0x7F
-            if not 1 <= n <= 4 or at + n > len(data) or data[at] == 0:
+            if not 1 <= n <= 4 or at + n > len(data) or head[2] == 0:
                 return None
-            length, at = int.from_bytes(data[at : at + n], "big"), at + n
+            length, at = int.from_bytes(head[2 : 2 + n], "big"), at + n
             if length < 0x80:
                 return None
         if at + length > len(data):
@@ -78,7 +117,16 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return items
 
 
-def private_key(data: bytes) -> str:
+def plausible(head: bytes) -> bool:
+    """Whether a DER sequence that begins so can be a private key: a version comes first, or an algorithm's name."""
+    behind = lambda at: at + 2 + (head[at + 1] & 0x7F if head[at + 1 : at + 2] >= b"\x80" else 0)
+    at = behind(0)
+    if head[at : at + 2] == b"\x02\x01":
+        return head[at + 2 : at + 3] in (b"\x00", b"\x01")
+    return head[at : at + 1] == b"\x30" and len(head) > at + 1 and head[behind(at) : behind(at) + 1] == b"\x06"
+
+
+def private_key(data: bytes | Stretch) -> str:
     """The layout of a DER private key, or an empty string."""
     outer = der_items(data) if data[:1] == b"\x30" else None
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
@@ -100,7 +148,7 @@ def private_key(data: bytes) -> str:
     return ""
 
 
-def openssh_key(data: bytes) -> bool:
+def openssh_key(data: bytes | Stretch) -> bool:
     """Magic, cipher, KDF, options, key count and the public key, each within its length."""
     if not data.startswith(b"openssh-key-v1\0"):
         return False
@@ -137,7 +185,7 @@ def der_size(data: bytes) -> int:
     return 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else 0
 
 
-def openssh_size(data: bytes) -> int:
+def openssh_size(data: bytes | Stretch) -> int:
     """Bytes of an OpenSSH container up to the end of its private part; all if that is cut off."""
     at = 15
     for k in range(3):
@@ -170,12 +218,17 @@ def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), end + len(last)
 
 
+#: The other alphabet's two digits.
+STANDARD = str.maketrans("-_", "+/")
+
+
 def whole64(text: str) -> bytes:
     return decode64(text[:-1] if len(text) % 4 == 1 else text)
 
 
 def run_spans(run: str) -> list[tuple[str, int, int]]:
-    """Keys in a run of base64: kind, start, end."""
+    """Keys in a run of base64: kind, start, end. Wherever a key may begin, its headers alone are read (their number is
+    bounded), so that the time goes with the run's length, whatever stands in it."""
     cuts = [(m.start(), m.end()) for m in JOINS.finditer(run)]
     joined, places = run, None
     if cuts:
@@ -191,18 +244,20 @@ def run_spans(run: str) -> list[tuple[str, int, int]]:
         for k in range(4):
             if any(pem_blocks(whole64(joined[k:]).decode("latin-1"))):
                 return [("pem", 0, len(run))]
+    joined = joined.translate(STANDARD)
     spans, at = [], 0
     while (at := joined.find("M", at)) >= 0:
-        size = der_size(decode64(joined[at : at + 8]))
+        head = binascii.a2b_base64(joined[at : at + 24]) if at + 24 <= len(joined) else whole64(joined[at:])
+        size = der_size(head)
         chars = -(-size * 4 // 3)
-        if size and at + chars <= len(joined) and private_key(decode64(joined[at : at + chars])[:size]):
+        if size and at + chars <= len(joined) and plausible(head) and private_key(Stretch(joined, at, 0, size)):
             spans.append(("der", place(at), place(at + chars - 1) + 1))
             at += chars
         else:
             at += 1
     at = 0
     while (at := joined.find(OPENSSH, at)) >= 0:
-        data = whole64(joined[at:])
+        data = Stretch(joined, at)
         if openssh_key(data):
             chars = -(-openssh_size(data) * 4 // 3)
             spans.append(("openssh", place(at), place(min(at + chars, len(joined)) - 1) + 1))
