@@ -24,8 +24,8 @@ def test_time_goes_with_length(kind):
         secrets.find_spans(run)
         return time.process_time() - began
 
-    some, eight_times = took(100_000), took(800_000)
-    assert eight_times < 16 * some + 1  # a quadratic scan takes 64 times as long, and a day for a few million characters
+    some, four_times = took(400_000), took(1_600_000)
+    assert four_times < 8 * some + 1  # a quadratic scan takes 16 times as long, and a day for a few million characters
 
 
 def test_keys_between_headers_are_found():
