@@ -86,7 +86,7 @@ def name_tokens(name: Column, most: int = 6) -> Column:
 
 
 #: Fixed value: statements of a password, the password in group 1.
-PASSWORD = r"""(?i)(?<![0-9A-Za-z_])(?:password|passwort|wachtwoord|senha|contrase|pass|pwd|pw|code)(?:[\t\n\f\r ]+is[\t\n\f\r ]+|[\t\n\f\r :=]+)([^\t\n\f\r ,;"'<>]{1,64})"""
+PASSWORD = r"""(?i)\b(?:password|passwort|wachtwoord|senha|contrase|pass|pwd|pw|code)(?:\s+is\s+|[\s:=]+)([^\s,;"'<>]{1,64})"""
 
 
 def stated_passwords(text: Column, most: int = 32, longest: int = 64) -> Column:
