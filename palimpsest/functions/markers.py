@@ -171,22 +171,6 @@ def binary_markers(body: Column) -> Column:
     return when_markers((exe & archive, "POLYGLOT-PE-ZIP"), (exe & F.contains(text, F.lit("xlAutoOpen")), "XLL-ADDIN"))
 
 
-def echoed_files(text: Column) -> Column:
-    """Files that a batch script writes line by line: array of (name, body), in order of first mention.
-
-    Lines are redirected echoes (``>>"f" echo x`` or ``echo x >> f``); carets escape the next character; ``echo.`` is an
-    empty line. Bodies are joined by CR LF."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.rtrim(x, F.lit("\r")))
-    front, back = r'(?i)^\s*>>?\s*"?([^"<>|&\s]+)"?\s+echo([. ].*)?$', r'(?i)^\s*@?echo([. ].*?)\s*>>?\s*"?([^"<>|&\s]+)"?\s*$'
-    name = lambda x: F.when(x.rlike(front), F.regexp_extract(x, front, 1)).when(x.rlike(back), F.regexp_extract(x, back, 2))
-    said = lambda x: F.when(x.rlike(front), F.regexp_extract(x, front, 2)).otherwise(F.regexp_extract(x, back, 1))
-    plain = lambda s: F.regexp_replace(F.regexp_replace(F.substring(s, F.lit(2), F.length(s)), r"\^$", ""), r"\^(.)", "$1")
-    parts = F.filter(F.transform(lines, lambda x: F.struct(name(x).alias("name"), plain(F.coalesce(said(x), F.lit(""))).alias("line"))), lambda p: p["name"].isNotNull())
-    names = F.array_distinct(F.transform(parts, lambda p: p["name"]))
-    body = lambda n: F.array_join(F.transform(F.filter(parts, lambda p: p["name"] == n), lambda p: p["line"]), "\r\n")
-    return F.transform(names, lambda n: F.struct(n.alias("name"), body(n).alias("body")))
-
-
 #: A document's own markers, and beginnings of those with a number or what was carved behind them.
 PURE = ("USERFORM-STRINGS", "DOCPROPS-STRINGS", "OLEID-OBJECTPOOL", "OLEID-FLASH", "OLEID-VBA-PRESENT", "OLEID-EXTREL", "OLEID-DDE", "OLEID-XLM-PRESENT", "PPT-VBA-EXTRACTED", "RTF-OBJUPDATE", "DEFAULTPW-DECRYPTED", "DIGITAL-SIGNATURE", "ENCRYPTION-AES", "ENCRYPTION-RC4", "ENCRYPTION-XOR", "XLM-AUTO-OPEN", "XLM-AUTO-CLOSE", "HTML-SMUGGLING-BLOB", "HTML-SMUGGLING-DATAURI", "HTML-DATAURI-CONTAINER", "SVG-SCRIPT", "SVG-EMBEDDED-PAYLOAD", "ARCHIVE-ENCRYPTED", "ARCHIVE-DECRYPTED", "POLYGLOT-PE-ZIP", "XLL-ADDIN", "BASE64-PE-CARVE", "PE-SECTION-PACKED", "PE-SECTION-HIGH-ENTROPY", "PE-OVERLAY", "PE-VIRTUAL-SECTION", "PE-DOTNET", "PE-ANOMALY", "ELF-EXECUTABLE")
 PURE_PREFIXES = ("MSD-DEEPDECODE depth=", "OLE-DOC-SECURITY-", "OLE-META\n", "DOCPROPS-STRINGS\n", "USERFORM-STRINGS\n", "XLM-STACK\n", "MALDOC-BEHAVIOR-SCORE n=")

@@ -1,4 +1,4 @@
-"""Cells of macro sheets: cells(doc, sheet, coord, formula, value)."""
+"""Cells of macro sheets: cells(doc, sheet, pos, coord, formula, value), pos being their order in the sheet."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REFERENCE = r"\$?[A-Z]{1,3}\$?[0-9]{1,7}"
+#: Fixed value: a formula that gives another cell its value.
+SETS = r"(?is)^=?SET\.VALUE\(\s*(\$?[A-Z]{1,3}\$?[0-9]{1,7})\s*,\s*(.*?)\s*\)$"
 
 
 def normal(coord: Column) -> Column:
@@ -34,8 +36,13 @@ def below(coord: Column) -> Column:
 
 def substituted(cells: DataFrame) -> DataFrame:
     """doc, sheet, coord, formula, text: formulas in which each reference to a cell with a value, one hop away, is that
-    value as a literal. Of cells with one name the first by value counts. An equi-join by (doc, sheet, coord)."""
-    values = cells.where("value IS NOT NULL").groupBy("doc", "sheet", normal(F.col("coord")).alias("name")).agg(F.min("value").alias("known"))
+    value as a literal. Of the values of one name the first that isn't empty counts, but the last that a formula sets
+    goes before it. An equi-join by (doc, sheet, coord)."""
+    stated = cells.where("value <> ''").select("doc", "sheet", "pos", normal(F.col("coord")).alias("name"), F.col("value").alias("first"), F.lit(None).cast("string").alias("put"))
+    wanted = F.regexp_replace(F.regexp_extract("formula", SETS, 2), r'(?s)^"(.*)"$', "$1")
+    setting = cells.where(F.col("formula").rlike(SETS)).select("doc", "sheet", "pos", normal(F.regexp_extract("formula", SETS, 1)).alias("name"), F.lit(None).cast("string").alias("first"), wanted.alias("put"))
+    ordered = lambda pick, c: pick(c, F.when(F.col(c).isNotNull(), F.struct("pos", c)))
+    values = stated.unionByName(setting).groupBy("doc", "sheet", "name").agg(F.coalesce(ordered(F.max_by, "put"), ordered(F.min_by, "first")).alias("known"))
     formulas = cells.where("formula IS NOT NULL").select("doc", "sheet", "coord", "formula")
     bare = F.regexp_replace("formula", r'"[^"]*"', "")
     wanted = formulas.select("doc", "sheet", "coord", "formula", F.explode_outer(F.array_distinct(F.regexp_extract_all(bare, F.lit(rf"(?<![A-Za-z.]){REFERENCE}(?![A-Za-z0-9(])"), 0))).alias("ref"))

@@ -6,10 +6,10 @@ circle have no end and give nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.files import filetime
+from palimpsest.functions.files import filetime, latin1
 from palimpsest.operators.records import Layout, number, piece
 from palimpsest.operators.tables import kept
 
@@ -58,12 +58,17 @@ def chains(links: DataFrame) -> DataFrame:
     return state.select("file", "node", F.coalesce("jump", "node").alias("end"), "left").join(ends, ["file", "end"], "left_semi")
 
 
-def table_links(known: DataFrame) -> DataFrame:
-    """The allocation table: file, node, next (null where a chain ends or leads nowhere)."""
+def table_entries(known: DataFrame) -> DataFrame:
+    """The allocation table as it stands: file, node, next, n (the sectors that the body has)."""
     b = F.col("body")
     each = known.select("file", "body", "width", F.posexplode("tables").alias("i", "table"))
     row = F.transform(F.sequence(F.lit(0), (F.col("width") / 4 - 1).cast("int")), lambda k: F.struct((F.col("i") * F.col("width") / 4 + k).cast("long").alias("node"), number(b, (F.col("table") + 1) * F.col("width") + k * 4, 4).alias("next")))
-    links = each.select("file", F.inline(row), F.ceil(F.octet_length("body") / F.col("width")).alias("n")).where("node < n AND next IS NOT NULL")
+    return each.select("file", F.inline(row), F.ceil(F.octet_length("body") / F.col("width")).alias("n")).where("next IS NOT NULL")
+
+
+def table_links(known: DataFrame) -> DataFrame:
+    """The allocation table: file, node, next (null where a chain ends or leads nowhere)."""
+    links = table_entries(known).where("node < n")
     return links.select("file", "node", F.when(F.col("next") < F.col("n"), F.col("next")).alias("next"))
 
 
@@ -127,10 +132,36 @@ def directory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def streams(files: DataFrame) -> DataFrame:
     """file, pos, path, body of every stream that the directory reaches, pos being its place in the directory."""
-    entries, bodies = directory(files)
+    return reached(*directory(files))
+
+
+def reached(entries: DataFrame, bodies: DataFrame) -> DataFrame:
     return entries.where("path IS NOT NULL").join(bodies, ["file", "entry"]).select("file", F.col("entry").alias("pos"), "path", "body")
 
 
+#: Streams outside the tree that count, and their size; bytes behind the last sector that count, and those
+#: that are kept; the mark of a free sector.
+ORPHANS, ORPHAN_BYTES, EXTRA_LEAST, EXTRA_MOST, FREE = 8, 1 << 20, 512, 4 << 20, 0xFFFFFFFF
+
+
+def orphans(entries: DataFrame, bodies: DataFrame) -> DataFrame:
+    """file, pos, body of streams that the directory has but its tree doesn't reach, the first ones of each file."""
+    rooted = entries.where((F.col("entry") == 0) & (F.col("type") == ROOT)).select("file")
+    lost = entries.where((F.col("type") == STREAM) & F.col("path").isNull() & F.col("size").between(1, ORPHAN_BYTES)).join(rooted, "file", "left_semi")
+    found = lost.join(bodies.where(F.octet_length("body") > 0), ["file", "entry"])
+    place = F.row_number().over(Window.partitionBy("file").orderBy("entry"))
+    return found.withColumn("place", place).where(F.col("place") <= ORPHANS).select("file", F.col("entry").alias("pos"), "body")
+
+
+def extra_data(files: DataFrame) -> DataFrame:
+    """file, body: what stands behind the last sector that the allocation table uses, unless it is short or all zeros."""
+    known = opened(files)
+    last = table_entries(known).where(F.col("next") != FREE).groupBy("file").agg(F.max("node").alias("last"))
+    rest = known.join(last, "file").select("file", piece(F.col("body"), (F.col("last") + 2) * F.col("width"), F.lit((1 << 31) - 1)).alias("body"))
+    some = (F.octet_length("body") >= EXTRA_LEAST) & (F.rtrim(latin1(F.col("body")), F.lit("\0")) != "")
+    return rest.where(some).select("file", F.substring("body", 1, EXTRA_MOST).alias("body"))
+
+
 def entry_times(entries: DataFrame) -> DataFrame:
     """key, pos, created, modified of entries with a time, for :func:`palimpsest.operators.structure.time_markers`."""
     return entries.where("created <> 0 OR modified <> 0").select(F.col("file").alias("key"), F.col("entry").alias("pos"), filetime(F.col("created")).alias("created"), filetime(F.col("modified")).alias("modified"))

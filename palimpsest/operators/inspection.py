@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import encodings, files, markers
 from palimpsest.functions.files import latin1
-from palimpsest.operators import decode, executables, members, streams, structure
+from palimpsest.operators import decode, droppers, executables, members, streams, structure, workbooks
 from palimpsest.operators.tables import kept
 
 #: What one document may unfold to.
@@ -91,12 +91,14 @@ def inspected(bodies: DataFrame, now: Column, depth: int = DEPTH) -> DataFrame:
     kinds = every.where("layer = 0").withColumn("is", files.kind(F.col("body")))
     text = latin1(F.col("body"))
     plain = kinds.where("is = 'none'")
-    out += [rows_from(plain, markers.csv_injections(text), TEXT, "cells"), rows_from(plain, markers.html_smuggling(text), TEXT + 1, "page"), rows_from(plain, F.transform(markers.echoed_files(text), lambda f: f["body"]), TEXT + 2, "script")]
+    out += [rows_from(plain, markers.csv_injections(text), TEXT, "cells"), rows_from(plain, markers.html_smuggling(text), TEXT + 1, "page")]
+    scripts = plain.where(droppers.scripted(text)).select(F.struct("doc", "at").alias("key"), text.alias("text"))
+    out.append(droppers.dropped_files(scripts).select("key.doc", F.lit(TEXT + 2).alias("pass"), F.concat("key.at", F.array("pos")).alias("at"), F.lit("script").alias("kind"), F.lit("").alias("path"), F.encode("body", "ISO-8859-1").alias("body")))
     for i, (name, test) in enumerate((("sylk", markers.sylk_injections), ("spreadsheet_xml", markers.spreadsheet_xml_injections), ("pdf", markers.pdf_indicators), ("rtf", markers.rtf_markers)), 3):
         out.append(rows_from(kinds.where(F.col("is") == name), test(text), TEXT + i, name))
     out.append(rows_from(kinds, markers.binary_markers(F.col("body")), TEXT + 7, "binary"))
     tree = every.where("layer > 0").select(F.col("doc").alias("key"), F.row_number().over(Window.partitionBy("doc").orderBy("at")).alias("pos"), "path", "kind", "layer", "body")
-    for number, found in enumerate((structure.office_markers(tree), structure.compound_markers(tree), structure.property_texts(tree).withColumnRenamed("stream", "marker"))):
+    for number, found in enumerate((structure.office_markers(tree), structure.compound_markers(tree), workbooks.macro_markers(tree.where("kind = 'ole2'")), structure.property_texts(tree).withColumnRenamed("stream", "marker"))):
         out.append(marker_rows(found.withColumnRenamed("key", "doc"), TEXT + 8 + number, "structure"))
     before = kept(reduce(DataFrame.unionByName, out), "streams")
 

@@ -161,9 +161,15 @@ def source_of(data: pd.Series) -> pd.Series:
 ADDRESS = "E0C9EA79F9BACE118C8200AA004BA90B"
 
 
+#: The place of what stands behind the last sector: after all entries.
+BEHIND = 1 << 30
+
+
 def compound_streams(bodies: DataFrame) -> DataFrame:
-    """Streams by their paths, and what they hold: macro source, packaged files, addresses of links."""
-    found = compound.streams(bodies)
+    """Streams by their paths, and what they hold: macro source, packaged files, addresses of links; behind them streams
+    outside the tree and what stands behind the last sector."""
+    entries, contents = compound.directory(bodies)
+    found = compound.reached(entries, contents)
     b, text = F.col("body"), latin1(F.col("body"))
     macros = found.where(F.contains(text, F.lit("Attribut"))).select("file", "pos", F.concat("path", F.lit("#vba")).alias("name"), source_of("body").alias("body"))
     packages = found.where(F.lower("path").endswith("ole10native"))
@@ -177,7 +183,9 @@ def compound_streams(bodies: DataFrame) -> DataFrame:
     whole = found.select("file", (F.col("pos") * 4).alias("pos"), F.col("path").alias("name"), "body")
     for k, more in enumerate((macros, packages, links), 1):
         whole = whole.unionByName(more.where(F.octet_length("body") > 0).withColumn("pos", F.col("pos") * 4 + k))
-    return whole
+    lost = compound.orphans(entries, contents).select("file", (F.col("pos") * 4).alias("pos"), F.concat(F.lit("#orphan"), "pos").alias("name"), "body")
+    behind = compound.extra_data(bodies).select("file", F.lit(BEHIND).alias("pos"), F.lit("#extra").alias("name"), "body")
+    return whole.unionByName(lost).unionByName(behind)
 
 
 OPENERS: dict[str, Callable[[DataFrame], DataFrame]] = {

@@ -50,6 +50,7 @@ def compound_markers(members: DataFrame) -> DataFrame:
         F.when(F.col("path").rlike(r"(?:^|/)ObjectPool/"), "OLEID-OBJECTPOOL"),
         F.when(latin1(F.col("body")).rlike(r"^(?:[FCZ]WS)[\x01-\x20]"), "OLEID-FLASH"),
         F.when(F.endswith("path", F.lit("#vba")), "OLEID-VBA-PRESENT"),
+        F.when(F.endswith("path", F.lit("#extra")), "OLE2-EXTRA-DATA"),
         F.when(F.endswith("path", F.lit("#address")), F.concat(F.lit("OLE2LINK-URL "), latin1(F.col("body")))),
     )
     rows = members.where("kind = 'ole2'").select("key", F.explode(F.filter(found, lambda m: m.isNotNull())).alias("marker"))

@@ -7,7 +7,7 @@ import struct
 from pyspark.sql import functions as F
 
 from palimpsest.functions import encodings
-from palimpsest.operators import compound, executables, inspection, rules, scripts, structure
+from palimpsest.operators import compound, droppers, executables, inspection, rules, scripts, structure, workbooks
 from palimpsest.operators.rules import NOTHING, Rule
 from palimpsest.plans.catalogue import query
 
@@ -257,3 +257,43 @@ def decode_keyed_digits(read):
 
     rows = made(read, lambda i, t: keyed(re.sub(rb"[^ -~]", b"", "".join(t.decode()[:300]).encode())))
     return rows.select("key", F.explode(encodings.keyed_digits(F.decode("body", "ISO-8859-1"))).alias("said")).select("key", F.sha2("said", 256).alias("sha256"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[\r\n\^]', ' ', 'g') AS t FROM documents)
+SELECT doc_id, 0 AS pos, 'words.vbs' AS name, sha256(replace(t, ' ', chr(13) || chr(10)) || chr(13) || chr(10) || '>>"tail.txt" said & done') AS sha256 FROM d UNION ALL
+SELECT doc_id, 1, 'tail.txt', sha256(doc_id || chr(13) || chr(10) || chr(13) || chr(10) || 'end^') FROM d""")
+def batch_files(read):
+    """A script that writes each document's words line by line within a block, and a second file by redirections."""
+    clean = F.regexp_replace("text", r"[\r\n\^]", " ")
+    words = F.array_join(F.transform(F.split(clean, " "), lambda w: F.concat(F.lit("  ECHO "), w)), "\r\n")
+    tail = F.concat(F.lit('\r\n)\r\n>>"tail.txt" echo '), F.col("doc_id").cast("string"), F.lit('\r\n>> tail.txt echo.ignored\r\necho end^^ >> tail.txt\r\n'))
+    script = F.concat(F.lit('@echo off\r\n>"words.vbs" (\r\n'), words, F.lit('\r\nrem skipped\r\n>>"tail.txt" echo skipped\r\necho ^>^>"tail.txt" said ^& done'), tail)
+    found = droppers.dropped_files(read("documents").select(F.col("doc_id").alias("key"), script.alias("text")))
+    return found.select(F.col("key").alias("doc_id"), "pos", "name", F.sha2("body", 256).alias("sha256"))
+
+
+def workbook(i: int, text: bytes) -> bytes:
+    """A workbook of many records: a macro sheet named by the text's first letters, hidden or not, and a built-in name."""
+    from palimpsest.plans import containers_made
+
+    record = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    name = b"s%d" % i
+    sheet = struct.pack("<IBBBB", 0, i % 4, i % 2, len(name), i % 3 == 0) + (name.decode().encode("utf-16-le") if i % 3 == 0 else name)
+    builtin = struct.pack("<HBB", 0x20, 0, 1) + b"\0" * 10 + bytes([1 + i % 5]) + b"rest"
+    cells = b"".join(record(0x06, text[k : k + 100]) for k in range(0, len(text), 100))
+    return containers_made.compound({"Workbook": record(0x809, b"\0\6\5\0") + cells + record(0x85, sheet) + record(0x18, builtin) + record(0x0A, b"")})
+
+
+@query("""SELECT doc_id AS key, 'XLM-HIDDEN-MACROSHEET ' || (CASE doc_id % 4 WHEN 1 THEN 'hidden' ELSE 'veryHidden' END) || ' s' || doc_id AS marker FROM documents WHERE doc_id % 4 IN (1, 2) AND doc_id % 2 = 1
+UNION ALL SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'XLM-AUTO-OPEN' ELSE 'XLM-AUTO-CLOSE' END FROM documents WHERE doc_id % 5 < 2""")
+def hidden_macro_sheets(read):
+    found = compound.streams(made(read, workbook).withColumnRenamed("key", "file"))
+    return workbooks.macro_markers(found.select(F.col("file").alias("key"), "path", "body"))
+
+
+@query("SELECT doc_id AS key, sha256('x' || text || repeat('y', 600)) AS sha256 FROM documents")
+def compound_extra_data(read):
+    """Bytes behind the last sector of a compound file of each text."""
+    files = made(read, lambda i, text: streams_of(i, text[:20]) + b"x" + text + b"y" * 600)
+    found = compound.extra_data(files.withColumnRenamed("key", "file"))
+    return found.select(F.col("file").alias("key"), F.sha2("body", 256).alias("sha256"))

@@ -74,11 +74,6 @@ cases("marker_verbs", listed(markers.verb_markers), [("=exec(\"x\")&=CALL(", "XL
 cases("marker_rtf", listed(markers.rtf_markers), [("{\\rtf{\\field{\\*\\fldinst DDEAUTO c:\\\\x}}}", "RTF-DDE-FIELD"), ("{\\rtf{\\object\\objupdate}}", "RTF-OBJUPDATE"), ("{\\rtf plain DDE}", "")])
 cases("body_strings", listed(markers.printable_strings), [(b"\x00short\x00long enough\x00", "long enough"), ("wide text".encode("utf-16-le"), "wide text"), (b"\x01path=c:/temp/x\x02", "path=c:/temp/x|c:/temp/x"), (b"", "")])
 cases("marker_binary", listed(markers.binary_markers), [(EXE + b"PK\x03\x04..PK\x05\x06", "POLYGLOT-PE-ZIP"), (EXE + b"xlAutoOpen", "XLL-ADDIN"), (EXE, ""), (b"MZ" + b"\0" * 80 + b"xlAutoOpen", ""), (b"PK\x03\x04PK\x05\x06", "")])
-cases("batch_files", lambda c: F.array_join(F.transform(markers.echoed_files(c), lambda f: F.concat(f["name"], F.lit(":"), F.replace(f["body"], F.lit("\r\n"), F.lit("/")))), "|"), [
-    ("@echo off\n>\"a.vbs\" echo one^&two\n>>\"a.vbs\" echo.\n>>\"a.vbs\" echo three\ndir", "a.vbs:one&two//three"),
-    ("echo x > b.txt\r\necho y^^ >> b.txt\r\n>>c.js echo z\r\n", "b.txt:x/y^|c.js:z"),
-    ("dir\necho hello", ""),
-])
 cases("sniff_bytes", files.kind, [
     (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1....", "ole2"), (b"PK\x03\x04", "zip"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"MSCF", "cab"), (b"\x1f\x8b\x08", "gzip"),
     (bytes.fromhex("4C0000000114020000000000C000000000000046") + b"\0" * 60, "lnk"), (b"L\0\0\0 not a link", "none"),

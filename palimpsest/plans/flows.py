@@ -178,8 +178,8 @@ def metrics_exposition(read):
 
 @query("SELECT event_id AS doc, (['=\"calc\"&B2', '=EXEC(\"cmd\")', '=\"x\"'])[event_id % 3 + 1] AS formula, (['=\"calc\"&\".exe\"', '=EXEC(\"cmd\")', '=\"x\"'])[event_id % 3 + 1] AS folded FROM events")
 def cell_references(read):
-    e = read("events").select(F.col("event_id").alias("doc"), F.lit("s").alias("sheet"), F.lit("A1").alias("coord"), F.element_at(F.array(F.lit('="calc"&B2'), F.lit('=EXEC("cmd")'), F.lit('="x"')), (F.col("event_id") % 3 + 1).cast("int")).alias("formula"), F.lit(None).cast("string").alias("value"))
-    values = e.select("doc", "sheet", F.lit("$B$2").alias("coord"), F.lit(None).cast("string").alias("formula"), F.lit(".exe").alias("value"))
+    e = read("events").select(F.col("event_id").alias("doc"), F.lit("s").alias("sheet"), F.lit(0).alias("pos"), F.lit("A1").alias("coord"), F.element_at(F.array(F.lit('="calc"&B2'), F.lit('=EXEC("cmd")'), F.lit('="x"')), (F.col("event_id") % 3 + 1).cast("int")).alias("formula"), F.lit(None).cast("string").alias("value"))
+    values = e.select("doc", "sheet", F.lit(1).alias("pos"), F.lit("$B$2").alias("coord"), F.lit(None).cast("string").alias("formula"), F.lit(".exe").alias("value"))
     return cells.substituted(e.union(values)).select("doc", "formula", F.col("text").alias("folded"))
 
 

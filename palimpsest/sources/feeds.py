@@ -15,10 +15,6 @@ from palimpsest.functions import urls
 SHA256 = r"^[0-9A-Fa-f]{64}$"
 
 
-#: Fixed value: the most hashes that a feed may hold.
-MOST_HASHES = 10_000_000
-
-
 def csv_rows(lines: DataFrame) -> DataFrame:
     """Lines (value) but comments, cut at commas outside quotes: column fields. Ragged rows keep the fields they have."""
     lines = lines.where(~F.ltrim("value").startswith("#") & (F.trim("value") != ""))
@@ -59,10 +55,11 @@ def hash_feed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hash_rows(lines: DataFrame) -> DataFrame:
-    """sha256, lower case: the first field of 64 hex digits of each row; at most ``MOST_HASHES``, the smallest."""
+    """sha256, lower case: the first field of 64 hex digits of each row, each once. A feed may
+    have any number of them: what joins with it is a table like any other."""
     hit = F.element_at(F.filter("fields", lambda c: c.rlike(SHA256)), 1)
     rows = csv_rows(lines).where(F.exists("fields", lambda c: c.rlike(SHA256)))
-    return rows.select(F.lower(hit).alias("sha256")).distinct().orderBy("sha256").limit(MOST_HASHES)
+    return rows.select(F.lower(hit).alias("sha256")).distinct()
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:

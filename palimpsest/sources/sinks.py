@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def json_responses(docs: DataFrame, matches: DataFrame, key: str = "doc", full: bool = False) -> DataFrame:
     """key, response: a JSON array of a document's matches in order of pos, [] for none; with tags and meta if full."""
     fields = ["rule", "namespace", *(["tags", "meta"] if full else [])]
-    place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    numbered = matches.select(key, place.alias("place"), F.struct(*fields).alias("match"))
-    rows = numbered.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "match"))).alias("found"))
-    bare = F.to_json(F.transform(F.array_sort(F.map_keys("found")), lambda i: F.element_at("found", i)))
+    by_place = lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+    rows = matches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("match"))), by_place).alias("found"))
+    bare = F.to_json(F.transform("found", lambda m: m["match"]))
     return docs.select(key).distinct().join(rows, key, "left").select(key, F.coalesce(bare, F.lit("[]")).alias("response"))
 
 
