@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.files import filetime, latin1
-from palimpsest.operators.records import Layout, number, piece
-from palimpsest.operators.tables import kept
+from palimpsest.operators.records import Layout, number, numbers, once, piece
+from palimpsest.operators.tables import by_key, kept
 
 #: Numbers from which on a link leads nowhere; table sectors named in the header; kinds of entries.
 NOWHERE, IN_HEADER, STORAGE, STREAM, ROOT = 0xFFFFFFFA, 109, 1, 2, 5
@@ -32,15 +32,15 @@ def opened(files: DataFrame) -> DataFrame:
         F.pow(F.lit(2), F.least(number(b, F.lit(32), 2), F.lit(16))).cast("long").alias("mini_width"),
         *[number(b, F.lit(at), 4).alias(n) for n, at in (("directory", 48), ("cutoff", 56), ("mini_start", 60), ("more", 68))],
     )
-    first = F.transform(F.sequence(F.lit(0), F.lit(IN_HEADER - 1)), lambda i: number(b, F.lit(76) + i * 4, 4))
+    first = numbers(piece(b, F.lit(76), F.lit(4 * IN_HEADER)))
     state = "struct<at:bigint,found:array<bigint>>"
     here = lambda s: (s["at"] + 1) * F.col("width")
-    rest = lambda s: F.transform(F.sequence(F.lit(0), (F.col("width") / 4 - 2).cast("int")), lambda i: number(b, here(s) + i * 4, 4))
-    step = lambda s, _: F.when(s["at"] < NOWHERE, F.struct(number(b, here(s) + F.col("width") - 4, 4).alias("at"), F.concat(s["found"], rest(s)).alias("found")).cast(state)).otherwise(s)
+    rest = lambda v, s: F.transform(F.sequence(F.lit(0), (F.col("width") / 4 - 2).cast("int")), lambda i: number(v, here(s) + i * 4, 4))
+    step = lambda v: lambda s, _: F.when(s["at"] < NOWHERE, F.struct(number(v, here(s) + F.col("width") - 4, 4).alias("at"), F.concat(s["found"], rest(v, s)).alias("found")).cast(state)).otherwise(s)
     # as many steps as there can be sectors of this kind in the body
     steps = F.least(F.floor(F.octet_length("body") / (F.col("width") * F.col("width") / 4)) + 1, F.lit(MORE_TABLES)).cast("int")
-    tables = F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.col("more").alias("at"), first.alias("found")).cast(state), step)["found"]
-    return known.where("width >= 64 AND mini_width >= 16").withColumn("tables", F.filter(tables, lambda t: t < NOWHERE))
+    tables = once(b, lambda v: F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.col("more").alias("at"), F.col("tables").alias("found")).cast(state), step(v))["found"])
+    return known.where("width >= 64 AND mini_width >= 16").withColumn("tables", first).withColumn("tables", F.filter(tables, lambda t: t < NOWHERE))
 
 
 def chains(links: DataFrame) -> DataFrame:
@@ -50,20 +50,21 @@ def chains(links: DataFrame) -> DataFrame:
     longest = state.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     for _ in range(int(longest).bit_length() + 1):
         other = state.where("jump IS NOT NULL").select("file", F.col("node").alias("jump"), F.col("jump").alias("far"), F.col("left").alias("more"))
-        if not state.where("jump IS NOT NULL").join(other, ["file", "jump"], "left_semi").limit(1).count():
+        if not state.where("jump IS NOT NULL").join(by_key(other), ["file", "jump"], "left_semi").limit(1).count():
             break
-        joined = state.join(other, ["file", "jump"], "left")
+        joined = state.join(by_key(other), ["file", "jump"], "left")
         state = kept(joined.select("file", "node", F.coalesce("far", "jump").alias("jump"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")), "chain")
     ends = links.where("next IS NULL").select("file", F.col("node").alias("end"))
-    return state.select("file", "node", F.coalesce("jump", "node").alias("end"), "left").join(ends, ["file", "end"], "left_semi")
+    return state.select("file", "node", F.coalesce("jump", "node").alias("end"), "left").join(by_key(ends), ["file", "end"], "left_semi")
 
 
 def table_entries(known: DataFrame) -> DataFrame:
     """The allocation table as it stands: file, node, next, n (the sectors that the body has)."""
     b = F.col("body")
     each = known.select("file", "body", "width", F.posexplode("tables").alias("i", "table"))
-    row = F.transform(F.sequence(F.lit(0), (F.col("width") / 4 - 1).cast("int")), lambda k: F.struct((F.col("i") * F.col("width") / 4 + k).cast("long").alias("node"), number(b, (F.col("table") + 1) * F.col("width") + k * 4, 4).alias("next")))
-    return each.select("file", F.inline(row), F.ceil(F.octet_length("body") / F.col("width")).alias("n")).where("next IS NOT NULL")
+    each = each.select("file", (F.col("i") * F.col("width") / 4).cast("long").alias("first"), F.ceil(F.octet_length("body") / F.col("width")).alias("n"), piece(b, (F.col("table") + 1) * F.col("width"), F.col("width")).alias("sector"))
+    each = each.where("sector IS NOT NULL").select("file", "first", "n", numbers("sector").alias("links"))
+    return each.select("file", "first", "n", F.posexplode("links").alias("k", "next")).select("file", (F.col("first") + F.col("k")).alias("node"), "next", "n")
 
 
 def table_links(known: DataFrame) -> DataFrame:
@@ -75,9 +76,9 @@ def table_links(known: DataFrame) -> DataFrame:
 def joined(wanted: DataFrame, ordered: DataFrame, sectors: DataFrame) -> DataFrame:
     """``wanted(file, entry, start, size)`` to file, entry, body: what the chain from start holds, cut at size.
     ``sectors(file, node, data)`` may be null in a place, which ends the body."""
-    first = wanted.join(ordered.select("file", F.col("node").alias("start"), "end", F.col("left").alias("whole")), ["file", "start"])
-    places = first.join(ordered.select("file", "end", "node", "left"), ["file", "end"]).where("left <= whole").withColumn("pos", F.col("whole") - F.col("left"))
-    parts = places.join(sectors, ["file", "node"]).groupBy("file", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"), F.first("size").alias("size"))
+    first = wanted.join(ordered.select("file", F.col("node").alias("start"), "end", F.col("left").alias("whole")).transform(by_key), ["file", "start"])
+    places = first.join(by_key(ordered.select("file", "end", "node", "left")), ["file", "end"]).where("left <= whole").withColumn("pos", F.col("whole") - F.col("left"))
+    parts = places.join(by_key(sectors), ["file", "node"]).groupBy("file", "entry").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("parts"), F.first("size").alias("size"))
     body = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["data"])), ""))
     return parts.select("file", "entry", F.substring(body, F.lit(1), F.least("size", F.lit(STREAM_BYTES)).cast("int")).alias("body"))
 
@@ -98,14 +99,14 @@ def directory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     # who stands above whom: a sibling in the same tree, or, at a tree's root, the storage
     side = F.array(F.struct(F.col("left").alias("node"), F.lit(False).alias("top")), F.struct(F.col("right").alias("node"), F.lit(False).alias("top")), F.struct(F.col("child").alias("node"), F.lit(True).alias("top")))
     above = kept(listed.select("file", F.col("entry").alias("above"), F.inline(side)).where(F.col("node") < NOWHERE).groupBy("file", "node").agg(F.min_by(F.struct("above", "top"), "above").alias("x")).select("file", "node", "x.above", "x.top"), "above")
-    tree = listed.select("file", F.col("entry").cast("long").alias("node")).join(above, ["file", "node"], "left")
+    tree = listed.select("file", F.col("entry").cast("long").alias("node")).join(by_key(above), ["file", "node"], "left")
     tops = chains(tree.select("file", "node", F.when(~F.col("top"), F.col("above")).cast("long").alias("next")))
-    folder = tops.join(above.where("top").select("file", F.col("node").alias("end"), F.col("above").alias("folder")), ["file", "end"]).select("file", F.col("node").alias("entry"), "folder")
-    placed = kept(listed.select("file", F.col("entry").cast("long").alias("entry"), "name").join(folder, ["file", "entry"]), "placed")
+    folder = tops.join(above.where("top").select("file", F.col("node").alias("end"), F.col("above").alias("folder")).transform(by_key), ["file", "end"]).select("file", F.col("node").alias("entry"), "folder")
+    placed = kept(listed.select("file", F.col("entry").cast("long").alias("entry"), "name").join(by_key(folder), ["file", "entry"]), "placed")
     level = listed.where("entry = 0").select("file", F.lit(0).cast("long").alias("folder"), F.lit("").alias("prefix"))
     paths = []
     for _ in range(LEVELS):
-        now = kept(placed.join(level, ["file", "folder"]).select("file", "entry", F.concat("prefix", "name").alias("path")), "paths")
+        now = kept(placed.join(by_key(level), ["file", "folder"]).select("file", "entry", F.concat("prefix", "name").alias("path")), "paths")
         if not now.limit(1).count():
             break
         paths.append(now)
@@ -113,18 +114,17 @@ def directory(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     reached = level.select("file", F.col("folder").alias("entry"), F.col("prefix").alias("path")).limit(0)
     for p in paths:
         reached = reached.unionByName(p)
-    entries = kept(listed.withColumn("entry", F.col("entry").cast("long")).join(reached, ["file", "entry"], "left").select("file", "entry", "name", "type", "path", "start", "size", "created", "modified"), "entries")
+    entries = kept(listed.withColumn("entry", F.col("entry").cast("long")).join(by_key(reached), ["file", "entry"], "left").select("file", "entry", "name", "type", "path", "start", "size", "created", "modified"), "entries")
 
     head = known.select("file", "cutoff", "mini_start", "mini_width", "width")
-    streams = entries.where(F.col("type") == STREAM).join(head, "file")
+    streams = entries.where(F.col("type") == STREAM).join(by_key(head), "file")
     small_root = entries.where(F.col("type") == ROOT).select("file", F.lit(-2).cast("long").alias("entry"), "start", F.lit(1 << 30).cast("long").alias("size"))
     mini_table = head.select("file", F.lit(-3).cast("long").alias("entry"), F.col("mini_start").alias("start"), F.lit(1 << 30).cast("long").alias("size"))
     large = streams.where("size >= cutoff").select("file", "entry", "start", "size")
     whole = kept(joined(large.unionByName(small_root).unionByName(mini_table), ordered, sectors), "bodies")
     entries_of = lambda e: whole.where(F.col("entry") == e).select("file", "body")
-    numbers = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.octet_length("body") / 4).cast("int") - 1, F.lit(0))), lambda k: F.struct(k.cast("long").alias("node"), number(b, k * 4, 4).alias("next")))
-    mini_links = entries_of(-3).select("file", F.inline(numbers)).where("next IS NOT NULL").select("file", "node", F.when(F.col("next") < NOWHERE, F.col("next")).alias("next"))
-    mini = entries_of(-2).join(head.select("file", "mini_width"), "file")
+    mini_links = entries_of(-3).select("file", numbers("body").alias("links")).select("file", F.posexplode("links").alias("node", "next")).select("file", F.col("node").cast("long").alias("node"), F.when(F.col("next") < NOWHERE, F.col("next")).alias("next"))
+    mini = entries_of(-2).join(by_key(head.select("file", "mini_width")), "file")
     mini_sectors = mini.select("file", "body", "mini_width", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("body") / F.col("mini_width")).cast("int"))).alias("node")).select("file", F.col("node").cast("long").alias("node"), piece(b, F.col("node") * F.col("mini_width"), F.col("mini_width")).alias("data"))
     short = joined(streams.where("size < cutoff AND size > 0").select("file", "entry", "start", "size"), chains(mini_links), mini_sectors)
     return entries, whole.where("entry >= 0").unionByName(kept(short, "short"))
@@ -136,7 +136,7 @@ def streams(files: DataFrame) -> DataFrame:
 
 
 def reached(entries: DataFrame, bodies: DataFrame) -> DataFrame:
-    return entries.where("path IS NOT NULL").join(bodies, ["file", "entry"]).select("file", F.col("entry").alias("pos"), "path", "body")
+    return entries.where("path IS NOT NULL").join(by_key(bodies), ["file", "entry"]).select("file", F.col("entry").alias("pos"), "path", "body")
 
 
 #: Streams outside the tree that count, and their size; bytes behind the last sector that count, and those
@@ -147,8 +147,8 @@ ORPHANS, ORPHAN_BYTES, EXTRA_LEAST, EXTRA_MOST, FREE = 8, 1 << 20, 512, 4 << 20,
 def orphans(entries: DataFrame, bodies: DataFrame) -> DataFrame:
     """file, pos, body of streams that the directory has but its tree doesn't reach, the first ones of each file."""
     rooted = entries.where((F.col("entry") == 0) & (F.col("type") == ROOT)).select("file")
-    lost = entries.where((F.col("type") == STREAM) & F.col("path").isNull() & F.col("size").between(1, ORPHAN_BYTES)).join(rooted, "file", "left_semi")
-    found = lost.join(bodies.where(F.octet_length("body") > 0), ["file", "entry"])
+    lost = entries.where((F.col("type") == STREAM) & F.col("path").isNull() & F.col("size").between(1, ORPHAN_BYTES)).join(by_key(rooted), "file", "left_semi")
+    found = lost.join(by_key(bodies.where(F.octet_length("body") > 0)), ["file", "entry"])
     place = F.row_number().over(Window.partitionBy("file").orderBy("entry"))
     return found.withColumn("place", place).where(F.col("place") <= ORPHANS).select("file", F.col("entry").alias("pos"), "body")
 
@@ -157,7 +157,7 @@ def extra_data(files: DataFrame) -> DataFrame:
     """file, body: what stands behind the last sector that the allocation table uses, unless it is short or all zeros."""
     known = opened(files)
     last = table_entries(known).where(F.col("next") != FREE).groupBy("file").agg(F.max("node").alias("last"))
-    rest = known.join(last, "file").select("file", piece(F.col("body"), (F.col("last") + 2) * F.col("width"), F.lit((1 << 31) - 1)).alias("body"))
+    rest = known.join(by_key(last), "file").select("file", piece(F.col("body"), (F.col("last") + 2) * F.col("width"), F.lit((1 << 31) - 1)).alias("body"))
     some = (F.octet_length("body") >= EXTRA_LEAST) & (F.rtrim(latin1(F.col("body")), F.lit("\0")) != "")
     return rest.where(some).select("file", F.substring("body", 1, EXTRA_MOST).alias("body"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import files
 from palimpsest.functions.markers import executable_at_start
-from palimpsest.operators.records import Layout, c_string, number
+from palimpsest.operators.records import Layout, c_string, number, once
 from palimpsest.operators.structure import entropy_of
 from palimpsest.operators.tables import kept
 
@@ -65,7 +65,7 @@ def imports(known: DataFrame, key: str, body: str = "body") -> DataFrame:
     start = offset_of(F.col("pe.sections"), F.get(F.col("pe.directories"), F.lit(IMPORTS))["address"])
     found = known.where("pe IS NOT NULL").select(key, body, "pe.sections", (F.col("pe.magic") == 0x20B).alias("wide"), start.alias("start"))
     found = kept(found, "executables").where("start IS NOT NULL")  # else each use of the sections would read the headers again
-    libraries = IMPORT.chain(b, F.col("start"), lambda r: F.lit(IMPORT.size), LIBRARIES, lambda r: (r["name"] != 0) & (r["thunk"] != 0))
+    libraries = IMPORT.chain(b, F.col("start"), lambda r: F.lit(IMPORT.size), LIBRARIES, lambda r: (r["name"] != 0) & (r["thunk"] != 0), IMPORT.size)
     rows = found.select(key, body, "sections", "wide", F.posexplode_outer(libraries).alias("pos", "x")).where("pos IS NOT NULL")
     rows = rows.select(key, body, "sections", "wide", "pos", offset_of(sections, F.col("x.name")).alias("name_at"), offset_of(sections, F.when(F.col("x.lookup") != 0, F.col("x.lookup")).otherwise(F.col("x.thunk"))).alias("at"))
     short, long = Layout(("low", "u32")), Layout(("low", "u32"), ("high", "u32"))
@@ -76,7 +76,7 @@ def imports(known: DataFrame, key: str, body: str = "body") -> DataFrame:
     rows = rows.select(key, body, "pos", "library", "sections", F.slice("thunks", F.lit(1), F.when(end > 0, end - 1).otherwise(F.size("thunks")).cast("int")).alias("thunks"))
     placed = F.transform("thunks", lambda t: F.struct(F.when(t["numbered"], t["value"] % 65536).alias("number"), F.when(~t["numbered"], offset_of(sections, t["value"])).alias("at")))
     rows = rows.select(key, body, "pos", "library", placed.alias("placed"))
-    names = F.transform("placed", lambda p: F.coalesce(F.concat(F.lit("#"), p["number"].cast("string")), c_string(b, p["at"] + 2)))
+    names = once(b, lambda whole: F.transform("placed", lambda p: F.coalesce(F.concat(F.lit("#"), p["number"].cast("string")), c_string(whole, p["at"] + 2))))
     return rows.select(key, "pos", "library", names.alias("functions"))
 
 

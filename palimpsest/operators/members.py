@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.files import latin1
 from palimpsest.operators import compound
-from palimpsest.operators.records import Layout, number, piece
+from palimpsest.operators.records import Layout, number, once, piece
 
 #: Members of an archive and bytes of one that count; attachments, embedded files and objects of one body.
 MEMBERS, MEMBER_BYTES, PARTS = 4096, 16 << 20, 128
@@ -67,11 +67,12 @@ def zipped(bodies: DataFrame) -> DataFrame:
     b = F.col("body")
     text = latin1(b)
     end = F.length(text) - F.locate(END_SIGNATURE[::-1], F.reverse(text)) - 3
-    entries = ENTRY.chain(b, number(b, end + 16, 4), lambda r: ENTRY.size + r["name_size"] + r["extra"] + r["comment"], MEMBERS, lambda r: r["signature"] == ENTRY_SIGNATURE)
-    rows = rows_of(bodies.where(F.contains(text, F.lit(END_SIGNATURE))), entries)
-    at = F.col("x.offset")
-    start = at + 30 + number(b, at + 26, 2) + number(b, at + 28, 2)
-    rows = rows.select("file", "pos", F.decode(piece(b, F.col("x.at") + ENTRY.size, F.col("x.name_size")), "UTF-8").alias("name"), (F.col("x.flags") % 2 == 1).alias("locked"), F.when(F.col("x.method") == STORED, "").when(F.col("x.method") == DEFLATED, "raw").alias("steps"), "x.size", piece(b, start, F.col("x.packed")).alias("data"))
+    entries = ENTRY.chain(b, number(b, end + 16, 4), lambda r: ENTRY.size + r["name_size"] + r["extra"] + r["comment"], MEMBERS, lambda r: r["signature"] == ENTRY_SIGNATURE, ENTRY.size)
+    start = lambda w, x: x["offset"] + 30 + number(w, x["offset"] + 26, 2) + number(w, x["offset"] + 28, 2)
+    cut = lambda w: lambda x: F.struct(F.decode(piece(w, x["at"] + ENTRY.size, x["name_size"]), "UTF-8").alias("name"), (x["flags"] % 2 == 1).alias("locked"), F.when(x["method"] == STORED, "").when(x["method"] == DEFLATED, "raw").alias("steps"), x["size"].alias("size"), piece(w, start(w, x), x["packed"]).alias("data"))
+    # a member takes its own bytes along, not the archive
+    inside = once(F.struct(b.alias("body"), entries.alias("entries")), lambda v: once(v["body"], lambda w: F.transform(v["entries"], cut(w))))
+    rows = bodies.where(F.contains(text, F.lit(END_SIGNATURE))).select("file", F.posexplode_outer(inside).alias("pos", "x")).where("pos IS NOT NULL").select("file", "pos", "x.*")
     plain = rows.where(~F.col("locked") & (F.col("size") <= MEMBER_BYTES) & ~F.endswith("name", F.lit("/"))).select("file", "pos", "name", undone("data", "steps").alias("body"))
     locked = rows.where("locked").groupBy("file").agg(F.max("pos").alias("pos")).select("file", (F.col("pos") + MEMBERS).alias("pos"), F.lit(f"#{ENCRYPTED}").alias("name"), F.encode(F.lit(ENCRYPTED), "UTF-8").alias("body"))
     return plain.unionByName(locked)
@@ -83,7 +84,7 @@ def gzipped(bodies: DataFrame) -> DataFrame:
 
 def tarred(bodies: DataFrame) -> DataFrame:
     size = lambda r: F.conv(F.regexp_extract(latin1(r["octal"]), r"([0-7]+)", 1), 8, 10).cast("long")
-    entries = TAR.chain(F.col("body"), F.lit(0), lambda r: 512 + F.ceil(F.coalesce(size(r), F.lit(0)) / 512) * 512, MEMBERS, lambda r: latin1(r["magic"]) == "ustar")
+    entries = TAR.chain(F.col("body"), F.lit(0), lambda r: 512 + F.ceil(F.coalesce(size(r), F.lit(0)) / 512) * 512, MEMBERS, lambda r: latin1(r["magic"]) == "ustar", 512)
     rows = rows_of(bodies, entries).where(latin1(F.col("x.type")).isin("0", "\0"))
     return rows.select("file", "pos", F.regexp_extract(latin1(F.col("x.name")), r"^([^\x00]*)", 1).alias("name"), piece(F.col("body"), F.col("x.at") + 512, F.least(size(F.col("x")), F.lit(MEMBER_BYTES))).alias("body"))
 
@@ -116,7 +117,7 @@ def onenote_files(bodies: DataFrame) -> DataFrame:
 
 
 def tnef_attachments(bodies: DataFrame) -> DataFrame:
-    found = ATTRIBUTE.chain(F.col("body"), F.lit(6), lambda r: ATTRIBUTE.size + r["size"] + 2, 1024)
+    found = ATTRIBUTE.chain(F.col("body"), F.lit(6), lambda r: ATTRIBUTE.size + r["size"] + 2, 1024, least=ATTRIBUTE.size)
     rows = rows_of(bodies, F.slice(F.filter(found, lambda r: r["id"] == ATTACHMENT), 1, 64))
     return rows.select("file", "pos", F.concat(F.lit("attachment"), F.col("pos").cast("string")).alias("name"), piece(F.col("body"), F.col("x.at") + ATTRIBUTE.size, F.col("x.size")).alias("body"))
 

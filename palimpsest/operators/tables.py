@@ -26,6 +26,20 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by :func:`kept` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """For a join by keys: never sent whole to the driver and from there to all. A kept table's file says little of its
+    size: columns that repeat take almost no room in it."""
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Dealt to all cores where a small table has fewer splits than there are; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
