@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import encodings as e
 from palimpsest.functions.files import latin1
-from palimpsest.operators.tables import kept, spread
+from palimpsest.operators.tables import discard, kept, spread
 
 utf8 = lambda texts: F.transform(texts, lambda x: F.encode(x, "UTF-8"))
 says = lambda *words: lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
@@ -33,14 +33,16 @@ DECODERS = (
     ("netbios", anything, e.netbios_blobs),
     ("base32", anything, e.base32_blobs),
 )
-FOUND = "array<struct<layer:int,decoder:string,blob:binary>>"
+#: Blobs in their order. Those of layers before the last have done their work and are known by digest and size alone.
+FOUND = "array<struct<layer:int,decoder:string,blob:binary,digest:string,bytes:int>>"
 DEEP = 3
 
 
 def offers(layer: int):
     """What a text, with its lower case beside it, gives in this layer."""
     none = F.array().cast("array<binary>")
-    one = lambda x, name, gate, f: F.transform(F.when(gate(x["low"]), e.emitted(f(x["text"]))).otherwise(none), lambda b: F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("decoder"), b.alias("blob")))
+    told = lambda b, name: F.struct(F.lit(layer).alias("layer"), F.lit(name).alias("decoder"), b.alias("blob"), F.sha2(b, 256).alias("digest"), F.octet_length(b).alias("bytes"))
+    one = lambda x, name, gate, f: F.transform(F.when(gate(x["low"]), e.emitted(f(x["text"]))).otherwise(none), lambda b: told(b, name))
     return lambda x: F.flatten(F.array(*[one(x, name, gate, f) for name, gate, f in DECODERS]))
 
 
@@ -48,13 +50,19 @@ def of_layer(layer: int):
     return lambda x: x["layer"] == layer
 
 
+def worthwhile(layer: int):
+    """Whether a text is decoded in this layer: the source if it may be encoded, blobs if they look it."""
+    test = e.may_be_encoded if layer == 1 else e.looks_encoded
+    return lambda t: t.isNotNull() & test(t)
+
+
 def taken(found: Column, offered: Column) -> Column:
     """What was found and, of what is offered, in order, all that is new and fits into the source's budget."""
-    size = lambda acc: F.aggregate(acc, F.lit(0), lambda s, x: s + F.octet_length(x["blob"]))
+    size = lambda acc: F.aggregate(acc, F.lit(0), lambda s, x: s + x["bytes"])
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc) < e.BLOBS) & (size(acc) + F.octet_length(x["blob"]) <= e.TOTAL_BYTES)
-        return F.when(fits & ~F.exists(acc, lambda y: y["blob"] == x["blob"]), F.concat(acc, F.array(x)).cast(FOUND)).otherwise(acc)
+        fits = (F.size(acc) < e.BLOBS) & (size(acc) + x["bytes"] <= e.TOTAL_BYTES)
+        return F.when(fits & ~F.exists(acc, lambda y: y["digest"] == x["digest"]), F.concat(acc, F.array(x)).cast(FOUND)).otherwise(acc)
 
     return F.aggregate(offered.cast(FOUND), found, step)
 
@@ -64,18 +72,20 @@ def layered(docs: DataFrame, key: str, text: Column, depth: int = 4) -> DataFram
     are decoded again; all layers share one budget. A null text hides nothing.
 
     Each layer is a table of its own, of the sources that still have something to decode: so no layer is computed twice,
-    and no filter on the result is pushed through the expressions of all layers."""
-    rows = kept(spread(docs.select(key, F.array(text).alias("queue"), F.array().cast(FOUND).alias("found"))), "queue")
+    and no filter on the result is pushed through the expressions of all layers. A blob is kept by its own layer alone,
+    and what was offered goes once it has been chosen from."""
+    rows = spread(docs.select(key, F.array(text).alias("queue"), F.array().cast(FOUND).alias("found")))
     done = None
     for layer in range(1, depth + 1):
-        gated = F.transform(F.filter("queue", lambda t: t.isNotNull() & e.may_be_encoded(t)), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
+        gated = F.transform(F.filter("queue", worthwhile(layer)), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
         offered = kept(rows.select(key, "found", F.flatten(F.transform(gated, offers(layer))).alias("offered")), "offered")
-        got = offered.where(F.size("offered") > 0).select(key, F.size("found").alias("known"), taken(F.col("found"), F.col("offered")).alias("found"))
-        mine = F.transform(F.filter("found", of_layer(layer)), lambda x: latin1(x["blob"]))
-        got = kept(kept(got, "found").withColumn("queue", F.filter(mine, e.looks_encoded)), "layer")
-        new = got.select(key, F.posexplode_outer("found").alias("pos", "x"), "known").where(F.col("pos") >= F.col("known")).select(key, "pos", "x.layer", "x.decoder", "x.blob")
+        got = kept(offered.where(F.size("offered") > 0).select(key, taken(F.col("found"), F.col("offered")).alias("found")), "layer")
+        discard(offered)
+        new = got.select(key, F.posexplode_outer("found").alias("pos", "x")).where(F.col("x.layer") == layer).select(key, "pos", "x.layer", "x.decoder", "x.blob")
         done = new if done is None else done.unionByName(new)
-        rows = got.where(F.size("queue") > 0)
+        mine = F.transform(F.filter("found", of_layer(layer)), lambda x: latin1(x["blob"]))
+        before = F.transform("found", lambda x: x.withField("blob", F.lit(None).cast("binary")))
+        rows = got.select(key, mine.alias("queue"), before.alias("found")).where(F.size("queue") > 0)
     return done
 
 
