@@ -12,14 +12,18 @@ from palimpsest.operators import streams, structure
 from palimpsest.plans.catalogue import ORACLES, QUERIES
 
 
-def cases(name: str, function: Callable[[Column], Column], pairs: list[tuple[str | bytes, str | None]]) -> None:
-    """Register a query that applies a function to the inputs in turn; its result is a string."""
+def cases(name: str, function: Callable[[Column], Column], pairs: list[tuple[str | bytes, str | None]], made: Callable[[Column], Column] | None = None) -> None:
+    """Register a query that applies a function to the inputs in turn; its result is a string. Bodies ``made`` of inputs
+    are made once for each input, not for each event."""
     binary = isinstance(pairs[0][0], bytes)
 
     def run(spark, sf_dir):
         inputs = F.array(*[F.lit(a.hex() if binary else a) for a, _ in pairs])
         which = F.element_at(inputs, (F.col("event_id") % len(pairs) + 1).cast("int"))
         rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", which.alias("input"))
+        if made is not None:
+            each = spark.createDataFrame([(a,) for a, _ in pairs], "input string").select("input", made(F.col("input")).alias("body"))
+            rows = rows.join(F.broadcast(each), "input", "left").select("event_id", F.col("body").alias("input"))
         if binary:
             rows = rows.select("event_id", F.unhex("input").alias("input"))
         return rows.select("event_id", function(F.col("input")).cast("string").alias("result"))
@@ -107,6 +111,6 @@ cases("cache_keys", lambda c: files.cache_key(F.lit("fp"), F.lit("a.doc"), F.lit
     ("abc", "fp:a.doc\0.doc\0\0" + "5\0pw:ba7816bf8f01cfea:ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"),
 ])
 cases("stream_channels", markers.channel, [("OLEID-DDE", "marker"), ("OLEID-DDE too", "content"), ("OLE-DOC-SECURITY-5", "marker"), ("XLM-STACK\nx", "marker"), ("PDF-LAUNCH", "content")])
-cases("stream_rule_sets", lambda c: streams.rule_set(F.encode(F.repeat(c, F.when(c == "b", 7 << 20).otherwise(1)), "UTF-8"), F.when(c == "m", "marker").otherwise("content")), [("a", "full"), ("b", "small"), ("m", "marker")])
+cases("stream_rule_sets", lambda c: streams.rule_set(c, F.when(c == "m", "marker").otherwise("content")), [("a", "full"), ("b", "small"), ("m", "marker")], lambda c: F.repeat(c, F.when(c == "b", 7 << 20).otherwise(1)))
 cases("byte_entropies", lambda c: F.round(structure.byte_entropy(c), 3), [(b"aaaa", "0.0"), (b"abcd", "2.0"), (bytes(range(256)), "8.0"), (b"", "0.0")])
 cases("effective_sources", structure.effective_source, [("Attribute VB_Name = 1\n\n  x = 1 \n", "5"), ("", "0"), ("a\r\nbc", "3")])
