@@ -137,7 +137,7 @@ def scan_exit_code(read):
     return sources.exit_code(files, read("documents").where(F.contains("text", F.lit("token = "))))
 
 
-@query("SELECT event_id AS key, CASE WHEN event_type = 'error' OR value > 400 OR event_id % 50 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'infected' ELSE 'clean' END AS status FROM events")
+@query("SELECT event_id AS key, CASE WHEN event_type = 'error' OR value > 400 OR value = 0 OR event_id % 50 = 0 THEN 'unknown' WHEN event_id % 3 = 0 THEN 'infected' ELSE 'clean' END AS status FROM events")
 def mail_statuses(read):
     rules = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("r"))).otherwise(F.array().cast("array<string>"))
     scans = read("events").select(F.col("event_id").alias("key"), F.when(F.col("event_id") % 50 == 0, F.lit(0.0)).otherwise(F.col("value")).alias("size"), F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"), rules.alias("rules"), F.lit(400).alias("most"))
