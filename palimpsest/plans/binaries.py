@@ -110,9 +110,13 @@ PE_RULES = [
 ]
 
 
+#: What the sections hold from the text on: its first 65000 bytes, filled up to a multiple of 512, and the noise.
+CONTENT = """hex(encode(text))[:130000] || CASE WHEN n < 65000 AND n % 512 = 0 THEN '' ELSE '00' END || CASE WHEN n % 3 = 0 THEN array_to_string(list_transform(range(256), lambda i: upper(sha256(n || ':' || i))), '') ELSE '' END"""
+
+
 @query(
     f"""SELECT key, rule FROM (SELECT doc_id AS key, unnest(list_filter([CASE WHEN n % 2 = 1 AND 2 + (n % 3 = 0)::INT + (n % 5 = 0)::INT < 4 THEN 'Opens_Sockets' END, CASE WHEN n % 3 = 0 AND n % 7 = 0 THEN 'Packed_And_Old' END,
-    CASE WHEN n % 11 = 0 AND contains(text, 'the') THEN 'Word_In_Managed' END], lambda m: m IS NOT NULL)) AS rule FROM {LENGTHS} JOIN (SELECT doc_id AS d, text FROM documents) ON doc_id = d)"""
+    CASE WHEN n % 11 = 0 AND regexp_matches({CONTENT}, '^(..)*746865') THEN 'Word_In_Managed' END], lambda m: m IS NOT NULL)) AS rule FROM {LENGTHS} JOIN (SELECT doc_id AS d, text FROM documents) ON doc_id = d)"""
 )
 def executable_rules(read):
     known = executables.with_imports(executables.headers(made(read, program)), "key")
