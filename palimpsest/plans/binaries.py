@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import encodings
 from palimpsest.operators import compound, droppers, executables, inspection, rules, scripts, structure, workbooks
 from palimpsest.operators.rules import NOTHING, Rule
-from palimpsest.plans.catalogue import query
+from palimpsest.plans.catalogue import made_bodies, query
 
 NOW = "2024-01-01"
 
@@ -63,13 +63,7 @@ def noise(seed: int, size: int) -> bytes:
 
 def made(read, make):
     """``make(doc_id, text)`` of every document, as key and body."""
-    import pyarrow as pa
-
-    def work(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([make(i, (t or "").encode()) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.binary())], ["key", "body"])
-
-    return read("documents").select("doc_id", "text").mapInArrow(work, "key long, body binary")
+    return made_bodies(read("documents").select("doc_id", "text"), make, "key long, body binary")
 
 
 def program(i: int, text: bytes) -> bytes:

@@ -308,15 +308,38 @@ def decode_xored(read):
     return read("events").select("event_id", F.explode(encodings.xored_arrays(call)).alias("bytes"))
 
 
-def packed(read, make) -> DataFrame:
-    """Texts packed by ``make`` (bytes to bytes) and unpacked again."""
+#: Bytes of made bodies that a task holds before it hands them on.
+PORTION = 4 << 20
+
+
+def made_bodies(rows: DataFrame, make, schema: str) -> DataFrame:
+    """``rows(key, text)`` to key, body: ``make(key, text)`` of each row. However many rows a batch has, a task holds a
+    portion of bodies."""
     import pyarrow as pa
 
+    kinds, names = (pa.string() if schema.split()[1].startswith("string") else pa.int64(), pa.binary()), schema.replace(",", "").split()[::2]
+
     def work(batches):
+        held = size = None
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([make((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "body"])
+            for key, text in zip(*batch.columns, strict=True):
+                if held is None:
+                    held, size = ([], []), 0
+                held[0].append(key.as_py())
+                held[1].append(make(held[0][-1], (text.as_py() or "").encode()))
+                size += len(held[1][-1])
+                if size >= PORTION:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names)
+                    held = None
+        if held is not None:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], names)
 
-    made = read("documents").select("doc_id", "text").mapInArrow(work, "doc_id long, body binary")
+    return rows.mapInArrow(work, schema)
+
+
+def packed(read, make) -> DataFrame:
+    """Texts packed by ``make`` (bytes to bytes) and unpacked again."""
+    made = made_bodies(read("documents").select("doc_id", "text"), lambda _, text: make(text), "doc_id long, body binary")
     return sinks.listing(containers.extracted(made, "doc_id")).select(F.col("key").alias("doc_id"), "pos", "path", "kind", "layer", "sha256")
 
 
