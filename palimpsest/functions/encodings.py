@@ -162,7 +162,7 @@ def keyed_digits(text: Column) -> Column:
     group in the middle is a key, and every other group, divided by it, is a character. Letters among digits count for
     nothing. A run of which any group isn't printable gives nothing."""
     digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
-    value = lambda t: F.when(digits(t) != "", digits(t).cast("decimal(38,0)"))
+    value = lambda t: F.nullif(digits(t), F.lit("")).cast("long")  # noqa: E731 -- a group has at most 16 of them
     number = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^0-9]", "0").cast("int"))  # noqa: E731 -- here letters are zeros
     middle = lambda t, half, n: F.substring(t, half - n + 1, 2 * n)
     without = lambda t, half, n: F.concat(F.substring(t, F.lit(1), half - n), F.substring(t, half + n + 1, F.length(t)))
@@ -175,8 +175,10 @@ def keyed_digits(text: Column) -> Column:
     side = lambda s: F.floor(s["width"] / 2).cast("int")
     keyed = F.transform(fit, lambda s: F.struct(s["width"].alias("width"), value(middle(s["x"]["t"], s["x"]["half"], side(s))).alias("key"), without(s["x"]["t"], s["x"]["half"], side(s)).alias("t")))
     good = F.filter(keyed, lambda k: (k["key"] > 0) & (F.length(k["t"]) > 0))
-    starts = lambda k: F.sequence(F.lit(0), F.floor((F.length(k["t"]) - 1) / k["width"]).cast("int"))
-    codes = F.transform(good, lambda k: F.transform(starts(k), lambda i: F.floor(value(F.substring(k["t"], i * k["width"] + 1, k["width"])) / k["key"]).cast("int")))
+    # groups are cut in one pass: a substring by its place would count the characters before it anew
+    groups = lambda k: F.regexp_extract_all(k["t"], F.concat(F.lit("(?s).{1,"), k["width"].cast("string"), F.lit("}")), F.lit(0))
+    whole = lambda v, key: F.round((v - v % key) / key).cast("int")
+    codes = F.transform(good, lambda k: F.transform(groups(k), lambda g: whole(value(g), k["key"])))
     printable = F.filter(codes, lambda c: F.forall(c, lambda x: F.coalesce((x >= 0x20) & (x <= 0x7E), F.lit(False))))
     return F.transform(printable, lambda c: F.array_join(F.transform(c, F.char), ""))
 

@@ -29,3 +29,11 @@ def test_macro_literals(spark):
     assert first(spark, 'StrReverse("cba") & environ("TEMP")', encodings.reversed_literals) == ["abc"]
     assert first(spark, 'x = Environ$("TEMP")', encodings.environ_markers) == ["VBA-ENVIRON %TEMP%"]
     assert first(spark, 'Replace("a#b", "#", "") Replace("q", "", "z")', encodings.replaced_literals) == ["ab", "q"]
+
+
+def test_keyed_digits_are_divided_exactly(spark):
+    key = 10_000_001
+    one = lambda v: f"{v:015d}Z"
+    t = one(65 * key - 1) + str(key).rjust(16, "K") + one(66 * key + 5)  # the first is 64 and a remainder of key - 1
+    run = "pad0" + t[:24] + "05" + "21" + t[24:] + "end0"
+    assert first(spark, f'x = "{run}"', encodings.keyed_digits) == ["@B"]
