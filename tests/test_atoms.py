@@ -72,3 +72,12 @@ def test_patterns_that_only_one_engine_knows_are_bad(spark):
     line = '{"rule": "x", "strings": [{"id": "a", "kind": "regex", "value": "(?P<n>x)"}]}'
     good, bad = rules.loaded(spark.createDataFrame([("n", line)], "namespace string, value string"))
     assert not good and bad.count() == 1
+
+
+def test_plain_texts_need_no_pattern():
+    none = frozenset()
+    matcher = atoms.Matcher([Rule("long", "n", {"a": ("text", "A(b)c." * 5, none)}), Rule("short", "n", {"a": ("text", "zq", none)}), Rule("two", "n", {"a": ("text", "zqx", none), "b": ("text", "(b)", none)}, least=2)])
+    assert matcher.holding("..." + "A(b)c." * 5 + " ZQX", 40, {}) == [0]  # in other letters it doesn't stand
+    assert matcher.holding("zqx (b)", 7, {}) == [1, 2]
+    assert matcher.holding("a(b)c." * 5, 30, {}) == []
+    assert not matcher.compiled
