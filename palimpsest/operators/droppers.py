@@ -22,8 +22,9 @@ def scripted(text: Column) -> Column:
 def said(line: Column) -> Column:
     """What an echo writes: nothing for ``echo.``; a caret stands for the character behind it, and a last one for nothing.
     Null for other lines."""
-    plain = F.regexp_replace(F.substring(line, F.lit(6), F.length(line)), r"(?s)\^(.?)", "$1")
-    return F.when(line.rlike(ECHO), F.when(line.rlike(r"(?i)^echo\."), "").otherwise(plain))
+    rest = F.substring(line, F.lit(6), F.length(line))
+    plain = F.when(F.contains(rest, F.lit("^")), F.regexp_replace(rest, r"(?s)\^(.?)", "$1")).otherwise(rest)
+    return F.when((F.lower(F.substring(line, 1, 4)) == "echo") & line.rlike(ECHO), F.when(F.substring(line, 5, 1) == ".", "").otherwise(plain))
 
 
 def dropped_files(scripts: DataFrame) -> DataFrame:
@@ -34,14 +35,18 @@ def dropped_files(scripts: DataFrame) -> DataFrame:
     a line, and null texts, give nothing. Keys are unique."""
     lines = scripts.select("key", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("line", F.ltrim(F.rtrim("line", F.lit("\r")), F.lit(" \t"))).where("line <> ''")
-    target = lambda p: F.when(F.col("line").rlike(p), F.concat(F.regexp_extract("line", p, 1), F.regexp_extract("line", p, 2)))
-    closes = (F.col("line") == ")").cast("int")
-    by_line = Window.partitionBy("key").orderBy("at")
-    # a block begins at the first opener behind a closing line, whatever stands between it and the next one
-    stretch = F.coalesce(F.sum(closes).over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = Window.partitionBy("key", "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("opener", target(OPENER)).withColumn("stretch", stretch).withColumn("block", F.first("opener", ignorenulls=True).over(within))
-    inside, front, back = F.col("block").isNotNull(), F.col("line").rlike(FRONT), F.col("line").rlike(BACK)
+    # what a pattern needs is looked for before it is: most lines have no redirection
+    fits = lambda p: F.startswith("line", F.lit(">")) & F.col("line").rlike(p)
+    target = lambda p: F.when(fits(p), F.concat(F.regexp_extract("line", p, 1), F.regexp_extract("line", p, 2)))
+    # a block begins at the first opener behind a closing line, whatever stands between it and the next one: of closing
+    # lines and openers, at one that follows no opener. Both windows go by the order of one sort
+    before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    closes = F.col("line") == ")"
+    turns = lines.withColumn("opener", target(OPENER)).withColumn("turn", F.when(closes | F.col("opener").isNotNull(), F.struct(closes.alias("closes"), "opener")))
+    turns = turns.withColumn("turned", F.last("turn", ignorenulls=True).over(before))
+    counts = closes | F.coalesce(F.col("turned.closes"), F.lit(True))
+    placed = turns.withColumn("block", F.last(F.when(counts, F.col("turn")), ignorenulls=True).over(before)["opener"])
+    inside, front, back = F.col("block").isNotNull(), fits(FRONT), F.contains("line", F.lit(">")) & F.col("line").rlike(BACK)
     name = F.when(inside, F.col("block")).when(front, target(FRONT)).when(back, F.regexp_extract("line", BACK, 2)).otherwise(F.col("opener"))
     text = F.when(inside, said(F.col("line"))).when(front, said(F.regexp_extract("line", FRONT, 3))).when(back, said(F.regexp_extract("line", BACK, 1)))
     written = placed.where("line <> ')'").select("key", "at", name.alias("name"), text.alias("said"))

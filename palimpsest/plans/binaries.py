@@ -268,7 +268,7 @@ def batch_files(read):
     words = F.array_join(F.transform(F.split(clean, " "), lambda w: F.concat(F.lit("  ECHO "), w)), "\r\n")
     tail = F.concat(F.lit('\r\n)\r\n>>"tail.txt" echo '), F.col("doc_id").cast("string"), F.lit('\r\n>> tail.txt echo.ignored\r\necho end^^ >> tail.txt\r\n'))
     script = F.concat(F.lit('@echo off\r\n>"words.vbs" (\r\n'), words, F.lit('\r\nrem skipped\r\n>>"tail.txt" echo skipped\r\necho ^>^>"tail.txt" said ^& done'), tail)
-    found = droppers.dropped_files(read("documents").select(F.col("doc_id").alias("key"), script.alias("text")))
+    found = droppers.dropped_files(read("documents").select("doc_id", "text").repartition("doc_id").select(F.col("doc_id").alias("key"), script.alias("text")))
     return found.select(F.col("key").alias("doc_id"), "pos", "name", F.sha2("body", 256).alias("sha256"))
 
 
