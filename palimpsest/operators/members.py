@@ -123,7 +123,8 @@ def tnef_attachments(bodies: DataFrame) -> DataFrame:
 
 
 def link_strings(bodies: DataFrame) -> DataFrame:
-    """The strings of a shortcut, each behind the one before it: a cursor that goes from column to column."""
+    """The strings that a shortcut states, empty ones too, each behind the one before it: a cursor that goes from column
+    to column."""
     b, names = F.col("body"), ("name", "path", "folder", "arguments", "icon")
     rows = bodies.withColumn("flags", number(b, F.lit(20), 4))
     has = lambda bit: F.floor(F.col("flags") / (1 << bit)) % 2 == 1
@@ -136,8 +137,9 @@ def link_strings(bodies: DataFrame) -> DataFrame:
         before = F.col(f"at{i - 1}" if i else "at")
         rows = rows.withColumn(f"at{i}", before + F.when(has(2 + i), 2 + F.col(f"size{i}")).otherwise(0))
         data = piece(b, before + 2, F.col(f"size{i}"))
-        texts.append(F.struct(F.lit(name).alias("name"), F.when(has(7), F.encode(F.decode(data, "UTF-16LE"), "UTF-8")).otherwise(data).alias("body")))
-    found = rows.select("file", F.filter(F.array(*texts), lambda t: F.octet_length(t["body"]) > 0).alias("texts"))
+        told = has(2 + i) & ((F.col(f"size{i}") == 0) | (F.octet_length(data) > 0))
+        texts.append(F.struct(F.lit(name).alias("name"), F.when(told, F.when(has(7), F.encode(F.decode(data, "UTF-16LE"), "UTF-8")).otherwise(data)).alias("body")))
+    found = rows.select("file", F.filter(F.array(*texts), lambda t: t["body"].isNotNull()).alias("texts"))
     return found.select("file", F.posexplode_outer("texts").alias("pos", "x")).where("pos IS NOT NULL").select("file", "pos", "x.name", "x.body")
 
 
