@@ -20,7 +20,7 @@ NETBIOS = rf"[A-P]{{{NETBIOS_RUN},}}"
 #: What makes it worth while to turn a text round.
 REVERSED = ("llehsrewop", "llehs.tpircsw", "tcejboetaerc", "exe.dmc", "elifotevas", "ptthnwod")
 MAYBE = r"[A-Za-z0-9+/]{20,}|[0-9,;]{23,}|(?i)\\x|\\u|%u|&h|chr|replace\(|array\(|strreverse|environ|" + "|".join(re.escape(r) for r in REVERSED)
-KEYED, WIDEST = r'"([0-9A-Za-z]{20,})"', 16
+KEYED, WIDEST = r'"(\p{Alnum}{20,})"', 16
 BASE32 = rf"[A-Z2-7]{{{BASE32_RUN},}}={{0,6}}"
 LITERAL = r'"([^"]*+(?:""[^"]*+)*+)"'
 CHR = r"chrw?\((\d{1,5})\)"
@@ -161,24 +161,25 @@ def keyed_digits(text: Column) -> Column:
     middle stand two numbers of two characters each, whose difference is the width of a group; without these, the
     group in the middle is a key, and every other group, divided by it, is a character. Letters among digits count for
     nothing. A run of which any group isn't printable gives nothing."""
-    digits = lambda t: F.regexp_replace(t, "[^0-9]", "")
-    value = lambda t: F.nullif(digits(t), F.lit("")).cast("long")  # noqa: E731 -- a group has at most 16 of them
-    number = lambda t: F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^0-9]", "0").cast("int"))  # noqa: E731 -- here letters are zeros
+    words = lambda t: t.cast("string")  # noqa: E731 -- runs are bytes, as a place in a string is found by counting up to it
+    digits = lambda t: F.regexp_replace(words(t), "[^0-9]", "")
+    value = lambda d: F.when(d != "", d.cast("long"))  # noqa: E731 -- a group has at most 16 of them
+    number = lambda t: F.when(words(t).rlike("[0-9]"), F.regexp_replace(words(t), "[^0-9]", "0").cast("int"))  # noqa: E731 -- here letters are zeros
     middle = lambda t, half, n: F.substring(t, half - n + 1, 2 * n)
     without = lambda t, half, n: F.concat(F.substring(t, F.lit(1), half - n), F.substring(t, half + n + 1, F.length(t)))
     halved = lambda t: F.struct(t.alias("t"), F.floor(F.length(t) / 2).cast("int").alias("half"))
     two = F.lit(2)
-    runs = F.slice(F.regexp_extract_all(text, F.lit(KEYED), 1), 1, 64)
-    inner = F.transform(F.filter(runs, lambda r: r.rlike("[G-Zg-z]")), lambda r: halved(F.substring(r, F.lit(5), F.length(r) - 8)))
+    runs = F.regexp_extract_all(text, F.lit(KEYED), 1)
+    inner = F.transform(F.filter(runs, lambda r: r.rlike("[G-Zg-z]")), lambda r: halved(F.substring(r.cast("binary"), F.lit(5), F.octet_length(r) - 8)))
     sized = F.transform(inner, lambda x: F.struct(halved(without(x["t"], x["half"], two)).alias("x"), (number(F.substring(x["t"], x["half"] + 1, two)) - number(F.substring(x["t"], x["half"] - 1, two))).alias("width")))
     fit = F.filter(sized, lambda s: (s["width"] > 0) & (s["width"] <= WIDEST) & (F.length(s["x"]["t"]) > s["width"]))
     side = lambda s: F.floor(s["width"] / 2).cast("int")
-    keyed = F.transform(fit, lambda s: F.struct(s["width"].alias("width"), value(middle(s["x"]["t"], s["x"]["half"], side(s))).alias("key"), without(s["x"]["t"], s["x"]["half"], side(s)).alias("t")))
+    keyed = F.transform(fit, lambda s: F.struct(s["width"].alias("width"), value(digits(middle(s["x"]["t"], s["x"]["half"], side(s)))).alias("key"), without(s["x"]["t"], s["x"]["half"], side(s)).alias("t")))
     good = F.filter(keyed, lambda k: (k["key"] > 0) & (F.length(k["t"]) > 0))
-    # groups are cut in one pass: a substring by its place would count the characters before it anew
-    groups = lambda k: F.regexp_extract_all(k["t"], F.concat(F.lit("(?s).{1,"), k["width"].cast("string"), F.lit("}")), F.lit(0))
-    whole = lambda v, key: F.round((v - v % key) / key).cast("int")
-    codes = F.transform(good, lambda k: F.transform(groups(k), lambda g: whole(value(g), k["key"])))
+    # groups are cut, and letters dropped, for a whole run at once: the cost of a group is that of its number
+    marked = lambda k: F.regexp_replace(words(k["t"]), F.concat(F.lit("(?s).{1,"), k["width"].cast("string"), F.lit("}")), F.lit("$0,"))
+    groups = lambda k: F.slice(F.split(F.regexp_replace(marked(k), r"\p{Alpha}++", ""), ","), F.lit(1), F.ceil(F.length(k["t"]) / k["width"]).cast("int"))  # noqa: E731 -- nothing stands behind the last comma
+    codes = F.transform(good, lambda k: F.transform(groups(k), lambda g: F.call_function("div", value(g), k["key"])))
     printable = F.filter(codes, lambda c: F.forall(c, lambda x: F.coalesce((x >= 0x20) & (x <= 0x7E), F.lit(False))))
     return F.transform(printable, lambda c: F.array_join(F.transform(c, F.char), ""))
 

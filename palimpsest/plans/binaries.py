@@ -240,7 +240,8 @@ def encoded_scripts(read):
 def keyed(text: bytes) -> bytes:
     """A run that carries its key: groups of ten, of digits and letters, a key of three digits."""
     key, width = 101 + len(text) % 800, 10
-    groups = "".join(f"{c * key + c % key % 7:06d}ZqXy" for c in text)
+    one = {c: f"{c * key + c % key % 7:06d}ZqXy" for c in set(text)}
+    groups = "".join(map(one.__getitem__, text))
     half = len(groups) // 2 // width * width  # the key goes to the middle: pad with blanks' groups on the shorter side
     rest = groups[half:]
     while len(rest) > half:
@@ -250,11 +251,12 @@ def keyed(text: bytes) -> bytes:
     return b'x = "' + ("pad0" + inner[:middle] + "05" + "15" + inner[middle:] + "end0").encode() + b'"'
 
 
-@query("SELECT doc_id AS key, sha256(CASE WHEN strlen(w) % 2 = 1 THEN ' ' || w ELSE w END) AS sha256 FROM (SELECT doc_id, regexp_replace(substr(text, 1, 300), '[^ -~]', '', 'g') AS w FROM documents) WHERE w <> ''")
+@query("SELECT doc_id AS key, sha256(CASE WHEN strlen(w) % 2 = 1 THEN ' ' || w ELSE w END) AS sha256 FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS w FROM documents) WHERE w <> ''")
 def decode_keyed_digits(read):
+    """Every whole text's printable characters."""
     import re
 
-    rows = made(read, lambda i, t: keyed(re.sub(rb"[^ -~]", b"", "".join(t.decode()[:300]).encode())))
+    rows = made(read, lambda i, t: keyed(re.sub(rb"[^ -~]", b"", t)))
     said = F.posexplode_outer(encodings.keyed_digits(F.decode("body", "ISO-8859-1"))).alias("pos", "said")  # a plain explode decodes once more to leave empty rows out
     return rows.select("key", said).where("pos IS NOT NULL").select("key", F.sha2("said", 256).alias("sha256"))
 

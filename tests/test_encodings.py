@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from palimpsest.functions import encodings
+from palimpsest.plans.binaries import keyed
 
 
 def first(spark, text, column):
@@ -37,3 +38,15 @@ def test_keyed_digits_are_divided_exactly(spark):
     t = one(65 * key - 1) + str(key).rjust(16, "K") + one(66 * key + 5)  # the first is 64 and a remainder of key - 1
     run = "pad0" + t[:24] + "05" + "21" + t[24:] + "end0"
     assert first(spark, f'x = "{run}"', encodings.keyed_digits) == ["@B"]
+
+
+def test_all_keyed_runs_of_a_text_count(spark):
+    texts = [f"run {i}." for i in range(100)]
+    body = " ".join(keyed(t.encode()).decode() for t in texts)
+    assert first(spark, body, encodings.keyed_digits) == [" " * (len(t) % 2) + t for t in texts]
+
+
+def test_keyed_groups_of_letters_alone_give_nothing(spark):
+    run = keyed(b"abcdef").decode()
+    assert first(spark, run, encodings.keyed_digits) == ["abcdef"]
+    assert first(spark, run.replace(run[-15:-9], "LLLLLL"), encodings.keyed_digits) == []

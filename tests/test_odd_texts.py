@@ -28,3 +28,8 @@ def both(spark, folder, name):
 def test_strings_of_shortcuts(spark, odd):
     got, want = both(spark, odd, "container_shortcut")
     assert got == want and len(got) == 2 * len(ODD)
+
+
+def test_keyed_digits_of_whole_texts(spark, odd):
+    got, want = both(spark, odd, "decode_keyed_digits")
+    assert got == want and len({r for r in got}) == len(got) - 2  # the repeated rows
