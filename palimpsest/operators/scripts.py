@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from palimpsest.functions.files import latin1
 
-#: Beginning and end of a block; characters between the beginning and the body; blocks of a text and
-#: bytes of one block that count.
-START, END, HEADER, BLOCKS, BLOCK_BYTES = "#@~^", "^#~@", 8, 64, 4 << 20
+#: Beginning and end of a block; characters between the beginning and the body.
+START, END, HEADER = "#@~^", "^#~@", 8
+#: Bytes that are substituted at once.
+STRETCH = 1 << 20
 #: Which table serves each of 64 places in turn.
 SCHEDULE = (0, 1, 2, 0, 1, 2, 1, 2, 2, 1, 2, 1, 0, 2, 1, 2, 0, 2, 1, 2, 0, 0, 1, 2, 2, 1, 0, 2, 1, 2, 2, 1, 0, 0, 2, 1, 2, 1, 2, 0, 2, 0, 0, 1, 2, 0, 2, 1, 0, 2, 1, 2, 0, 0, 1, 2, 2, 0, 0, 1, 2, 0, 2, 1)
 #: Escapes behind an at sign; others stand for nothing.
@@ -35,18 +36,19 @@ def lookup(tables: Tables) -> np.ndarray:
 
 
 def decoded(block: bytes, known: np.ndarray) -> bytes:
-    """Stretches between escapes are substituted at once; the place goes on from one to the next."""
+    """Stretches between escapes are substituted at once, long ones in pieces; the place goes on from one to the next."""
     place, out, schedule = 0, [], np.array(SCHEDULE)
     for i, part in enumerate(re.split(rb"(?s)(@.)", block)):
         if i % 2:
             out.append(ESCAPES.get(part, b""))
             continue
-        data = np.frombuffer(part, np.uint8)
-        ascii_ = data < 128
-        at = place + np.cumsum(ascii_) - 1
-        place += int(ascii_.sum())
-        out.append(np.where(ascii_, known[schedule[at % 64], np.minimum(data, 127)], data).astype(np.uint8).tobytes())
-    return b"".join(out)[:BLOCK_BYTES]
+        for k in range(0, len(part), STRETCH):
+            data = np.frombuffer(part[k : k + STRETCH], np.uint8)
+            ascii_ = data < 128
+            at = place + np.cumsum(ascii_) - 1
+            place += int(ascii_.sum())
+            out.append(np.where(ascii_, known[schedule[at % 64], np.minimum(data, 127)], data).astype(np.uint8).tobytes())
+    return b"".join(out)
 
 
 def encoded_scripts(body: Column, tables: Tables) -> Column:
@@ -62,5 +64,5 @@ def encoded_scripts(body: Column, tables: Tables) -> Column:
         return pd.Series([None if b is None else [decoded(x, known) for x in b] for b in blocks], index=blocks.index, dtype=object)
 
     parts = F.filter(F.transform(F.slice(F.split(latin1(body), re.escape(START)), 2, 1 << 30), lambda p: F.substring(p, F.lit(HEADER + 1), F.length(p))), lambda p: F.contains(p, F.lit(END)))
-    blocks = F.slice(F.transform(parts, lambda p: F.encode(F.substring_index(p, END, 1), "ISO-8859-1")), 1, BLOCKS)
+    blocks = F.transform(parts, lambda p: F.encode(F.substring_index(p, END, 1), "ISO-8859-1"))
     return F.filter(clear(F.when(F.contains(latin1(body), F.lit(START)), blocks).otherwise(F.when(body.isNotNull(), F.array().cast("array<binary>")))), lambda b: F.octet_length(b) > 0)
