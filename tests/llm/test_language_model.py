@@ -144,6 +144,31 @@ def test_reseating_keeps_the_distribution_of_tables():
     assert np.abs(got - want / want.sum()).max() < 0.02
 
 
+@pytest.mark.parametrize("c", [100, 200, 3000])
+def test_a_sweep_reseats_every_customer(c):
+    """Of customers who all sit alone, though hardly anyone opens a table, about half find company in one sweep."""
+    seats = hpylm.Seats(np.full(500, c), np.full(500, c), 0.01, np.random.default_rng(3))
+    seats.reseat(np.full(500, 1e-9), np.full(500, 1e-9))
+    assert (seats.c == c).all() and 0.3 * c < seats.t.min() and seats.t.max() < 0.7 * c
+
+
+@pytest.mark.parametrize(("c", "d", "s", "p"), [(127, 0.4, 1.3, 0.3), (200, 0.6, 50.0, 0.1), (1000, 0.4, 1.3, 0.3), (1000, 0.95, 2.0, 0.5), (1000, 0.6, 50.0, 0.1)])
+def test_blocks_keep_the_distribution_of_tables(c, d, s, p):
+    logs = np.full(c + 1, -np.inf)
+    logs[1] = 0.0
+    for n in range(2, c + 1):
+        t = np.arange(1, n + 1)
+        logs[1 : n + 1] = np.logaddexp(logs[:n], np.where(t < n, logs[1 : n + 1] + np.log(np.maximum(n - 1 - d * t, 1e-300)), -np.inf))
+    t = np.arange(1, c + 1)
+    ways = logs[1:] + t * math.log(p) + np.concatenate(([0], np.cumsum(np.log(s + d * np.arange(1, c)))))
+    ways = np.exp(ways - ways.max())
+    want = (t * ways).sum() / ways.sum()
+    seats = hpylm.Seats(np.full(3000, c), np.full(3000, 1), d, np.random.default_rng(4))
+    for _ in range(20):
+        seats.reseat(np.full(3000, s), np.full(3000, p))
+    assert abs(seats.t.mean() - want) < 0.05 * want, (seats.t.mean(), want)
+
+
 def test_copies_are_told_apart(spark):
     draw = np.random.default_rng(6)
     texts = [" ".join(f"w{k}" for k in draw.integers(0, 3000, 120)) for _ in range(60)]
